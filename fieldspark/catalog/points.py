@@ -453,9 +453,9 @@ def front_position(spark, sf_dir):
 
 def _profile_sql(across: str, along: str, wanted: list[float]) -> str:
     values = ", ".join(f"({w!r}::DOUBLE)" for w in wanted)
-    return f"""WITH {NODES}, ln AS (SELECT comparison_set, "case", i{across}, min({across}) AS at FROM nodes GROUP BY 1, 2, 3),
+    return f"""WITH {NODES}, ln AS (SELECT comparison_set, "case", i{across}, min({across}) AS line_at FROM nodes GROUP BY 1, 2, 3),
       rk AS (SELECT ln.*, wanted, row_number() OVER (PARTITION BY comparison_set, "case", wanted
-        ORDER BY abs(at - wanted), i{across}) AS rn FROM ln CROSS JOIN (VALUES {values}) AS q(wanted)),
+        ORDER BY abs(line_at - wanted), i{across}) AS rn FROM ln CROSS JOIN (VALUES {values}) AS q(wanted)),
       prof AS (SELECT nodes.*, wanted FROM nodes JOIN (SELECT * FROM rk WHERE rn = 1) r
         USING (comparison_set, "case", i{across}))"""
 

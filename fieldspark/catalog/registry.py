@@ -1,7 +1,8 @@
 """Pairs each query with its oracle SQL and puts both results into one comparable form.
 
 Doubles are rounded to six decimals and to single precision on both sides, so
-that a different summation order cannot change a result.
+that a different summation order cannot change a result. A tiny shift before the
+rounding keeps short decimals, such as means of prices, off the rounding ties.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHIFT = 3e-8
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,13 +21,13 @@ ORACLES: dict[str, str] = {}
 
 
 def comparable(name: str) -> Column:
-    rounded = F.round(F.col(name), 6).cast("float").cast("double")
+    rounded = F.round(F.col(name) + SHIFT, 6).cast("float").cast("double")
     # A negative zero would differ from zero in a value hash.
     return F.when(rounded == 0.0, F.lit(0.0)).otherwise(rounded).alias(name)
 
 
 def comparable_sql(name: str) -> str:
-    rounded = f'CAST(CAST(round("{name}", 6) AS REAL) AS DOUBLE)'
+    rounded = f'CAST(CAST(round("{name}" + CAST({SHIFT} AS DOUBLE), 6) AS REAL) AS DOUBLE)'
     return f'CASE WHEN {rounded} = 0 THEN CAST(0 AS DOUBLE) ELSE {rounded} END AS "{name}"'
 
 

@@ -281,19 +281,17 @@ def window_slope(spark, sf_dir):
 def _overlay_sql(prefix: str, source: str, value: str, curve_value: str, name: str, error: str) -> str:
     """Bracketing rows by two as-of joins per case."""
     return f"""{prefix}, knots AS (SELECT "case", time, {value} AS x FROM {source} WHERE "case" <> 'signup'),
-  cv AS (SELECT "case", s.time, s.{curve_value} AS paper_x FROM (SELECT * FROM {source} WHERE "case" = 'signup') s
-    CROSS JOIN (SELECT DISTINCT "case" AS other FROM knots) k),
   pts AS (SELECT k.other AS "case", s.time, s.{curve_value} AS paper_x FROM (SELECT * FROM {source}
     WHERE "case" = 'signup') s CROSS JOIN (SELECT DISTINCT "case" AS other FROM knots) k),
   lo AS (SELECT pts.*, l.time AS t0, l.x AS x0 FROM pts ASOF JOIN knots l ON pts."case" = l."case"
     AND pts.time >= l.time),
   br AS (SELECT lo.*, r.time AS t1, r.x AS x1 FROM lo ASOF JOIN knots r ON lo."case" = r."case"
     AND lo.time <= r.time),
-  at AS (SELECT "case", time, paper_x, CASE WHEN t1 = t0 THEN x0 ELSE x0 + (x1 - x0) * ((time - t0) / (t1 - t0)) END
+  hit AS (SELECT "case", time, paper_x, CASE WHEN t1 = t0 THEN x0 ELSE x0 + (x1 - x0) * ((time - t0) / (t1 - t0)) END
     AS v FROM br),
   cmp AS (SELECT "case", time, paper_x, v AS {name}, v - paper_x AS {error},
     (v - paper_x) / nullif(paper_x, 0) AS relative_error,
-    CASE WHEN v > 0 AND paper_x > 0 THEN ln(v) - ln(paper_x) END AS log_error FROM at)"""
+    CASE WHEN v > 0 AND paper_x > 0 THEN ln(v) - ln(paper_x) END AS log_error FROM hit)"""
 
 
 RAW_OVERLAY_SQL = _overlay_sql(RELATIVE_SQL, "rel", "x_front_minus_x0", "x_front", "simulation_x_interp", "x_error")

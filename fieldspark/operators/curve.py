@@ -19,7 +19,7 @@ from fieldspark.operators.stats import (
     rms,
     slope_comparison_columns,
 )
-from fieldspark.plans.scale import attach
+from fieldspark.plans.scale import attach, durable
 
 TIME_BINS = 64
 
@@ -30,8 +30,8 @@ def curve_for_each_key(curve: DataFrame, series: DataFrame, keys: Sequence[str],
     Ranges are spread over equal time bins, so points meet ranges by an equi-join
     on the bin and no point is paired with a key it does not overlap.
     """
-    ranges = series.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    lo, hi = series.agg(F.min(time), F.max(time)).first()
+    ranges = durable(series.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi")))
+    lo, hi = ranges.agg(F.min("_lo"), F.max("_hi")).first()
     if lo is None:  # no series, hence no overlap
         lo = hi = 0.0
     width = (hi - lo) / TIME_BINS or 1.0
