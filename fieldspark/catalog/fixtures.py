@@ -80,9 +80,10 @@ ORDER_SQL = """CASE "case" WHEN 'A' THEN 5 WHEN 'N' THEN 7 WHEN 'R' THEN 11
   ELSE TRY_CAST(regexp_replace("case", '^N', '') AS INTEGER) END"""
 
 
-def nodes(all_points: DataFrame) -> DataFrame:
-    """Slice at mid y, points merged per node; x and z take few values, so these are grid nodes."""
-    merged = average_fields_per_node(slice_plane(all_points, KEYS), KEYS, FIELDS)
+def nodes(all_points: DataFrame, sliced: bool = True) -> DataFrame:
+    """Points (of the slice at mid y) merged per node; x and z take few values, so these are grid nodes."""
+    kept = slice_plane(all_points, KEYS) if sliced else all_points
+    merged = average_fields_per_node(kept, KEYS, FIELDS)
     return merged.withColumns({"ix": F.col("x").cast("int"), "iz": F.rint(F.col("z") * 100).cast("int")})
 
 
@@ -97,11 +98,11 @@ SLICE_SQL = f"""lv AS (SELECT comparison_set, "case", {ROUND_SQL.format("y")} AS
   sel AS (SELECT comparison_set, "case", y0, level AS selected_y, n_levels FROM ranked WHERE rn = 1),
   sl AS (SELECT pts.*, y0, selected_y, n_levels FROM pts JOIN sel USING (comparison_set, "case")
     WHERE {ROUND_SQL.format("y")} = selected_y)"""
-NODES_SQL = f"""{SLICE_SQL},
-  nodes AS (SELECT comparison_set, "case", {ROUND_SQL.format("x")} AS x, {ROUND_SQL.format("z")} AS z,
+MERGED_SQL = f"""nodes AS (SELECT comparison_set, "case", {ROUND_SQL.format("x")} AS x, {ROUND_SQL.format("z")} AS z,
     CAST({ROUND_SQL.format("x")} AS INTEGER) AS ix, CAST(round_even({ROUND_SQL.format("z")} * 100, 0) AS INTEGER) AS iz,
     avg(C) AS C, avg(u) AS u, avg(v) AS v, avg(w) AS w, avg(p) AS p
-    FROM sl GROUP BY 1, 2, 3, 4, 5, 6)"""
+    FROM {{source}} GROUP BY 1, 2, 3, 4, 5, 6)"""
+NODES_SQL = f"{SLICE_SQL}, {MERGED_SQL.format(source='sl')}"
 
 
 def selection(all_points: DataFrame, reference: str = REFERENCE) -> DataFrame:

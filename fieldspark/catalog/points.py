@@ -13,7 +13,7 @@ from fieldspark.plans import rollup
 KEYS = fx.KEYS
 PTS = fx.POINTS_SQL
 NODES = f"{fx.POINTS_SQL}, {fx.NODES_SQL}, {fx.selection_sql()}"
-NODES_BY_LINE = f"{fx.POINTS_BY_LINE_SQL}, {fx.NODES_SQL}, {fx.selection_sql('N11')}"
+NODES_BY_LINE = f"{fx.POINTS_BY_LINE_SQL}, {fx.MERGED_SQL.format(source='pts')}, {fx.selection_sql('N11')}"
 
 
 # --- snapshots ---------------------------------------------------------------------
@@ -590,7 +590,7 @@ def _sets(points):
 
 def _error_tables(spark, sf_dir):
     points = fx.points_by_line(spark, sf_dir)
-    gridded, selection = fx.nodes(points), fx.selection(points, "N11")
+    gridded, selection = fx.nodes(points, sliced=False), fx.selection(points, "N11")
     tables = {
         "concentration": compare.concentration_errors(gridded, selection),
         "velocity": compare.velocity_errors(gridded, selection),
@@ -681,5 +681,5 @@ def error_vs_time(spark, sf_dir):
 )
 def error_vs_order(spark, sf_dir):
     points = fx.points_by_line(spark, sf_dir)
-    errors = compare.concentration_errors(fx.nodes(points), fx.selection(points, "N11"))
+    errors = compare.concentration_errors(fx.nodes(points, sliced=False), fx.selection(points, "N11"))
     return views.error_vs_order(errors, "relative_L2_C").orderBy("comparison_set", "order")

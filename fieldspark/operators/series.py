@@ -192,7 +192,8 @@ def savgol_column(tiles: Tiles, value: str, window: int, polyorder: int) -> Colu
     start = F.greatest(
         F.lit(1), F.least(F.col("_rn") - (width - 1) / 2, F.col("_n") - width + 1)
     ).cast("long")
-    samples = F.slice(near, (start - near[0]["_rn"] + 1).cast("int"), width)
+    # Outer halo rows lack their samples; their value is dropped later, so any slice will do.
+    samples = F.slice(near, F.greatest(F.lit(1), start - near[0]["_rn"] + 1).cast("int"), width)
     fitted = average
     for length in lengths:
         degree = min(max(0, int(polyorder)), length - 1)
