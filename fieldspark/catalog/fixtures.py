@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.operators.grid import average_fields_per_node
 from fieldspark.operators.series import cumulative_sum
 from fieldspark.operators.slicing import slice_plane
+from fieldspark.plans.scale import durable
 from fieldspark.plans.selection import selection_from_points
 
 KEYS = ["comparison_set", "case"]
@@ -106,7 +107,7 @@ NODES_SQL = f"{SLICE_SQL}, {MERGED_SQL.format(source='sl')}"
 
 
 def selection(all_points: DataFrame, reference: str = REFERENCE) -> DataFrame:
-    return selection_from_points(all_points, cases(all_points), reference)
+    return durable(selection_from_points(all_points, cases(all_points), reference))
 
 
 def selection_sql(reference: str = REFERENCE) -> str:

@@ -6,6 +6,8 @@ from fieldspark.catalog import fixtures as fx
 from fieldspark.catalog.registry import register
 from fieldspark.operators import compare, grid
 from fieldspark.operators.regrid import regrid
+from fieldspark.plans.comparison import compare_fields
+from fieldspark.plans.selection import selection_from_points
 
 NX, NZ = 20, 16
 FIELDS = ["u", "v", "w", "speed"]
@@ -19,19 +21,28 @@ def _scatter(spark, sf_dir):
     return points, nodes
 
 
-GRID_SQL = f"""{fx.SCATTER_SQL},
-  box AS (SELECT "case", min(x) AS xmin, max(x) AS xmax, min(z) AS zmin, max(z) AS zmax FROM scatter GROUP BY 1),
+OWN_BOX = """box AS (SELECT "case", min(x) AS xmin, max(x) AS xmax, min(z) AS zmin, max(z) AS zmax
+  FROM scatter GROUP BY 1)"""
+COMMON_BOX = """own AS (SELECT "case", min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM scatter GROUP BY 1),
+  box AS (SELECT "case", max(x0) OVER () AS xmin, min(x1) OVER () AS xmax, max(z0) OVER () AS zmin,
+    min(z1) OVER () AS zmax FROM own)"""
+
+
+def _grid_sql(box: str) -> str:
+    return f"""{fx.SCATTER_SQL}, {box},
   g AS (SELECT "case", CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iz,
     CASE WHEN i = {NX - 1} THEN xmax ELSE xmin + i * ((xmax - xmin) / {NX - 1}.0::DOUBLE) END AS gx,
     CASE WHEN j = {NZ - 1} THEN zmax ELSE zmin + j * ((zmax - zmin) / {NZ - 1}.0::DOUBLE) END AS gz
     FROM box CROSS JOIN range({NX}) AS a(i) CROSS JOIN range({NZ}) AS b(j))"""
 
-NEAREST_SQL = f"""{GRID_SQL}, near AS (SELECT g."case", iz, ix, gx, gz, u, v, w, speed FROM g JOIN scatter s
+
+NEAREST_SQL = f"""{_grid_sql(OWN_BOX)}, near AS (SELECT g."case", iz, ix, gx, gz, u, v, w, speed FROM g JOIN scatter s
   ON s."case" = g."case" QUALIFY row_number() OVER (PARTITION BY g."case", iz, ix
   ORDER BY (s.x - gx) * (s.x - gx) + (s.z - gz) * (s.z - gz), s.z, s.x) = 1)"""
 
-# Every triangle whose circumcircle holds no other point, by brute force, then the one around each node.
-LINEAR_SQL = f"""{GRID_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY x, z) AS id FROM scatter),
+def _linear_sql(box: str) -> str:
+    """Every triangle whose circumcircle holds no other point, by brute force, then the one around each node."""
+    return f"""{_grid_sql(box)}, p AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY x, z) AS id FROM scatter),
   t AS (SELECT a."case", a.id AS ia, b.id AS ib, c.id AS ic, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz,
     c.x AS cx, c.z AS cz, (b.x - a.x) * (c.z - a.z) - (b.z - a.z) * (c.x - a.x) AS area
     FROM p a JOIN p b ON b."case" = a."case" AND b.id > a.id JOIN p c ON c."case" = a."case" AND c.id > b.id),
@@ -54,6 +65,9 @@ LINEAR_SQL = f"""{GRID_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY "ca
     LEFT JOIN p c ON c."case" = k."case" AND c.id = k.ic)"""
 
 
+LINEAR_SQL = _linear_sql(OWN_BOX)
+
+
 @register(
     "regrid_linear",
     "case iz ix",
@@ -128,3 +142,43 @@ def speed_order_diag_nearest(spark, sf_dir):
     points, nodes = _scatter(spark, sf_dir)
     gridded = regrid(points, nodes, FIELDS, method="nearest")
     return compare.speed_order_diagnostic(gridded, gridded, KEYS)
+
+
+COMPARED_SQL = f"""WITH {_linear_sql(COMMON_BOX)},
+  n AS (SELECT "case", ix, iz, gx AS x, u AS C, sqrt(u * u + v * v + w * w) AS speed, u, v, w, speed AS p FROM lin),
+  ok AS (SELECT ix, iz, count(C) = (SELECT count(DISTINCT "case") FROM n) AS in_mask FROM n GROUP BY 1, 2),
+  means AS (SELECT "case", avg(p) AS mp FROM n JOIN ok USING (ix, iz) WHERE in_mask GROUP BY 1),
+  m AS (SELECT a."case", a.x, a.C, r.C AS rc, a.speed, r.speed AS rs, a.p - pa.mp AS pp, r.p - pr.mp AS rp
+    FROM n a JOIN n r ON r."case" = '9' AND r.ix = a.ix AND r.iz = a.iz JOIN ok ON ok.ix = a.ix AND ok.iz = a.iz
+    JOIN means pa ON pa."case" = a."case" JOIN means pr ON pr."case" = '9' WHERE in_mask)
+  SELECT 'all' AS comparison_set, "case", count(*) AS valid_point_count, CAST({NX * NZ} AS BIGINT) AS total_grid_point_count,
+  sqrt(sum((C - rc) ** 2) / sum(rc ** 2)) AS "relative_L2_C", avg(abs(C - rc)) AS "mean_abs_error_C",
+  sqrt(sum((speed - rs) ** 2) / sum(rs ** 2)) AS "relative_L2_speed", max(abs(speed - rs)) AS "absolute_Linf_speed",
+  sqrt(sum((pp - rp) ** 2) / sum(rp ** 2)) AS "relative_L2_p_prime", avg(abs(pp - rp)) AS mean_abs_error_p_prime,
+  max(CASE WHEN C > (SELECT 0.2 * max(C) FROM m WHERE "case" = '9') THEN x END) AS x_front
+  FROM m WHERE "case" <> '9' GROUP BY "case" """
+
+
+@register(
+    "regrid_field_errors",
+    "comparison_set case valid_point_count total_grid_point_count",
+    "relative_L2_C mean_abs_error_C relative_L2_speed absolute_Linf_speed relative_L2_p_prime "
+    "mean_abs_error_p_prime x_front",
+    COMPARED_SQL,
+)
+def regrid_field_errors(spark, sf_dir):
+    """The whole way from scattered points to error tables: common grid, interpolation, mask, errors."""
+    points = fx.scatter(spark, sf_dir).withColumns(
+        {"C": fx.F.col("u"), "p": fx.F.col("speed"), "idx": fx.F.col("case").cast("int")}
+    )
+    cases = points.select("case", fx.F.col("idx").alias("order")).distinct()
+    chosen = selection_from_points(points, cases, "9")
+    result = compare_fields(points, chosen, nx=NX, nz=NZ, front_ratio=0.2)
+    counts = ["valid_point_count", "total_grid_point_count"]
+    keys = ["comparison_set", "case"]
+    joined = (
+        result.concentration.select(*keys, *counts, "relative_L2_C", "mean_abs_error_C")
+        .join(result.velocity.select(*keys, "relative_L2_speed", "absolute_Linf_speed"), keys)
+        .join(result.pressure.select(*keys, "relative_L2_p_prime", "mean_abs_error_p_prime"), keys)
+    )
+    return joined.join(result.fronts.select(*keys, "x_front"), keys)

@@ -34,8 +34,8 @@ def with_reference(
 
     A node is in the mask when ``mask_field`` is finite there in every case of the set.
     """
-    facts = selection.select(*sets, case, *SELECTION)
-    rows = attach(gridded.withColumns({f: finite_or_null(f) for f in fields}), facts, [*sets, case])
+    cleaned = gridded.withColumns({f: finite_or_null(f) for f in fields})
+    rows = attach(cleaned, selection, [*sets, case]).drop("target_time")
     at_node = Window.partitionBy(*sets, *node)
     is_ref = F.col(case) == F.col("reference_case")
     added = {

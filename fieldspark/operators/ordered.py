@@ -38,6 +38,11 @@ class Tiles:
         tile = () if self.single else ("_tile",)
         return Window.partitionBy(*self.keys, *tile).orderBy(*self.order)
 
+    @property
+    def reversed_window(self) -> WindowSpec:
+        tile = () if self.single else ("_tile",)
+        return Window.partitionBy(*self.keys, *tile).orderBy(*map(F.desc, self.order))
+
     def with_columns(self, columns: dict[str, Column]) -> Tiles:
         return replace(self, rows=self.rows.withColumns(columns))
 
@@ -58,8 +63,8 @@ def tile_rows(
 ) -> Tiles:
     """Number the rows of each key by ``order`` (unique within a key) and tile them."""
     keys, order = tuple(keys), tuple(order)
-    sizes = df.groupBy(*keys).count().agg(F.max("count"), F.min("count")).first()
-    largest, smallest = sizes[0] or 0, sizes[1] or 0
+    sizes = df.groupBy(*keys).count().agg(F.max("count"), F.min("count"), F.sum("count")).first()
+    largest, smallest, total = (size or 0 for size in sizes)
     if largest <= tile_size:
         by_key = Window.partitionBy(*keys)
         rows = df.withColumns(
@@ -73,7 +78,7 @@ def tile_rows(
         return Tiles(rows, keys, order, True, smallest)
     if halo > tile_size:
         raise ValueError("A tile must hold at least as many rows as the halo.")
-    numbered = _number_rows(df, keys, order, tile_size)
+    numbered = _number_rows(df, keys, order, max(2, -(-total // tile_size)))
     pos, tile = (F.col("_rn") - 1) % tile_size, F.floor((F.col("_rn") - 1) / tile_size)
     last_tile = F.floor((F.col("_n") - 1) / tile_size)
     copies = F.array(
@@ -89,10 +94,8 @@ def tile_rows(
     return Tiles(rows, keys, order, False, smallest)
 
 
-def _number_rows(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], tile_size: int) -> DataFrame:
+def _number_rows(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], parts: int) -> DataFrame:
     """Global row numbers per key: range partitions, local positions, partition offsets."""
-    total = df.count()
-    parts = max(2, -(-total // tile_size))
     # The written table fixes which partition each row fell into.
     ranged = spooled(
         df.repartitionByRange(parts, *keys, *order)
@@ -136,12 +139,13 @@ def running_sum(tiles: Tiles, value: Column, name: str) -> Tiles:
 def nearest_marked(tiles: Tiles, marked: Column, value: Column, before: str, after: str) -> Tiles:
     """Add the latest marked ``value`` at or before each row and the first one at or after it."""
     core = tiles.core().with_columns({"_mark": F.when(marked, value)})
-    back = core.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = core.window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Looking ahead is looking back in descending order: a frame that starts at the
+    # current row and ends at the partition's end would be read anew for every row.
+    upto = (Window.unboundedPreceding, Window.currentRow)
     local = core.with_columns(
         {
-            before: F.last("_mark", ignorenulls=True).over(back),
-            after: F.first("_mark", ignorenulls=True).over(ahead),
+            before: F.last("_mark", ignorenulls=True).over(core.window.rowsBetween(*upto)),
+            after: F.last("_mark", ignorenulls=True).over(core.reversed_window.rowsBetween(*upto)),
         }
     )
     if tiles.single:
@@ -151,15 +155,15 @@ def nearest_marked(tiles: Tiles, marked: Column, value: Column, before: str, aft
     ends = core.rows.groupBy(*core.keys, "_tile").agg(
         F.max_by("_mark", at_mark).alias("_last"), F.min_by("_mark", at_mark).alias("_first")
     )
-    tiles_of_key = Window.partitionBy(*core.keys).orderBy("_tile")
+    by_key, earlier = Window.partitionBy(*core.keys), (Window.unboundedPreceding, -1)
     carried = ends.select(
         *core.keys,
         "_tile",
         F.last("_last", ignorenulls=True)
-        .over(tiles_of_key.rowsBetween(Window.unboundedPreceding, -1))
+        .over(by_key.orderBy("_tile").rowsBetween(*earlier))
         .alias("_carry_in"),
-        F.first("_first", ignorenulls=True)
-        .over(tiles_of_key.rowsBetween(1, Window.unboundedFollowing))
+        F.last("_first", ignorenulls=True)
+        .over(by_key.orderBy(F.desc("_tile")).rowsBetween(*earlier))
         .alias("_carry_back"),
     )
     rows = attach(local.rows, carried, [*core.keys, "_tile"]).withColumns(

@@ -78,8 +78,8 @@ def build_tree(points: DataFrame, keys: Sequence[str], x: str, z: str, leaf_size
         flat = points.withColumns({"_lv": F.lit(0), "_lx": zero, "_lz": zero, "_fx": zero, "_fz": zero})
         return Tree(flat, root, box, keys, x, z, 0, leaf_size, measured_bytes(root) <= BROADCAST_BYTES)
 
-    depth = min(MAX_DEPTH, ceil(log2(largest / leaf_size) / 2) + 2)
-    boxed = attach(points, box, keys, fixed=True)
+    depth = min(MAX_DEPTH, ceil(log2(largest / leaf_size) / 2) + 1)
+    boxed = attach(points, box, keys)
     while True:
         placed = boxed.withColumns(
             {"_fx": _cell_index(x, "_x0", "_xs", depth), "_fz": _cell_index(z, "_z0", "_zs", depth)}
@@ -97,7 +97,7 @@ def build_tree(points: DataFrame, keys: Sequence[str], x: str, z: str, leaf_size
         {"cx": F.floor(F.col("_fx") / scale).cast("long"), "cz": F.floor(F.col("_fz") / scale).cast("long")}
     )
     cells = durable(levels.groupBy(*keys, "level", "cx", "cz").agg(F.sum("n").alias("n")))
-    sized = attach(levels.drop("n"), cells, [*keys, "level", "cx", "cz"], fixed=True)
+    sized = attach(levels.drop("n"), cells, [*keys, "level", "cx", "cz"])
     fits = (F.col("n") <= leaf_size) | (F.col("level") == depth)
     own_leaf = F.min(F.when(fits, F.struct(F.col("level"), "cx", "cz")))
     leaf_of = sized.groupBy(*keys, "_fx", "_fz").agg(own_leaf.alias("_leaf"))
@@ -122,7 +122,7 @@ def candidate_leaves(
     ``within`` names a column with a squared distance beyond which points do not matter.
     """
     ids = [*tree.keys, *query_id]
-    rows = attach(queries, tree.box, tree.keys, fixed=True).withColumns(
+    rows = attach(queries, tree.box, tree.keys).withColumns(
         {"level": F.lit(0), "cx": F.lit(0).cast("long"), "cz": F.lit(0).cast("long")}
     )
     rows = rows.join(tree.cell_table(), [*tree.keys, "level", "cx", "cz"])

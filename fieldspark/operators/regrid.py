@@ -30,7 +30,7 @@ from fieldspark.operators.grid import DEDUP_DECIMALS, average_duplicates
 from fieldspark.operators.quadtree import Tree, build_tree, candidate_leaves, nearest_points
 from fieldspark.plans.scale import attach, durable
 
-NEAREST_LEAF = 64
+NEAREST_LEAF = 256
 TILE_POINTS = 512
 TILE_NODES = 4096
 HULL_SALTS = 64
@@ -260,7 +260,7 @@ def _tile_surroundings(tree: Tree) -> tuple[DataFrame, DataFrame]:
     tile = [*keys, "_lv", "_lx", "_lz"]
     whole = F.coalesce("_known", F.lit(0)) + F.coalesce("_covered", F.lit(0)) >= F.col("_needed")
     reach = needed.join(known, tile, "left").join(covered, tile, "left").select(*tile, F.when(whole, 1).otherwise(0).alias("_ring"))
-    bounds = attach(reach, tree.box, keys, fixed=True)
+    bounds = attach(reach, tree.box, keys)
     cells = F.pow(F.lit(2.0), F.col("_lv").cast("double"))
     inf = float("inf")
 
@@ -315,13 +315,13 @@ def _linear(
     chunks = placed.groupBy(*keys, *own_tile).agg(F.ceil(F.count(F.lit(1)) / TILE_NODES).cast("int").alias("_chunks"))
     chunks = durable(chunks)
     node_hash = F.xxhash64(*NODE)
-    placed = attach(placed, chunks, [*keys, *own_tile], fixed=True).withColumn(
+    placed = attach(placed, chunks, [*keys, *own_tile]).withColumn(
         "_chunk", F.pmod(node_hash, F.col("_chunks").cast("long")).cast("int")
     )
     spread = chunks.select(*keys, *own_tile, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
     cloud_rows = lent.withColumn("_pos", F.lit(-1))
     cloud_rows = attach(cloud_rows, spread, [*keys, *own_tile])
-    hull_rows = attach(spread, hulls, keys, fixed=True)
+    hull_rows = attach(spread, hulls, keys)
     columns = [*keys, *TILE, "_X", "_Z", "_values", "_pos"]
     supply = cloud_rows.select(*columns).unionByName(hull_rows.select(*columns))
     # Both sides of the grouping stem from the same tables, so one side gets fresh columns.

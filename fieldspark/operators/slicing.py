@@ -69,11 +69,8 @@ def extent(points: DataFrame, keys: Sequence[str], axis: str = "y") -> DataFrame
 
 
 def plane_levels(points: DataFrame, keys: Sequence[str], decimals: int = Y_ROUND_DECIMALS) -> DataFrame:
-    """The distinct rounded y levels of each snapshot with the raw range inside each."""
-    y = F.col("y")
-    return points.groupBy(*keys, half_even(y, decimals).alias("level")).agg(
-        F.min(y).alias("_lo"), F.max(y).alias("_hi"), F.count(F.lit(1)).alias("_rows")
-    )
+    """The distinct rounded y levels of each snapshot."""
+    return points.select(*keys, half_even("y", decimals).alias("level")).distinct()
 
 
 def select_plane(
@@ -81,16 +78,16 @@ def select_plane(
 ) -> DataFrame:
     """Per snapshot: target y0, the nearest level (lowest on a tie) and the level count."""
     levels = plane_levels(points, keys, decimals)
-    bounds = levels.groupBy(*keys).agg(
-        F.min("_lo").alias("ymin"), F.max("_hi").alias("ymax"), F.count(F.lit(1)).alias("_levels")
-    )
-    target = F.lit(float(y0)) if y0 is not None else 0.5 * (F.col("ymin") + F.col("ymax"))
-    candidates = attach(levels, bounds.withColumn("y0", target), keys)
+    if y0 is None:
+        middle = 0.5 * (F.col("y_min") + F.col("y_max"))
+        levels = attach(levels, extent(points, keys).select(*keys, middle.alias("y0")), keys)
+    else:
+        levels = levels.withColumn("y0", F.lit(float(y0)))
     nearest = F.min(F.struct(F.abs(F.col("level") - F.col("y0")).alias("d"), F.col("level").alias("l")))
-    return candidates.groupBy(*keys).agg(
+    return levels.groupBy(*keys).agg(
         F.first("y0").alias("y0"),
         nearest["l"].alias("selected_y"),
-        F.first("_levels").alias("rounded_unique_y_count_before_selection"),
+        F.count(F.lit(1)).alias("rounded_unique_y_count_before_selection"),
     )
 
 

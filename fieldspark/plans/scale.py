@@ -14,10 +14,13 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
+# Attribute under which a durable DataFrame keeps what is known about it.
+_MARK = "_fieldspark_durable"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -36,9 +39,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute a small table once and keep it in the checkpoint folder."""
+    """Compute a small table once and keep it in the checkpoint folder.
+
+    A table that is durable already is returned as it is.
+    """
+    if getattr(df, _MARK, None) is not None:
+        return df
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    setattr(kept, _MARK, {})
+    return kept
 
 
 def spooled(df: DataFrame) -> DataFrame:
@@ -48,10 +58,22 @@ def spooled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _width(field: T.StructField) -> Column | int:
+    """Bytes of one value: measured for text and arrays, else the type's nominal width."""
+    if isinstance(field.dataType, T.StringType):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+    if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) + 8
+    return 8
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Size of a materialised small table, measured over its rows as JSON text."""
-    row = F.octet_length(F.to_json(F.struct(*df.columns)))
-    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    """Size of a materialised small table, measured over its rows; measured once per table."""
+    facts = getattr(df, _MARK, {})
+    if "bytes" not in facts:
+        row = sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+        facts["bytes"] = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return facts["bytes"]
 
 
 def attach(
@@ -60,13 +82,9 @@ def attach(
     on: Sequence[str],
     how: str = "inner",
     budget: int = BROADCAST_BYTES,
-    fixed: bool = False,
 ) -> DataFrame:
-    """Join per-key ``facts`` onto ``df`` without shuffling ``df`` when the facts are small.
-
-    Pass ``fixed=True`` when ``facts`` already came from ``durable``.
-    """
-    table = facts if fixed else durable(facts)
+    """Join per-key ``facts`` onto ``df`` without shuffling ``df`` when the facts are small."""
+    table = durable(facts)
     if measured_bytes(table) <= budget:
         table = F.broadcast(table)
     return df.join(table, list(on), how)

@@ -199,7 +199,10 @@ def locate(wanted: DataFrame, files: DataFrame, expected_path: str = "expected_p
     ``files`` holds path, case, index and comparison_set; a file without a set fits any set.
     """
     exact = files.select(F.col("path").alias(expected_path), F.lit(True).alias("_exact")).distinct()
-    described = files.select("path", "case", "index", F.nullif("comparison_set", F.lit("")).alias("_set"))
+    # First path per distinct metadata, so that one much-copied snapshot is one row per set.
+    described = files.groupBy("case", "index", F.nullif("comparison_set", F.lit("")).alias("_set")).agg(
+        F.min("path").alias("path")
+    )
     keys = wanted.columns
     matches = wanted.join(exact, expected_path, "left").join(described, ["case", "index"], "left")
     fits = F.col("_set").isNull() | (F.col("_set") == F.col("comparison_set"))
