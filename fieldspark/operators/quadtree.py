@@ -11,44 +11,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, log2
+from math import ceil, inf, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.plans.scale import BROADCAST_BYTES, attach, durable, measured_bytes
+from fieldspark.plans.scale import attach, durable
 
 MAX_DEPTH = 48
+# Levels the search goes down per join.
+STRIDE = 3
 # Relative slack that keeps a cell whose edge rounding could hide the nearest point.
 SLACK = 1e-9
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``points`` carry their leaf (``_lv, _lx, _lz``) and their finest cell (``_fx, _fz``)."""
+    """``points`` carry their leaf (``_lv, _lx, _lz``)."""
 
     points: DataFrame
-    cells: DataFrame  # keys, level, cx, cz, n
+    cells: DataFrame  # keys, level, cx, cz, n: occupied cells of every level
+    leaves: DataFrame  # keys, level, cx, cz, n
+    steps: DataFrame  # keys, _from, _fx, _fz and the cells the search reaches from there
     box: DataFrame  # keys, _x0, _xs, _z0, _zs
     keys: tuple[str, ...]
     x: str
     z: str
     depth: int
     leaf_size: int
-    small: bool
-
-    def cell_table(self) -> DataFrame:
-        return F.broadcast(self.cells) if self.small else self.cells
-
-    def leaves(self) -> DataFrame:
-        """Leaf cells only: small enough themselves while their parent is not."""
-        leaf = (F.col("n") <= self.leaf_size) | (F.col("level") == self.depth)
-        parents = self.cells.filter(F.col("n") > self.leaf_size).select(
-            *self.keys, (F.col("level") + 1).alias("level"), F.col("cx").alias("_px"), F.col("cz").alias("_pz")
-        )
-        under = self.cells.filter(leaf).withColumns({"_px": F.shiftright("cx", 1), "_pz": F.shiftright("cz", 1)})
-        deep = under.filter("level > 0").join(parents, [*self.keys, "level", "_px", "_pz"], "left_semi")
-        return deep.unionByName(under.filter("level = 0")).drop("_px", "_pz")
 
 
 def _cell_index(value: str, low: str, span: str, depth: int) -> Column:
@@ -71,47 +61,78 @@ def build_tree(points: DataFrame, keys: Sequence[str], x: str, z: str, leaf_size
         )
     )
     largest = box.agg(F.max("_count")).first()[0] or 0
-    root = box.select(*keys, F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cz"), F.col("_count").alias("n"))
-    box = box.drop("_count")
+    zero = F.lit(0).cast("long")
     if largest <= leaf_size:
-        zero = F.lit(0).cast("long")
-        flat = points.withColumns({"_lv": F.lit(0), "_lx": zero, "_lz": zero, "_fx": zero, "_fz": zero})
-        return Tree(flat, root, box, keys, x, z, 0, leaf_size, measured_bytes(root) <= BROADCAST_BYTES)
+        root = box.select(*keys, F.lit(0).alias("level"), zero.alias("cx"), zero.alias("cz"), F.col("_count").alias("n"))
+        flat = points.withColumns({"_lv": F.lit(0), "_lx": zero, "_lz": zero})
+        return Tree(flat, root, root, root, box, keys, x, z, 0, leaf_size)
 
-    depth = min(MAX_DEPTH, ceil(log2(largest / leaf_size) / 2) + 1)
-    boxed = attach(points, box, keys)
+    boxed, depth = attach(points, box, keys), min(MAX_DEPTH, _levels_for(largest / leaf_size))
     while True:
         placed = boxed.withColumns(
             {"_fx": _cell_index(x, "_x0", "_xs", depth), "_fz": _cell_index(z, "_z0", "_zs", depth)}
         )
-        fine = durable(placed.groupBy(*keys, "_fx", "_fz").agg(F.count(F.lit(1)).alias("n")))
-        if depth >= MAX_DEPTH or fine.agg(F.max("n")).first()[0] <= leaf_size:
+        extents = [F.first("_xs") / (F.max(x) - F.min(x)), F.first("_zs") / (F.max(z) - F.min(z))]
+        # How much finer than the box the points of the cell lie; NULL when they share a coordinate.
+        finer = F.least(*(F.when(F.max(c) > F.min(c), e) for c, e in zip((x, z), extents, strict=True)))
+        fine = durable(placed.groupBy(*keys, "_fx", "_fz").agg(F.count(F.lit(1)).alias("n"), finer.alias("_finer")))
+        full = fine.filter(F.col("n") > leaf_size).agg(F.max("n"), F.max("_finer")).first()
+        if full[0] is None or depth >= MAX_DEPTH:
             break
-        depth = min(MAX_DEPTH, depth + 4)
-
-    levels = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    up = F.lit(depth) - F.col("level")
-    # shiftright takes a constant only; dividing by a power of two is exact here.
-    scale = F.pow(F.lit(2.0), up.cast("double"))
-    levels = levels.withColumns(
-        {"cx": F.floor(F.col("_fx") / scale).cast("long"), "cz": F.floor(F.col("_fz") / scale).cast("long")}
-    )
+        deeper = max(0, ceil(log2(full[1] or 1.0)) - depth) + _levels_for(full[0] / leaf_size)
+        depth = min(MAX_DEPTH, depth + deeper)
+
+    levels = fine.select(*keys, "_fx", "_fz", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    levels = levels.withColumns({"cx": _ancestor("_fx", depth), "cz": _ancestor("_fz", depth)})
     cells = durable(levels.groupBy(*keys, "level", "cx", "cz").agg(F.sum("n").alias("n")))
-    sized = attach(levels.drop("n"), cells, [*keys, "level", "cx", "cz"])
-    fits = (F.col("n") <= leaf_size) | (F.col("level") == depth)
-    own_leaf = F.min(F.when(fits, F.struct(F.col("level"), "cx", "cz")))
-    leaf_of = sized.groupBy(*keys, "_fx", "_fz").agg(own_leaf.alias("_leaf"))
-    leaf_of = leaf_of.select(
+    # Cells below a leaf are not part of the tree.
+    split = cells.filter((F.col("n") > leaf_size) & (F.col("level") < depth))
+    inner = split.select(*keys, (F.col("level") + 1).alias("level"), F.col("cx").alias("_px"), F.col("cz").alias("_pz"))
+    under = cells.withColumns({"_px": F.shiftright("cx", 1), "_pz": F.shiftright("cz", 1)})
+    tree_cells = durable(under.join(inner, [*keys, "level", "_px", "_pz"], "left_semi").drop("_px", "_pz"))
+    is_leaf = (F.col("n") <= leaf_size) | (F.col("level") == depth)
+    # The root of a key small enough to be a leaf has no parent.
+    roots = cells.filter((F.col("level") == 0) & is_leaf)
+    leaves = durable(tree_cells.filter(is_leaf).unionByName(roots))
+
+    leaf_levels = [r["level"] for r in leaves.select("level").distinct().collect()]
+    at_leaf_levels = placed.drop("_x0", "_xs", "_z0", "_zs").withColumn("_lv", F.explode(F.array(*map(F.lit, leaf_levels))))
+    at_leaf_levels = at_leaf_levels.withColumns({"_lx": _ancestor("_fx", depth, "_lv"), "_lz": _ancestor("_fz", depth, "_lv")})
+    own = leaves.select(*keys, F.col("level").alias("_lv"), F.col("cx").alias("_lx"), F.col("cz").alias("_lz"))
+    assigned = attach(at_leaf_levels, own, [*keys, "_lv", "_lx", "_lz"]).drop("_fx", "_fz")
+    return Tree(assigned, cells, leaves, _search_steps(tree_cells, leaves, keys, depth, is_leaf), box, keys, x, z, depth, leaf_size)
+
+
+def _levels_for(ratio: float) -> int:
+    """Levels that split evenly spread points that far, and one to spare."""
+    return max(1, ceil(log2(max(ratio, 1.0)) / 2) + 1)
+
+
+def _ancestor(index: str, depth: int, level: str = "level") -> Column:
+    """Cell index at another level; the division by a power of two is exact."""
+    return F.floor(F.col(index) / F.pow(F.lit(2.0), (F.lit(depth) - F.col(level)).cast("double"))).cast("long")
+
+
+def _search_steps(tree_cells: DataFrame, leaves: DataFrame, keys: Sequence[str], depth: int, is_leaf: Column) -> DataFrame:
+    """Cells reached from a cell in one step: those ``STRIDE`` levels below, and leaves on the way.
+
+    A leaf leads to itself, so that it stays a candidate.
+    """
+    start = (F.floor((F.col("level") - 1) / STRIDE) * STRIDE).cast("int")
+    last = (F.col("level") % STRIDE == 0) | (F.col("level") == depth)
+    reached = tree_cells.filter(last | is_leaf).withColumn("_from", start)
+    shrink = F.pow(F.lit(2.0), (F.col("level") - F.col("_from")).cast("double"))
+    down = reached.select(
         *keys,
-        "_fx",
-        "_fz",
-        F.col("_leaf.level").alias("_lv"),
-        F.col("_leaf.cx").alias("_lx"),
-        F.col("_leaf.cz").alias("_lz"),
+        "_from",
+        F.floor(F.col("cx") / shrink).cast("long").alias("_fx"),
+        F.floor(F.col("cz") / shrink).cast("long").alias("_fz"),
+        "level",
+        "cx",
+        "cz",
     )
-    assigned = attach(placed.drop("_x0", "_xs", "_z0", "_zs"), leaf_of, [*keys, "_fx", "_fz"])
-    small = measured_bytes(cells) <= BROADCAST_BYTES
-    return Tree(assigned, cells, box, keys, x, z, depth, leaf_size, small)
+    stay = leaves.select(*keys, F.col("level").alias("_from"), F.col("cx").alias("_fx"), F.col("cz").alias("_fz"), "level", "cx", "cz")
+    return durable(down.unionByName(stay))
 
 
 def candidate_leaves(
@@ -122,37 +143,23 @@ def candidate_leaves(
     ``within`` names a column with a squared distance beyond which points do not matter.
     """
     ids = [*tree.keys, *query_id]
-    rows = attach(queries, tree.box, tree.keys).withColumns(
-        {"level": F.lit(0), "cx": F.lit(0).cast("long"), "cz": F.lit(0).cast("long")}
+    zero = F.lit(0).cast("long")
+    rows = attach(queries, tree.box.drop("_count"), tree.keys).withColumns(
+        {"level": F.lit(0), "cx": zero, "cz": zero, "_bound": F.col(within) if within else F.lit(inf)}
+    )
+    rows = rows.withColumns(_cell_distances(qx, qz))
+    for _ in range(ceil(tree.depth / STRIDE)):
+        rows = rows.withColumnsRenamed({"level": "_from", "cx": "_fx", "cz": "_fz"}).drop("_near", "_far")
+        rows = attach(rows, tree.steps, [*tree.keys, "_from", "_fx", "_fz"]).drop("_from", "_fx", "_fz")
+        # The bound of the step before drops most cells before the shuffle.
+        rows = rows.withColumns(_cell_distances(qx, qz)).filter(F.col("_near") <= F.col("_bound"))
+        nearest_far = F.min("_far").over(Window.partitionBy(*ids))
+        size = F.col("_xs") * F.col("_xs") + F.col("_zs") * F.col("_zs")
+        rows = rows.withColumn("_bound", F.least(F.col("_bound"), nearest_far * (1 + SLACK) + SLACK * SLACK * size))
+        rows = rows.filter(F.col("_near") <= F.col("_bound"))
+    return rows.withColumnsRenamed({"level": "_lv", "cx": "_lx", "cz": "_lz"}).drop(
+        "_x0", "_xs", "_z0", "_zs", "_far", "_bound"
     )
-    rows = rows.join(tree.cell_table(), [*tree.keys, "level", "cx", "cz"])
-    for _ in range(tree.depth):
-        split = F.col("n") > tree.leaf_size
-        below = F.array(
-            *(
-                F.struct(
-                    (F.col("level") + 1).alias("level"),
-                    (2 * F.col("cx") + dx).alias("cx"),
-                    (2 * F.col("cz") + dz).alias("cz"),
-                )
-                for dx in (0, 1)
-                for dz in (0, 1)
-            )
-        )
-        same = F.array(F.struct("level", "cx", "cz"))
-        rows = rows.withColumn("_next", F.explode(F.when(split & (F.col("level") < tree.depth), below).otherwise(same)))
-        rows = rows.drop("level", "cx", "cz", "n", "_near", "_far").select("*", "_next.*").drop("_next")
-        rows = rows.join(tree.cell_table(), [*tree.keys, "level", "cx", "cz"])
-        rows = rows.withColumns(_cell_distances(qx, qz))
-        bound = F.min("_far").over(Window.partitionBy(*ids))
-        if within is not None:
-            bound = F.least(bound, F.col(within))
-        slack = F.lit(SLACK) * (bound + F.col("_xs") * F.col("_xs") + F.col("_zs") * F.col("_zs"))
-        # A window cannot stand in a filter, so the bound is a column first.
-        rows = rows.withColumn("_bound", bound + slack).filter(F.col("_near") <= F.col("_bound")).drop("_bound")
-    if tree.depth == 0:
-        rows = rows.withColumns(_cell_distances(qx, qz))
-    return rows.withColumnsRenamed({"level": "_lv", "cx": "_lx", "cz": "_lz"}).drop("_x0", "_xs", "_z0", "_zs", "_far", "n")
 
 
 def _cell_distances(qx: str, qz: str) -> dict[str, Column]:

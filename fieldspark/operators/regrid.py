@@ -94,7 +94,7 @@ def regrid(
         if method == "nearest":
             results.append(_nearest(merged, nodes, keys, group, leaf_size))
         else:
-            results.append(_linear(merged, nodes, keys, group, tile_points, leaf_size))
+            results.append(_linear(merged, nodes, keys, group, tile_points))
     # Every result holds all nodes, and the reader of the table sees NULL where there is no value.
     joined = reduce(lambda a, b: a.join(b.drop("x", "z"), [*keys, *NODE]), results)
     return joined.select(*keys, *NODE, "x", "z", *fields)
@@ -221,7 +221,7 @@ def _tile_surroundings(tree: Tree) -> tuple[DataFrame, DataFrame]:
     cells around it, the block is its known region, otherwise only its own cell.
     """
     keys = list(tree.keys)
-    leaves = durable(tree.leaves())
+    leaves = tree.leaves
     own = leaves.select(*keys, *(F.col(c).alias(n) for c, n in (("level", "_lv"), ("cx", "_lx"), ("cz", "_lz"))))
     at = [F.struct((F.col("_lx") + i).alias("x"), (F.col("_lz") + j).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     around = own.withColumn("_at", F.explode(F.array(*at)))
@@ -260,7 +260,7 @@ def _tile_surroundings(tree: Tree) -> tuple[DataFrame, DataFrame]:
     tile = [*keys, "_lv", "_lx", "_lz"]
     whole = F.coalesce("_known", F.lit(0)) + F.coalesce("_covered", F.lit(0)) >= F.col("_needed")
     reach = needed.join(known, tile, "left").join(covered, tile, "left").select(*tile, F.when(whole, 1).otherwise(0).alias("_ring"))
-    bounds = attach(reach, tree.box, keys)
+    bounds = attach(reach, tree.box.drop("_count"), keys)
     cells = F.pow(F.lit(2.0), F.col("_lv").cast("double"))
     inf = float("inf")
 
@@ -282,7 +282,7 @@ def _sheared(df: DataFrame) -> DataFrame:
 
 
 def _linear(
-    points: DataFrame, nodes: DataFrame, keys: list[str], fields: list[str], tile_points: int, leaf_size: int
+    points: DataFrame, nodes: DataFrame, keys: list[str], fields: list[str], tile_points: int
 ) -> DataFrame:
     cloud = _sheared(points).select(*keys, "_X", "_Z", F.array(*fields).alias("_values"))
     nodes = _sheared(nodes).select(*keys, *NODE, "x", "z", "_X", "_Z")
@@ -304,7 +304,7 @@ def _linear(
         )
         placed = nearest.select(*keys, *NODE, "x", "z", "_X", "_Z", *(F.col(f"_leaf.{c}").alias(c) for c in own_tile))
         borrowed, safe = _tile_surroundings(tree)
-        placed = attach(placed, safe, [*keys, *own_tile])
+        placed = durable(attach(placed, safe, [*keys, *own_tile]))
         lending = tree.points.select(
             *keys, *(F.col(c).alias(f"_from{c}") for c in own_tile), "_X", "_Z", "_values"
         )
@@ -334,20 +334,19 @@ def _linear(
         .applyInPandas(_tile_solver(schema.fieldNames()), schema)
     )
     if tree.depth > 0:
-        solved = _finish(durable(solved), cloud, keys, leaf_size)
+        solved = _finish(durable(solved), tree, keys)
     return _evaluate(solved, keys, fields)
 
 
 # --- linear: check against all points ------------------------------------------------------
 
 
-def _finish(state: DataFrame, cloud: DataFrame, keys: list[str], leaf_size: int) -> DataFrame:
+def _finish(state: DataFrame, tree: Tree, keys: list[str]) -> DataFrame:
     """Improve the open triangles with the nearest point to their circle's centre until none is left."""
     done = state.filter("_final")
     pending = state.filter("NOT _final")
     if pending.isEmpty():
         return state
-    tree = build_tree(cloud, keys, "_X", "_Z", leaf_size)
     columns = state.columns
 
     def with_circle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

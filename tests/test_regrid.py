@@ -66,8 +66,8 @@ def clustered(n=60, seed=7):
     return points, rng.random(n)
 
 
-@pytest.mark.parametrize(("tile_points", "leaf_size"), [(1000, 1000), (6, 3)])
-def test_linear_matches_brute_force(spark, tile_points, leaf_size):
+@pytest.mark.parametrize("tile_points", [1000, 6])
+def test_linear_matches_brute_force(spark, tile_points):
     points, values = clustered()
     xs, zs = np.linspace(0.02, 0.98, 9), np.linspace(0.02, 0.98, 8)
     xs[3], zs[2] = 0.3104, 0.3107  # one line of nodes runs through the cluster
@@ -76,7 +76,6 @@ def test_linear_matches_brute_force(spark, tile_points, leaf_size):
         grid_of(spark, xs, zs),
         ["v"],
         tile_points=tile_points,
-        leaf_size=leaf_size,
     )
     got = collected(result, "v")
     places = np.array([(a, b) for b in zs for a in xs])
@@ -114,7 +113,7 @@ def test_dense_cluster_is_cut_finer(spark):
     sizes = tree.points.groupBy("_lv", "_lx", "_lz").count().collect()
     assert max(r["count"] for r in sizes) <= 8
     assert sum(r["count"] for r in sizes) == 300
-    assert tree.leaves().agg(F.sum("n")).first()[0] == 300
+    assert tree.leaves.agg(F.sum("n")).first()[0] == 300
 
 
 def test_linear_reproduces_a_plane(spark):
@@ -131,7 +130,7 @@ def test_rectangular_layout_does_not_depend_on_tiles(spark):
     points = frame(spark, x.ravel(), z.ravel(), v=rng.random(63))
     nodes = grid_of(spark, np.linspace(0, 8, 12), np.linspace(0, 6, 11))
     whole = collected(regrid(points, nodes, ["v"], tile_points=1000), "v")
-    cut = collected(regrid(points, nodes, ["v"], tile_points=5, leaf_size=2), "v")
+    cut = collected(regrid(points, nodes, ["v"], tile_points=5), "v")
     assert whole.keys() == cut.keys()
     for key, (v,) in whole.items():
         assert v is not None
