@@ -138,15 +138,20 @@ def _search_steps(tree_cells: DataFrame, leaves: DataFrame, keys: Sequence[str],
 def candidate_leaves(
     tree: Tree, queries: DataFrame, query_id: Sequence[str], qx: str, qz: str, within: str | None = None
 ) -> DataFrame:
-    """Leaves that may hold the point nearest to each query: ``_lv, _lx, _lz`` and ``_near``.
+    """Leaves that may hold the point nearest to each query: ``_lv, _lx, _lz``, ``_near`` and ``_bound``.
 
     ``within`` names a column with a squared distance beyond which points do not matter.
     """
     ids = [*tree.keys, *query_id]
     zero = F.lit(0).cast("long")
-    rows = attach(queries, tree.box.drop("_count"), tree.keys).withColumns(
-        {"level": F.lit(0), "cx": zero, "cz": zero, "_bound": F.col(within) if within else F.lit(inf)}
-    )
+    rows = attach(queries, tree.box.drop("_count"), tree.keys)
+    if within:
+        rows = rows.withColumn("_bound", F.col(within))
+    elif tree.depth > 0:
+        rows = _with_first_bound(tree, rows, qx, qz)
+    else:
+        rows = rows.withColumn("_bound", F.lit(inf))
+    rows = rows.withColumns({"level": F.lit(0), "cx": zero, "cz": zero})
     rows = rows.withColumns(_cell_distances(qx, qz))
     for _ in range(ceil(tree.depth / STRIDE)):
         rows = rows.withColumnsRenamed({"level": "_from", "cx": "_fx", "cz": "_fz"}).drop("_near", "_far")
@@ -158,8 +163,22 @@ def candidate_leaves(
         rows = rows.withColumn("_bound", F.least(F.col("_bound"), nearest_far * (1 + SLACK) + SLACK * SLACK * size))
         rows = rows.filter(F.col("_near") <= F.col("_bound"))
     return rows.withColumnsRenamed({"level": "_lv", "cx": "_lx", "cz": "_lz"}).drop(
-        "_x0", "_xs", "_z0", "_zs", "_far", "_bound"
+        "_x0", "_xs", "_z0", "_zs", "_far"
+    )
+
+
+def _with_first_bound(tree: Tree, rows: DataFrame, qx: str, qz: str) -> DataFrame:
+    """Upper bound on the squared distance: the smallest occupied cell around the query holds a point."""
+    placed = rows.withColumns(
+        {
+            "_ix": _cell_index(qx, "_x0", "_xs", tree.depth),
+            "_iz": _cell_index(qz, "_z0", "_zs", tree.depth),
+            "level": F.explode(F.sequence(F.lit(0), F.lit(tree.depth))),
+        }
     )
+    around = placed.withColumns({"cx": _ancestor("_ix", tree.depth), "cz": _ancestor("_iz", tree.depth)})
+    occupied = attach(around, tree.cells, [*tree.keys, "level", "cx", "cz"]).withColumns(_cell_distances(qx, qz))
+    return occupied.groupBy(*rows.columns).agg((F.min("_far") * (1 + SLACK)).alias("_bound"))
 
 
 def _cell_distances(qx: str, qz: str) -> dict[str, Column]:
@@ -197,8 +216,7 @@ def nearest_points(
     )
     met = leaves.join(points, [*tree.keys, "_lv", "_lx", "_lz"])
     dx, dz = F.col("_pt_x") - F.col("_qx"), F.col("_pt_z") - F.col("_qz")
-    met = met.withColumn("_d2", dx * dx + dz * dz)
-    if within:
-        met = met.filter(F.col("_d2") <= F.col("_within"))
+    # The search left a bound, so only close pairs reach the aggregation.
+    met = met.withColumn("_d2", dx * dx + dz * dz).filter(F.col("_d2") <= F.col("_bound"))
     best = F.min(F.struct("_d2", "_pt_z", "_pt_x", *payload)).alias("_best")
     return met.groupBy(*ids).agg(best).select(*ids, "_best._d2", *(F.col(f"_best.{c}").alias(c) for c in payload))
