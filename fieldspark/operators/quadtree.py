@@ -31,6 +31,7 @@ class Tree:
 
     points: DataFrame
     cells: DataFrame  # keys, level, cx, cz, n: occupied cells of every level
+    near_cells: DataFrame  # the same down to two levels below the leaves
     leaves: DataFrame  # keys, level, cx, cz, n
     steps: DataFrame  # keys, _from, _fx, _fz and the cells the search reaches from there
     box: DataFrame  # keys, _x0, _xs, _z0, _zs
@@ -65,7 +66,7 @@ def build_tree(points: DataFrame, keys: Sequence[str], x: str, z: str, leaf_size
     if largest <= leaf_size:
         root = box.select(*keys, F.lit(0).alias("level"), zero.alias("cx"), zero.alias("cz"), F.col("_count").alias("n"))
         flat = points.withColumns({"_lv": F.lit(0), "_lx": zero, "_lz": zero})
-        return Tree(flat, root, root, root, box, keys, x, z, 0, leaf_size)
+        return Tree(flat, root, root, root, root, box, keys, x, z, 0, leaf_size)
 
     boxed, depth = attach(points, box, keys), min(MAX_DEPTH, _levels_for(largest / leaf_size))
     while True:
@@ -85,11 +86,10 @@ def build_tree(points: DataFrame, keys: Sequence[str], x: str, z: str, leaf_size
     levels = fine.select(*keys, "_fx", "_fz", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
     levels = levels.withColumns({"cx": _ancestor("_fx", depth), "cz": _ancestor("_fz", depth)})
     cells = durable(levels.groupBy(*keys, "level", "cx", "cz").agg(F.sum("n").alias("n")))
-    # Cells below a leaf are not part of the tree.
+    # Cells below a leaf are not part of the tree; two levels of them serve as a first bound.
     split = cells.filter((F.col("n") > leaf_size) & (F.col("level") < depth))
-    inner = split.select(*keys, (F.col("level") + 1).alias("level"), F.col("cx").alias("_px"), F.col("cz").alias("_pz"))
-    under = cells.withColumns({"_px": F.shiftright("cx", 1), "_pz": F.shiftright("cz", 1)})
-    tree_cells = durable(under.join(inner, [*keys, "level", "_px", "_pz"], "left_semi").drop("_px", "_pz"))
+    near_cells = durable(_below(cells, split, keys, 3).unionByName(cells.filter("level < 3")))
+    tree_cells = durable(_below(near_cells, split, keys, 1))
     is_leaf = (F.col("n") <= leaf_size) | (F.col("level") == depth)
     # The root of a key small enough to be a leaf has no parent.
     roots = cells.filter((F.col("level") == 0) & is_leaf)
@@ -100,7 +100,17 @@ def build_tree(points: DataFrame, keys: Sequence[str], x: str, z: str, leaf_size
     at_leaf_levels = at_leaf_levels.withColumns({"_lx": _ancestor("_fx", depth, "_lv"), "_lz": _ancestor("_fz", depth, "_lv")})
     own = leaves.select(*keys, F.col("level").alias("_lv"), F.col("cx").alias("_lx"), F.col("cz").alias("_lz"))
     assigned = attach(at_leaf_levels, own, [*keys, "_lv", "_lx", "_lz"]).drop("_fx", "_fz")
-    return Tree(assigned, cells, leaves, _search_steps(tree_cells, leaves, keys, depth, is_leaf), box, keys, x, z, depth, leaf_size)
+    steps = _search_steps(tree_cells, leaves, keys, depth, is_leaf)
+    return Tree(assigned, cells, near_cells, leaves, steps, box, keys, x, z, depth, leaf_size)
+
+
+def _below(cells: DataFrame, split: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
+    """Cells that lie ``levels`` below a cell that is split."""
+    over = split.select(
+        *keys, (F.col("level") + levels).alias("level"), F.col("cx").alias("_px"), F.col("cz").alias("_pz")
+    )
+    under = cells.withColumns({"_px": F.shiftright("cx", levels), "_pz": F.shiftright("cz", levels)})
+    return under.join(over, [*keys, "level", "_px", "_pz"], "left_semi").drop("_px", "_pz")
 
 
 def _levels_for(ratio: float) -> int:
@@ -177,7 +187,7 @@ def _with_first_bound(tree: Tree, rows: DataFrame, qx: str, qz: str) -> DataFram
         }
     )
     around = placed.withColumns({"cx": _ancestor("_ix", tree.depth), "cz": _ancestor("_iz", tree.depth)})
-    occupied = attach(around, tree.cells, [*tree.keys, "level", "cx", "cz"]).withColumns(_cell_distances(qx, qz))
+    occupied = attach(around, tree.near_cells, [*tree.keys, "level", "cx", "cz"]).withColumns(_cell_distances(qx, qz))
     return occupied.groupBy(*rows.columns).agg((F.min("_far") * (1 + SLACK)).alias("_bound"))
 
 
