@@ -363,7 +363,7 @@ def _finish(state: DataFrame, tree: Tree, keys: list[str]) -> DataFrame:
             yield _improved(batch.reset_index(drop=True))[columns]
 
     circle = T.StructType([*state.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("_cx", "_cz", "_r2"))])
-    while True:
+    for _ in range(tri.MAX_EXCHANGES):
         asked = pending.mapInPandas(with_circle, circle)
         found = nearest_points(tree, asked, NODE, "_cx", "_cz", ["_X", "_Z", "_values"], within="_r2")
         found = found.select(
@@ -375,6 +375,7 @@ def _finish(state: DataFrame, tree: Tree, keys: list[str]) -> DataFrame:
         pending = stepped.filter("NOT _final")
         if pending.isEmpty():
             return done
+    raise RuntimeError("The search for an empty circle did not settle.")
 
 
 def _corner_array(batch: pd.DataFrame) -> np.ndarray:

@@ -136,4 +136,6 @@ def triangulate_around(places: np.ndarray, points: np.ndarray, triangles: np.nda
             if len(active):
                 out = exchange(places[active], corners, points[deepest])
                 result[active, out] = deepest
+        if len(active):
+            raise RuntimeError("The search for an empty circle did not settle.")
     return result
