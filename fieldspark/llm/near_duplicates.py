@@ -6,8 +6,8 @@
    least half of their retained values (all but about one pair in 10^5 at the threshold itself, where k = 64), so only
    the rarest values of a sketch need a list: as many as it takes to meet every partner that shares half of the rest.
 3. Every list first compares its members with one hub; members that a verified link has joined need no further
-   comparison. Only lists that still hold several components go on, with a share of hubs that grows fourfold per round
-   up to all members. A list of n copies thus costs n comparisons, and no link between different components is lost.
+   comparison. Only lists that still hold several components go on, with a share of hubs that grows by GROWTH
+   per round up to all members. A list of n copies costs about n comparisons; no link between components is lost.
 4. A compared pair passes a size filter, then the estimate over the bottom k of the union of both sketches, then the
    exact Jaccard similarity of the full sets.
 5. Components are found by repeated large-star and small-star steps over the links.
@@ -34,7 +34,9 @@ from fieldspark.llm.text import attach, ship, spooled, text_blocks
 SHINGLE = 5
 SKETCH = 64
 PERCENT = 75
-HUBS = 64
+# Hubs of a list in the first round after the star; every later round takes GROWTH times as many.
+HUBS = 8
+GROWTH = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,7 +192,7 @@ def verified_links(
         else:
             if share >= largest:
                 return labels
-            floor, share = share, share * 4
+            floor, share = share, share * GROWTH
         members = held.select("value", "id", "n")
 
 
