@@ -560,16 +560,22 @@ def contour_range(spark, sf_dir):
     return views.contour_range(_nodes(spark, sf_dir)[0], KEYS, "C", 95000.0)
 
 
-@register("downsample", "comparison_set case l_orderkey l_linenumber", "x z C")
+@register(
+    "downsample",
+    "comparison_set case l_orderkey l_linenumber",
+    "x z C",
+    f"""SELECT l_linestatus AS comparison_set, l_returnflag AS "case", l_orderkey, l_linenumber, l_quantity AS x, l_discount AS z,
+      l_extendedprice AS C FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_linestatus, l_returnflag ORDER BY
+      substr(md5('{views.SAMPLE_SEED}:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey), 1, 13)) <= 2000""",
+)
 def downsample(spark, sf_dir):
-    """No oracle: the choice depends on Spark's hash; the tests check size and repeatability."""
     lines = fx.table(spark, sf_dir, "lineitem")
     rows = lines.select(
         F.col("l_linestatus").alias("comparison_set"),
         F.col("l_returnflag").alias("case"),
         "l_orderkey",
         "l_linenumber",
-        F.struct("*").alias("id"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"),
         F.col("l_quantity").alias("x"),
         F.col("l_discount").alias("z"),
         F.col("l_extendedprice").alias("C"),

@@ -61,10 +61,10 @@ def cumulative_sum(
 
 
 def with_first(rows: DataFrame, keys: Sequence[str], time: str, firsts: dict[str, str], single: bool) -> DataFrame:
-    """Add the value each key has at its earliest time."""
+    """Add the value each key has at its earliest time; rows without a time do not count."""
     if single:
-        w = Window.partitionBy(*keys).orderBy(time)
-        return rows.withColumns({n: F.first(c).over(w) for n, c in firsts.items()})
+        w = Window.partitionBy(*keys)
+        return rows.withColumns({n: F.min_by(c, time).over(w) for n, c in firsts.items()})
     facts = rows.groupBy(*keys).agg(*(F.min_by(c, time).alias(n) for n, c in firsts.items()))
     return attach(rows, facts, keys)
 
@@ -153,7 +153,7 @@ def effective_windows(df: DataFrame, keys: Sequence[str], window: int) -> DataFr
 
 
 def moving_average_column(tiles: Tiles, value: str, window: int) -> Column:
-    """Centred mean over the rows that exist; needs a halo of half the window."""
+    """Centred mean over the values that exist, whatever the length of a key; needs a halo of half the window."""
     half = (_odd(window) - 1) // 2
     if half == 0:
         return F.col(value)
@@ -164,9 +164,9 @@ def moving_average_column(tiles: Tiles, value: str, window: int) -> Column:
     # Some key is shorter than the window, so its half-width is smaller.
     near = F.collect_list(F.struct("_rn", F.col(value).alias("_v"))).over(frame)
     own_half = (odd_window(F.col("_n"), window) - 1) / 2
-    kept = F.filter(near, lambda e: F.abs(e["_rn"] - F.col("_rn")) <= own_half)
+    kept = F.filter(near, lambda e: (F.abs(e["_rn"] - F.col("_rn")) <= own_half) & e["_v"].isNotNull())
     total = F.aggregate(kept, F.lit(0.0), lambda acc, e: acc + e["_v"])
-    return F.when(F.col("_n") >= _odd(window), plain).otherwise(total / F.size(kept))
+    return F.when(F.col("_n") >= _odd(window), plain).otherwise(F.when(F.size(kept) > 0, total / F.size(kept)))
 
 
 def fit_weights(window: int, polyorder: int) -> np.ndarray:
@@ -248,11 +248,15 @@ def front_kinematics(
     polyorder: int = SMOOTHING_POLYORDER,
     tile_size: int = TILE_SIZE,
 ) -> DataFrame:
-    """Velocity, smoothed velocity, position rebuilt from it, and the rebuilding error."""
+    """Velocity, smoothed velocity, position rebuilt from it, and the rebuilding error.
+
+    A missing or non-finite time or position fails the job.
+    """
     # One halo serves the whole chain: two rows for the end slopes, the smoothing
     # frame around them, and one row back for the integral.
     halo = 3 + smoothing_halo(method, window)
-    tiles = tile_rows(df.select(*keys, time, position), keys, [time], halo, tile_size)
+    checked = strict_rows(df.select(*keys, time, position), keys, [time, position])
+    tiles = tile_rows(checked, keys, [time], halo, tile_size)
     tiles = tiles.with_columns({"v_raw": gradient_column(tiles, time, position, 2)})
     tiles = tiles.with_columns({"v_smooth": smooth_column(tiles, "v_raw", method, window, polyorder)})
     tiles = add_cumulative_trapezoid(tiles, time, "v_smooth", "_travel")
@@ -294,9 +298,13 @@ def energy_diagnostics(
     target: float = ENERGY_TARGET,
     tile_size: int = TILE_SIZE,
 ) -> DataFrame:
-    """Budget gap, dissipated energy, closure, its residuals and the rate-of-change balance."""
+    """Budget gap, dissipated energy, closure, its residuals and the rate-of-change balance.
+
+    A missing or non-finite value fails the job, because an integral must not skip an interval.
+    """
     source = [*keys, time, "E_k", "E_p", "E_total", "epsilon"]
-    tiles = tile_rows(df.select(*source), keys, [time], 1, tile_size)
+    checked = strict_rows(df.select(*source), keys, [time, "E_k", "E_p", "E_total", "epsilon"])
+    tiles = tile_rows(checked, keys, [time], 1, tile_size)
     tiles = tiles.with_columns({"dEtotal_dt": gradient_column(tiles, time, "E_total", 1)})
     tiles = add_cumulative_trapezoid(tiles, time, "epsilon", "cumulative_epsilon")
     # The integral starts at zero, so the first closure value is the first E_total.

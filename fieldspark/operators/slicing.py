@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions import finite_or_null, half_even, speed
-from fieldspark.functions.numeric import nan_to_null
+from fieldspark.functions import finite, finite_or_null, half_even, speed
+from fieldspark.functions.numeric import nan_to_null, strict
 from fieldspark.plans.scale import attach
 
 # Defaults that decide the results.
@@ -32,7 +34,8 @@ def concentration(temp: str = "temp", scal: str = "scal") -> Column:
 def flatten_elements(elements: DataFrame, carry: Sequence[str]) -> DataFrame:
     """One row per point from the element arrays ``pos``, ``vel``, ``pres``, ``temp``, ``scal``.
 
-    Each holds one flat array per component; they are raveled in step.
+    Each holds one flat array per component; they are raveled in step. An element that lacks an array, or
+    whose arrays differ in length, fails the job.
     """
     parts = {
         "x": F.col("pos")[0],
@@ -45,7 +48,11 @@ def flatten_elements(elements: DataFrame, carry: Sequence[str]) -> DataFrame:
         "p": F.col("pres")[0],
     }
     arrays = elements.select(*carry, *(c.alias(n) for n, c in parts.items()))
-    return arrays.select(*carry, F.inline(F.arrays_zip(*parts)))
+    sizes = [F.size(n) for n in parts]
+    whole = F.coalesce(reduce(and_, [n.isNotNull() & (n == sizes[0]) & (n >= 0) for n in sizes]), F.lit(False))
+    whole = whole & reduce(and_, [F.col(n).isNotNull() for n in parts])
+    zipped = strict(whole, "Element without one of pos, vel, pres, temp or scal, or with arrays of unequal length.", F.arrays_zip(*parts))
+    return arrays.select(*carry, F.inline(zipped))
 
 
 def snapshot_profile(elements: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,8 +76,9 @@ def extent(points: DataFrame, keys: Sequence[str], axis: str = "y") -> DataFrame
 
 
 def plane_levels(points: DataFrame, keys: Sequence[str], decimals: int = Y_ROUND_DECIMALS) -> DataFrame:
-    """The distinct rounded y levels of each snapshot."""
-    return points.select(*keys, half_even("y", decimals).alias("level")).distinct()
+    """The distinct rounded y levels of each snapshot; a missing or non-finite y fails the job."""
+    level = strict(finite("y"), "Non-finite y in a snapshot.", half_even("y", decimals))
+    return points.select(*keys, level.alias("level")).distinct()
 
 
 def select_plane(

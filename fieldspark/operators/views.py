@@ -146,12 +146,13 @@ def contour_range(gridded: DataFrame, keys: Sequence[str], value: str, level: fl
 
 
 def downsample(df: DataFrame, keys: Sequence[str], id_column: str, size: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED) -> DataFrame:
-    """Exactly ``size`` rows per key (all when fewer), chosen by a seeded hash of the id.
+    """Exactly ``size`` rows per key (all when fewer), chosen by the MD5 digest of seed and id.
 
     A threshold on the hash keeps little more than ``size`` rows per key before
     they are ranked; keys where chance left too few are ranked in full.
     """
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_column), 11) / F.lit(float(1 << 53))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")).cast("binary"))
+    unit = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     hashed = df.withColumn("_u", unit)
     margin = size + 8.0 * size**0.5 + 64.0
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fieldspark.operators import compare, grid, slicing
 from fieldspark.operators.regrid import regrid
@@ -47,14 +48,19 @@ def compare_fields(
     method: str = "linear",
     decimals: int = grid.DEDUP_DECIMALS,
     front_ratio: float = compare.FRONT_THRESHOLD_RATIO,
+    index: str = "idx",
 ) -> FieldComparison:
     """Interpolate the sliced points of every selected case to its set's common grid and compare.
 
-    The gridded fields are written once to the checkpoint folder, because every
+    Only points of the selected snapshot count: where the points have the column ``index``, it has to equal
+    the selection's index. The gridded fields are written once to the checkpoint folder, because every
     table reads them; the tables themselves stay lazy.
     """
     chosen = durable(selection)
-    points = sliced.join(chosen.select("comparison_set", "case"), ["comparison_set", "case"], "left_semi")
+    wanted, same = chosen.select("comparison_set", "case"), ["comparison_set", "case"]
+    if index in sliced.columns:
+        wanted, same = chosen.select(*same, F.col("index").cast(sliced.schema[index].dataType).alias(index)), [*same, index]
+    points = sliced.join(wanted, same, "left_semi")
     nodes = grid.make_grid(grid.common_domain(points, ["comparison_set"]), ["comparison_set"], nx, nz)
     gridded = spooled(regrid(points, nodes, FIELDS, method=method, decimals=decimals))
     return FieldComparison(

@@ -31,7 +31,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(configured)
