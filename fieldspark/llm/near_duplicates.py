@@ -9,7 +9,8 @@
    comparison. Only lists that still hold several components go on, with a share of hubs that grows by GROWTH
    per round up to all members. A list of n copies costs about n comparisons; no link between components is lost.
    In lists of more than LARGE members every member knows how many of its shingles any other member of such lists holds;
-   that bounds the similarity of a pair exactly, and pairs that cannot reach the threshold are not formed.
+   that bounds the similarity of a pair exactly, and pairs that cannot reach the threshold are not formed. Two such
+   members are paired only in the first list that they share.
 4. A compared pair passes a size filter, then the estimate over the bottom k of the union of both sketches, then the
    exact Jaccard similarity of the full sets.
 5. Components are found by repeated large-star and small-star steps over the links.
@@ -151,24 +152,32 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def shared_shingles(lists: DataFrame, full: DataFrame) -> DataFrame:
-    """``lists`` with ``c``: for members of large lists, how many shingles another such member holds; NULL for the rest."""
+    """``lists`` with ``c`` and ``own``, both NULL for ids in no large list.
+
+    ``c`` is how many of the id's shingles another member of large lists holds, ``own`` are all lists of the id.
+    """
     large = lists.groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE)
     members = spooled(lists.join(large.select("value"), "value", "left_semi").select("id").distinct())
     if members.isEmpty():
-        return lists.withColumn("c", F.lit(None).cast("long"))
+        return lists.withColumn("c", F.lit(None).cast("long")).withColumn("own", F.lit(None).cast("array<bigint>"))
     rows = full.join(members, "id").select("id", F.explode("shingles").alias("g"))
     held = rows.groupBy("g").agg(F.count("*").alias("holders")).filter("holders > 1").select("g")
     counts = rows.join(held, "g").groupBy("id").agg(F.count("*").alias("c"))
-    counts = members.join(counts, "id", "left").select("id", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+    own = lists.join(members, "id").groupBy("id").agg(F.collect_set("value").alias("own"))
+    counts = own.join(counts, "id", "left").select("id", F.coalesce("c", F.lit(0).cast("long")).alias("c"), "own")
     return lists.join(counts, "id", "left")
 
 
 def _reachable(percent: int) -> Column:
-    """Whether sizes, and for two members of large lists their shared shingles, leave room for the threshold."""
+    """Whether sizes, and for two members of large lists their shared shingles, leave room for the threshold here.
+
+    A list that two ids share and that is not open any more has joined them already, so their first list is enough.
+    """
     sizes = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
     most = F.least("c", "hc")
     bound = F.col("c").isNull() | F.col("hc").isNull() | (100 * most >= percent * (F.col("n") + F.col("hn") - most))
-    return sizes & bound
+    first = F.col("own").isNull() | F.col("hown").isNull() | (F.col("value") == F.array_min(F.array_intersect("own", "hown")))
+    return sizes & bound & first
 
 
 def verified_links(
@@ -185,20 +194,20 @@ def verified_links(
         if labels is None:
             held = members.withColumn("k", F.col("id"))
         else:
-            held = members.join(labels, "id", "left").select("value", "id", "n", "c", F.coalesce("component", "id").alias("k"))
-        open_lists = held.groupBy("value").agg(F.count("*").alias("size"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct("id", "n", "c")).alias("hub"))
+            held = members.join(labels, "id", "left").select("value", "id", "n", "c", "own", F.coalesce("component", "id").alias("k"))
+        open_lists = held.groupBy("value").agg(F.count("*").alias("size"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct("id", "n", "c", "own")).alias("hub"))
         open_lists = spooled(open_lists.filter("lo != hi").drop("lo", "hi"))
         largest = open_lists.agg(F.max("size")).first()[0]
         if largest is None:
             return labels
         held = spooled(held.join(open_lists.select("value", "size"), "value"))
         if first:
-            hubs = open_lists.select("value", F.col("hub.id").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc"), F.col("hub.id").alias("hk"))
+            hubs = open_lists.select("value", F.col("hub.id").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc"), F.col("hub.own").alias("hown"), F.col("hub.id").alias("hk"))
         else:
             # A hash of the member decides in which round it is a hub, so no list has to be ranked.
             lot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
             chosen = (lot * F.col("size") < share) & (lot * F.col("size") >= floor)
-            hubs = held.filter(chosen).select("value", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("k").alias("hk"))
+            hubs = held.filter(chosen).select("value", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("own").alias("hown"), F.col("k").alias("hk"))
         pairs = (
             held.join(hubs, "value")
             .filter((F.col("k") != F.col("hk")) & (F.col("id") != F.col("h")) & _reachable(percent))
@@ -222,7 +231,7 @@ def verified_links(
             if share >= largest:
                 return labels
             floor, share = share, share * GROWTH
-        members = held.select("value", "id", "n", "c")
+        members = held.select("value", "id", "n", "c", "own")
 
 
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
