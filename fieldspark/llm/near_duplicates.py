@@ -8,9 +8,9 @@
 3. Every list first compares its members with one hub; members that a verified link has joined need no further
    comparison. Only lists that still hold several components go on, with a share of hubs that grows by GROWTH
    per round up to all members. A list of n copies costs about n comparisons; no link between components is lost.
-   In lists of more than LARGE members every member knows how many of its shingles any other member of such lists holds;
-   that bounds the similarity of a pair exactly, and pairs that cannot reach the threshold are not formed. Two such
-   members are paired only in the first list that they share.
+   For members of lists of more than LARGE the full sets are split first: shingles with at most RARE holders among
+   them give their pairs directly, at most RARE per shingle; without such a pair only the common shingles can be
+   shared, and members with too few of them for any partner leave the list. Both bounds are exact.
 4. A compared pair passes a size filter, then the estimate over the bottom k of the union of both sketches, then the
    exact Jaccard similarity of the full sets.
 5. Components are found by repeated large-star and small-star steps over the links.
@@ -40,8 +40,9 @@ PERCENT = 75
 # Hubs of a list in the first round after the star; every later round takes GROWTH times as many.
 HUBS = 8
 GROWTH = 8
-# Lists with more members get an exact bound per member before pairs are formed.
+# Lists with more members are split by common and rare shingles; a rare one has at most RARE holders.
 LARGE = 64
+RARE = 16
 BROADCAST_BYTES = 32 * 1024 * 1024
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,77 +152,105 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def shared_shingles(lists: DataFrame, full: DataFrame) -> DataFrame:
-    """``lists`` with ``c`` and ``own``, both NULL for ids in no large list.
+def _enough(shared: Column, percent: int) -> Column:
+    """Whether ``shared`` common shingles of sets of ``n`` and ``hn`` reach the threshold."""
+    return 100 * shared >= percent * (F.col("n") + F.col("hn") - shared)
 
-    ``c`` is how many of the id's shingles another member of large lists holds, ``own`` are all lists of the id.
+
+def _alike_sizes(percent: int) -> Column:
+    return 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
+
+
+def split_large_lists(lists: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``lists`` with ``c``, less members that no common shingles can link there, and the pairs (a, b) that share rare ones.
+
+    The shingles of all members of large lists are common (more than RARE holders among them) or rare. Two members
+    without a shared rare shingle have at most the smaller of their counts ``c`` of common shingles in common. All others
+    meet in the list of a rare shingle, which has at most RARE members. ``c`` is NULL for ids in no large list.
     """
     large = lists.groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE)
-    members = spooled(lists.join(large.select("value"), "value", "left_semi").select("id").distinct())
+    members = spooled(lists.join(large.select("value"), "value", "left_semi").select("id", "n").distinct())
     if members.isEmpty():
-        return lists.withColumn("c", F.lit(None).cast("long")).withColumn("own", F.lit(None).cast("array<bigint>"))
-    rows = full.join(members, "id").select("id", F.explode("shingles").alias("g"))
-    held = rows.groupBy("g").agg(F.count("*").alias("holders")).filter("holders > 1").select("g")
-    counts = rows.join(held, "g").groupBy("id").agg(F.count("*").alias("c"))
-    own = lists.join(members, "id").groupBy("id").agg(F.collect_set("value").alias("own"))
-    counts = own.join(counts, "id", "left").select("id", F.coalesce("c", F.lit(0).cast("long")).alias("c"), "own")
-    return lists.join(counts, "id", "left")
+        return lists.withColumn("c", F.lit(None).cast("long")), None
+    ids = members.select("id").distinct()
+    rows = full.join(ids, "id").select("id", F.explode("shingles").alias("g"))
+    held = rows.groupBy("g").agg(F.count("*").alias("holders")).filter("holders > 1")
+    shared = spooled(rows.join(held, "g"))
+    common = shared.filter(F.col("holders") > RARE).groupBy("id").agg(F.count("*").alias("c"))
+    counts = spooled(ids.join(common, "id", "left").select("id", F.coalesce("c", F.lit(0).cast("long")).alias("c")))
+
+    rare = shared.filter(F.col("holders") <= RARE).select("id", "g").join(members, "id").join(counts, "id")
+    partners = rare.select("g", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))
+    most = F.least("c", "hc")
+    met = rare.join(partners, "g").filter((F.col("id") < F.col("h")) & _alike_sizes(percent) & ~_enough(most, percent))
+    met = met.groupBy("id", "h", "n", "hn", most.alias("most")).agg(F.count("*").alias("r"))
+    pairs = met.filter(_enough(F.col("most") + F.col("r"), percent)).select(F.col("id").alias("a"), F.col("h").alias("b")).distinct()
+
+    # A set of n needs percent of its own shingles in common with anything, and more with a partner of least_n.
+    counted = spooled(lists.join(counts, "id", "left"))
+    able = 100 * F.col("c") >= percent * F.col("n")
+    bounds = counted.groupBy("value").agg(F.min(F.when(able, F.col("n"))).alias("least_n"), F.max(F.col("c").isNull()).alias("mixed"))
+    fits = able & ((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least_n")))
+    return counted.join(bounds, "value").filter(F.col("mixed") | fits).select("value", "id", "n", "c"), spooled(pairs)
 
 
 def _reachable(percent: int) -> Column:
-    """Whether sizes, and for two members of large lists their shared shingles, leave room for the threshold here.
+    """Whether sizes, and for two members of large lists their common shingles, leave room for the threshold."""
+    bound = F.col("c").isNull() | F.col("hc").isNull() | _enough(F.least("c", "hc"), percent)
+    return _alike_sizes(percent) & bound
 
-    A list that two ids share and that is not open any more has joined them already, so their first list is enough.
-    """
-    sizes = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
-    most = F.least("c", "hc")
-    bound = F.col("c").isNull() | F.col("hc").isNull() | (100 * most >= percent * (F.col("n") + F.col("hn") - most))
-    first = F.col("own").isNull() | F.col("hown").isNull() | (F.col("value") == F.array_min(F.array_intersect("own", "hown")))
-    return sizes & bound & first
 
+def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the estimate and then the exact similarity of the full sets."""
+    left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    near = pairs.join(left, "a").join(right, "b").filter(_close("sa", "sb", percent)).select("a", "b")
+    left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = near.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
+    return spooled(found.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b"))
 
-def verified_links(
-    lists: DataFrame, reps: DataFrame, full: DataFrame, percent: int
-) -> DataFrame | None:
+
+def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame | None:
     """(id, component) of the representatives in components of two or more."""
-    lists = spooled(shared_shingles(lists, full))
+    lists, rare_pairs = split_large_lists(lists, full, percent)
+    members = spooled(lists)
     if full.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] * 8 <= BROADCAST_BYTES:
         full = F.broadcast(full)
-    members, links, floor, share = lists, None, 0.0, HUBS
-    labels = None
+    links, labels, floor, share = None, None, 0.0, HUBS
+    if rare_pairs is not None and not rare_pairs.isEmpty():
+        links = _verified(rare_pairs, reps, full, percent)
+        if not links.isEmpty():
+            labels = components(links)
     first = True
+    # The hub of the star holds mostly common shingles, so that it lies in the middle of a group of copies.
+    place = F.struct((-F.coalesce(F.col("c"), F.lit(0)) / F.col("n")).alias("rest"), "id", "n", "c", "k")
     while True:
         if labels is None:
             held = members.withColumn("k", F.col("id"))
         else:
-            held = members.join(labels, "id", "left").select("value", "id", "n", "c", "own", F.coalesce("component", "id").alias("k"))
-        open_lists = held.groupBy("value").agg(F.count("*").alias("size"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct("id", "n", "c", "own")).alias("hub"))
+            held = members.join(labels, "id", "left").select("value", "id", "n", "c", F.coalesce("component", "id").alias("k"))
+        open_lists = held.groupBy("value").agg(F.count("*").alias("size"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(place).alias("hub"))
         open_lists = spooled(open_lists.filter("lo != hi").drop("lo", "hi"))
         largest = open_lists.agg(F.max("size")).first()[0]
         if largest is None:
             return labels
         held = spooled(held.join(open_lists.select("value", "size"), "value"))
         if first:
-            hubs = open_lists.select("value", F.col("hub.id").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc"), F.col("hub.own").alias("hown"), F.col("hub.id").alias("hk"))
+            chosen = open_lists.select("value", "hub.*")
         else:
             # A hash of the member decides in which round it is a hub, so no list has to be ranked.
             lot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-            chosen = (lot * F.col("size") < share) & (lot * F.col("size") >= floor)
-            hubs = held.filter(chosen).select("value", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("own").alias("hown"), F.col("k").alias("hk"))
+            chosen = held.filter((lot * F.col("size") < share) & (lot * F.col("size") >= floor))
+        hubs = chosen.select("value", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("k").alias("hk"))
         pairs = (
             held.join(hubs, "value")
             .filter((F.col("k") != F.col("hk")) & (F.col("id") != F.col("h")) & _reachable(percent))
             .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
             .distinct()
         )
-        left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-        right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-        near = pairs.join(left, "a").join(right, "b").filter(_close("sa", "sb", percent)).select("a", "b")
-        left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        found = near.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
-        new = spooled(found.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b"))
+        new = _verified(pairs, reps, full, percent)
         links = new if links is None else links.union(new)
         if not new.isEmpty():
             labels = components(links)
@@ -231,7 +260,7 @@ def verified_links(
             if share >= largest:
                 return labels
             floor, share = share, share * GROWTH
-        members = held.select("value", "id", "n", "c", "own")
+        members = held.select("value", "id", "n", "c")
 
 
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
