@@ -162,16 +162,17 @@ def _alike_sizes(percent: int) -> Column:
 
 
 def split_large_lists(lists: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """``lists`` with ``c``, less members that no common shingles can link there, and the pairs (a, b) that share rare ones.
+    """``lists`` with ``c`` and ``own``, less members that no common shingles can link there, and the pairs (a, b) that share rare ones.
 
     The shingles of all members of large lists are common (more than RARE holders among them) or rare. Two members
     without a shared rare shingle have at most the smaller of their counts ``c`` of common shingles in common. All others
-    meet in the list of a rare shingle, which has at most RARE members. ``c`` is NULL for ids in no large list.
+    meet in the list of a rare shingle, which has at most RARE members. ``own`` are the lists that an id is left in. Both
+    columns are NULL for ids in no large list.
     """
     large = lists.groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE)
     members = spooled(lists.join(large.select("value"), "value", "left_semi").select("id", "n").distinct())
     if members.isEmpty():
-        return lists.withColumn("c", F.lit(None).cast("long")), None
+        return lists.withColumn("c", F.lit(None).cast("long")).withColumn("own", F.lit(None).cast("array<bigint>")), None
     ids = members.select("id").distinct()
     rows = full.join(ids, "id").select("id", F.explode("shingles").alias("g"))
     held = rows.groupBy("g").agg(F.count("*").alias("holders")).filter("holders > 1")
@@ -191,13 +192,19 @@ def split_large_lists(lists: DataFrame, full: DataFrame, percent: int) -> tuple[
     able = 100 * F.col("c") >= percent * F.col("n")
     bounds = counted.groupBy("value").agg(F.min(F.when(able, F.col("n"))).alias("least_n"), F.max(F.col("c").isNull()).alias("mixed"))
     fits = able & ((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least_n")))
-    return counted.join(bounds, "value").filter(F.col("mixed") | fits).select("value", "id", "n", "c"), spooled(pairs)
+    kept = spooled(counted.join(bounds, "value").filter(F.col("mixed") | fits).select("value", "id", "n", "c"))
+    own = kept.filter("c is not null").groupBy("id").agg(F.collect_set("value").alias("own"))
+    return kept.join(own, "id", "left").select("value", "id", "n", "c", "own"), spooled(pairs)
 
 
 def _reachable(percent: int) -> Column:
-    """Whether sizes, and for two members of large lists their common shingles, leave room for the threshold."""
+    """Whether sizes, and for two members of large lists their common shingles, leave room for the threshold here.
+
+    Such members are paired only in the first list that they share: once it is no longer open, it has joined them.
+    """
     bound = F.col("c").isNull() | F.col("hc").isNull() | _enough(F.least("c", "hc"), percent)
-    return _alike_sizes(percent) & bound
+    first = F.col("own").isNull() | F.col("hown").isNull() | (F.col("value") == F.array_min(F.array_intersect("own", "hown")))
+    return _alike_sizes(percent) & bound & first
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -225,12 +232,12 @@ def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent:
             labels = components(links)
     first = True
     # The hub of the star holds mostly common shingles, so that it lies in the middle of a group of copies.
-    place = F.struct((-F.coalesce(F.col("c"), F.lit(0)) / F.col("n")).alias("rest"), "id", "n", "c", "k")
+    place = F.struct((-F.coalesce(F.col("c"), F.lit(0)) / F.col("n")).alias("rest"), "id", "n", "c", "own", "k")
     while True:
         if labels is None:
             held = members.withColumn("k", F.col("id"))
         else:
-            held = members.join(labels, "id", "left").select("value", "id", "n", "c", F.coalesce("component", "id").alias("k"))
+            held = members.join(labels, "id", "left").select("value", "id", "n", "c", "own", F.coalesce("component", "id").alias("k"))
         open_lists = held.groupBy("value").agg(F.count("*").alias("size"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(place).alias("hub"))
         open_lists = spooled(open_lists.filter("lo != hi").drop("lo", "hi"))
         largest = open_lists.agg(F.max("size")).first()[0]
@@ -238,15 +245,17 @@ def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent:
             return labels
         held = spooled(held.join(open_lists.select("value", "size"), "value"))
         if first:
-            chosen = open_lists.select("value", "hub.*")
+            chosen, turn = open_lists.select("value", "hub.*"), F.col("id") != F.col("h")
         else:
-            # A hash of the member decides in which round it is a hub, so no list has to be ranked.
-            lot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+            # A hash of the member decides in which round it is a hub, so no list has to be ranked. The earlier hub
+            # of two members forms their pair.
+            lot, hub_lot = (F.pmod(F.xxhash64(name), F.lit(1 << 30)) / float(1 << 30) for name in ("id", "h"))
+            turn = (hub_lot < lot) | ((hub_lot == lot) & (F.col("h") < F.col("id")))
             chosen = held.filter((lot * F.col("size") < share) & (lot * F.col("size") >= floor))
-        hubs = chosen.select("value", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("k").alias("hk"))
+        hubs = chosen.select("value", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("own").alias("hown"), F.col("k").alias("hk"))
         pairs = (
             held.join(hubs, "value")
-            .filter((F.col("k") != F.col("hk")) & (F.col("id") != F.col("h")) & _reachable(percent))
+            .filter((F.col("k") != F.col("hk")) & turn & _reachable(percent))
             .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
             .distinct()
         )
@@ -260,7 +269,7 @@ def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent:
             if share >= largest:
                 return labels
             floor, share = share, share * GROWTH
-        members = held.select("value", "id", "n", "c")
+        members = held.select("value", "id", "n", "c", "own")
 
 
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
