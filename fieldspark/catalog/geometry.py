@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fieldspark.catalog import fixtures as fx
-from fieldspark.catalog.registry import register
+from fieldspark.catalog.registry import register, register_like
 from fieldspark.operators import compare, grid
 from fieldspark.operators.regrid import regrid
 from fieldspark.plans.comparison import compare_fields
@@ -88,6 +88,17 @@ def regrid_nearest(spark, sf_dir):
     return regrid(*_scatter(spark, sf_dir), ["u", "v", "w"], method="nearest")
 
 
+@register_like("regrid_linear_tiled", "regrid_linear")
+def regrid_linear_tiled(spark, sf_dir):
+    """Cells far smaller than the point sets, so that the cell tree and the circle search do the work."""
+    return regrid(*_scatter(spark, sf_dir), FIELDS, tile_points=16)
+
+
+@register_like("regrid_nearest_tiled", "regrid_nearest")
+def regrid_nearest_tiled(spark, sf_dir):
+    return regrid(*_scatter(spark, sf_dir), ["u", "v", "w"], method="nearest", leaf_size=16)
+
+
 RAW_SQL = f"""WITH {fx.POINTS_SQL}, {fx.SLICE_SQL}, d AS (SELECT comparison_set, "case", x, z, min(C) AS C FROM sl GROUP BY 1, 2, 3, 4),
   per_case AS (SELECT comparison_set, "case", min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM sl GROUP BY 1, 2),
   box AS (SELECT comparison_set, max(x0) AS xmin, min(x1) AS xmax, max(z0) AS zmin, min(z1) AS zmax

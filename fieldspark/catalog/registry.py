@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_FORMS: dict[str, tuple[str, str, str | None]] = {}
 
 
 def comparable(name: str) -> Column:
@@ -34,6 +35,7 @@ def comparable_sql(name: str) -> str:
 def register(name: str, plain: str, doubles: str = "", sql: str | None = None):
     """Register a query returning ``plain`` columns unchanged and ``doubles`` rounded."""
     plain_names, double_names = plain.split(), doubles.split()
+    _FORMS[name] = (plain, doubles, sql)
 
     def decorate(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,3 +48,8 @@ def register(name: str, plain: str, doubles: str = "", sql: str | None = None):
         return function
 
     return decorate
+
+
+def register_like(name: str, known: str):
+    """Register a query that has to return the rows of ``known`` by another plan."""
+    return register(name, *_FORMS[known])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldspark.catalog import fixtures as fx
-from fieldspark.catalog.registry import register
+from fieldspark.catalog.registry import register, register_like
 from fieldspark.operators import curve as cv
 from fieldspark.operators import series as sr
 from fieldspark.operators import stats
@@ -104,23 +104,53 @@ def moving_average_short(spark, sf_dir):
     return sr.smooth(events, ["user_id"], "event_id", "value", window=301)
 
 
-def _savgol_sql() -> str:
-    """Eleven literal weights per position; the end rows use the rows of the end fit."""
-    weights = sr.fit_weights(11, 3).tolist()
-    rows = ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, row in enumerate(weights) for j, w in enumerate(row))
-    return f"""WITH {SERIES}, s AS (SELECT "case", time, E_k, row_number() OVER (PARTITION BY "case" ORDER BY time) AS rn,
-        count(*) OVER (PARTITION BY "case") AS n FROM series),
-      p AS (SELECT *, greatest(1, least(rn - 5, n - 10)) AS st FROM s),
-      wt(i, j, w) AS (VALUES {rows})
-      SELECT p."case", p.time, sum(wt.w * q.E_k) AS smoothed FROM p JOIN wt ON wt.i = p.rn - p.st
-      JOIN s q ON q."case" = p."case" AND q.rn = p.st + wt.j GROUP BY 1, 2"""
+def _kernel_sql(length: int | str) -> str:
+    """Weight of the sample at xj in the cubic fit read at xi: closed forms of the polynomials over w equally spaced samples.
 
+    For windows too short for a cubic the norms of the surplus polynomials are zero and their terms drop out.
+    """
+    w = f"CAST({length} AS DOUBLE)"
+    two, three = f"{w} * ({w} * {w} - 1)", f"{w} * ({w} * {w} - 1) * ({w} * {w} - 4)"
 
-@register("savgol", "case", "time smoothed", _savgol_sql())
+    def polynomials(x: str) -> list[str]:
+        return ["1.0", x, f"({x} * {x} - ({w} * {w} - 1) / 12)", f"({x} * {x} * {x} - {x} * (3 * {w} * {w} - 7) / 20)"]
+
+    norms = [w, f"{two} / 12", f"{three} / 180", f"{three} * ({w} * {w} - 9) / 2800"]
+    products = zip(polynomials("xi"), polynomials("xj"), norms, strict=True)
+    return " + ".join(f"coalesce({a} * {b} / nullif({n}, 0), 0)" for a, b, n in products)
+
+
+SAVGOL_SQL = f"""WITH {SERIES}, s AS (SELECT "case", time, E_k, row_number() OVER (PARTITION BY "case" ORDER BY time) AS rn,
+    count(*) OVER (PARTITION BY "case") AS n FROM series),
+  p AS (SELECT *, greatest(1, least(rn - 5, n - 10)) AS st FROM s),
+  q AS (SELECT p."case", p.time, p.rn - p.st - 5 AS xi, s.rn - p.st - 5 AS xj, s.E_k AS v FROM p CROSS JOIN range(11) AS o(j)
+    JOIN s ON s."case" = p."case" AND s.rn = p.st + o.j)
+  SELECT "case", time, sum(v * ({_kernel_sql(11)})) AS smoothed FROM q GROUP BY 1, 2"""
+
+
+@register("savgol", "case", "time smoothed", SAVGOL_SQL)
 def savgol(spark, sf_dir):
     return sr.smooth(fx.series(spark, sf_dir), ["case"], "time", "E_k", method="savgol")
 
 
+@register(
+    "savgol_short",
+    "user_id event_id",
+    "smoothed",
+    f"""WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+        count(*) OVER (PARTITION BY user_id) AS n FROM events),
+      h AS (SELECT *, greatest(1, least(101, CASE WHEN n % 2 = 1 THEN n ELSE n - 1 END)) AS w FROM s),
+      p AS (SELECT *, greatest(1, least(rn - (w - 1) // 2, n - w + 1)) AS st FROM h),
+      q AS (SELECT p.user_id, p.event_id, p.w, p.rn - p.st - (p.w - 1) // 2 AS xi, s.rn - p.st - (p.w - 1) // 2 AS xj, s.value AS v
+        FROM p JOIN s ON s.user_id = p.user_id AND s.rn BETWEEN p.st AND p.st + p.w - 1)
+      SELECT user_id, event_id, sum(v * ({_kernel_sql("w")})) AS smoothed FROM q GROUP BY 1, 2""",
+)
+def savgol_short(spark, sf_dir):
+    """Series shorter than the window: each uses its own largest odd window."""
+    events = fx.table(spark, sf_dir, "events")
+    return sr.smooth(events, ["user_id"], "event_id", "value", method="savgol", window=101)
+
+
 KINEMATICS_SQL = f"""{FRONT}, g AS ({_gradient_sql("front", "x_front", True)}),
   sm AS (SELECT "case", time, x_front, g AS v_raw, avg(g) OVER (PARTITION BY "case" ORDER BY time
     ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS v_smooth FROM g),
@@ -400,3 +430,40 @@ def overlay_summary_processed(spark, sf_dir):
         error="error",
     )
     return cv.overlay_summary_processed(comparison, shifts)
+
+
+# --- the same queries over tiles, as long series need them ---------------------------------
+
+
+TILE = 256
+
+
+@register_like("cumtrapz_tiled", "cumtrapz")
+def cumtrapz_tiled(spark, sf_dir):
+    return sr.cumulative_trapezoid(fx.series(spark, sf_dir), ["case"], "time", "epsilon", tile_size=TILE)
+
+
+@register_like("gradient_e2_tiled", "gradient_e2")
+def gradient_e2_tiled(spark, sf_dir):
+    return sr.gradient(fx.front(spark, sf_dir), ["case"], "time", "x_front", edge_order=2, tile_size=TILE)
+
+
+@register_like("moving_average_tiled", "moving_average")
+def moving_average_tiled(spark, sf_dir):
+    return sr.smooth(fx.series(spark, sf_dir), ["case"], "time", "E_k", tile_size=TILE)
+
+
+@register_like("savgol_tiled", "savgol")
+def savgol_tiled(spark, sf_dir):
+    return sr.smooth(fx.series(spark, sf_dir), ["case"], "time", "E_k", method="savgol", tile_size=TILE)
+
+
+@register_like("front_kinematics_tiled", "front_kinematics")
+def front_kinematics_tiled(spark, sf_dir):
+    return sr.front_kinematics(fx.front(spark, sf_dir), tile_size=TILE)
+
+
+@register_like("interp_at_curve_tiled", "interp_at_curve")
+def interp_at_curve_tiled(spark, sf_dir):
+    relative = _relative(spark, sf_dir)
+    return cv.interpolate_at_curve(_others(relative), fx.curve(relative), value="x_front_minus_x0", tile_size=TILE)

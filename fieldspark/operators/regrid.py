@@ -28,7 +28,7 @@ from fieldspark.functions import finite
 from fieldspark.operators import triangles as tri
 from fieldspark.operators.grid import DEDUP_DECIMALS, average_duplicates
 from fieldspark.operators.quadtree import Tree, build_tree, candidate_leaves, nearest_points
-from fieldspark.plans.scale import attach, durable
+from fieldspark.plans.scale import attach, durable, ship
 
 NEAREST_LEAF = 256
 TILE_POINTS = 512
@@ -85,6 +85,7 @@ def regrid(
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"Unknown interpolation method {method!r}.")
+    ship(points.sparkSession)
     keys = [*sets, case]
     nodes = node_queries(grid, points, sets, case)
     groups = [list(fields)] if shared_support(points, fields) else [[f] for f in fields]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
+from operator import add
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,11 +170,29 @@ def moving_average_column(tiles: Tiles, value: str, window: int) -> Column:
     return F.when(F.col("_n") >= _odd(window), plain).otherwise(F.when(F.size(kept) > 0, total / F.size(kept)))
 
 
-def fit_weights(window: int, polyorder: int) -> np.ndarray:
-    """Row i holds the weights that evaluate the least-squares polynomial at sample i."""
-    offsets = np.arange(window, dtype=float) - (window - 1) / 2
-    basis, _ = np.linalg.qr(np.vander(offsets / max(1.0, offsets[-1]), polyorder + 1))
-    return basis @ basis.T
+def _norm_ratio(k: int, width: Column, half: Column) -> Column:
+    """Squared norms of the k-th and the (k-1)-th polynomial orthogonal over ``width`` positions from -1 to 1, as a ratio."""
+    return k * k * (width * width - k * k) / (4.0 * (4 * k * k - 1)) / (half * half)
+
+
+def fit_coefficients(at: Column, width: Column, half: Column, degree: int) -> list[Column]:
+    """The weight of a sample in the least-squares fit read at ``at`` is a polynomial of its position: its coefficients.
+
+    The orthogonal polynomials follow a three-term recurrence whose terms are formulas of the window length, so one
+    expression serves all lengths. A window of w samples has w of these polynomials.
+    """
+    basis, value, norm = [[F.lit(1.0)]], [F.lit(1.0)], [width]
+    for k in range(1, degree + 1):
+        terms, read = [F.lit(0.0), *basis[-1]], at * value[-1]
+        if k > 1:
+            ratio = _norm_ratio(k - 1, width, half)
+            terms = [t - ratio * basis[-2][m] if m < k - 1 else t for m, t in enumerate(terms)]
+            read = read - ratio * value[-2]
+        basis.append(terms)
+        value.append(read)
+        norm.append(norm[-1] * _norm_ratio(k, width, half))
+    scale = [F.when(k < width, value[k] / norm[k]).otherwise(0.0) for k in range(degree + 1)]
+    return [reduce(add, (scale[k] * basis[k][m] for k in range(m, degree + 1))) for m in range(degree + 1)]
 
 
 def savgol_column(tiles: Tiles, value: str, window: int, polyorder: int) -> Column:
@@ -182,10 +201,10 @@ def savgol_column(tiles: Tiles, value: str, window: int, polyorder: int) -> Colu
     Needs a halo of ``window - 1`` rows. Where the effective window or degree is
     below one this is the moving average.
     """
-    full = _odd(window)
+    full, degree = _odd(window), max(0, int(polyorder))
     average = moving_average_column(tiles, value, window)
-    # Only odd windows up to the requested one can occur, and shorter ones only for short keys.
-    lengths = [full] if tiles.smallest_key >= full else range(3, full + 1, 2)
+    if degree < 1:
+        return average
     frame = tiles.window.rowsBetween(-(full - 1), full - 1)
     near = F.collect_list(F.struct("_rn", F.col(value).alias("_v"))).over(frame)
     width = odd_window(F.col("_n"), window)
@@ -194,16 +213,19 @@ def savgol_column(tiles: Tiles, value: str, window: int, polyorder: int) -> Colu
     ).cast("long")
     # Outer halo rows lack their samples; their value is dropped later, so any slice will do.
     samples = F.slice(near, F.greatest(F.lit(1), start - near[0]["_rn"] + 1).cast("int"), width)
-    fitted = average
-    for length in lengths:
-        degree = min(max(0, int(polyorder)), length - 1)
-        if length == 1 or degree < 1:
-            continue
-        rows = F.array(*(F.array(*map(F.lit, row)) for row in fit_weights(length, degree).tolist()))
-        weights = rows[(F.col("_rn") - start).cast("int")]
-        products = F.zip_with(samples, weights, lambda e, w: e["_v"] * w)
-        fitted = F.when(width == length, F.aggregate(products, F.lit(0.0), lambda a, p: a + p)).otherwise(fitted)
-    return fitted
+    half = F.greatest((width - 1) / 2, F.lit(1.0))
+    weights = fit_coefficients((F.col("_rn") - start - half) / half, width.cast("double"), half, degree)
+    # The one-element array binds samples and coefficients once per row.
+    bound = F.struct(samples.alias("samples"), half.alias("half"), *(c.alias(f"c{m}") for m, c in enumerate(weights)))
+
+    def total(b: Column) -> Column:
+        def term(e: Column, j: Column) -> Column:
+            x = (j - b["half"]) / b["half"]
+            return e["_v"] * reduce(lambda acc, m: acc * x + b[f"c{m}"], range(degree - 1, -1, -1), b[f"c{degree}"])
+
+        return F.aggregate(F.transform(b["samples"], term), F.lit(0.0), add)
+
+    return F.when(width > 1, F.transform(F.array(bound), total)[0]).otherwise(average)
 
 
 def smooth_column(tiles: Tiles, value: str, method: str, window: int, polyorder: int) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions import lenient_double, order_label
+from fieldspark.functions import lenient_double, order_label, strict
 
 # Field order, metric columns per field, order labels and table columns.
 FIELD_ORDER = ("concentration", "velocity", "pressure")
@@ -24,6 +24,7 @@ METRIC_COLUMNS = {
 }
 METRICS = ("relative_L2", "mean_abs_error", "max_abs_error", "relative_Linf")
 ORDER_LABELS = ("N5", "N7", "N9")
+REPEATED_CELL = "Several rows for one time, set, field and order; name the column that orders them."
 
 
 def multitime_summary(tables: Mapping[str, DataFrame], sets: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def multitime_summary(tables: Mapping[str, DataFrame], sets: DataFrame) -> DataF
 
     union = reduce(DataFrame.unionByName, (renamed(f) for f in FIELD_ORDER if f in tables))
     times = sets.select("comparison_set", "target_time")
-    return union.join(times, "comparison_set").select(
+    return union.join(times, "comparison_set", "left").select(
         "comparison_set", "target_time", *[c for c in union.columns if c != "comparison_set"]
     )
 
@@ -70,8 +71,8 @@ def order_pivot(
 ) -> DataFrame:
     """One row per (time, set, field): the metric by order, the best order and the trend.
 
-    Of several rows for one cell the last by ``sequence`` counts. On equal values
-    the earlier order is the best one.
+    Of several rows for one cell the last by ``sequence`` counts; without a sequence they fail the job. On equal
+    values the earlier order is the best one.
     """
     cells = summary.filter(F.col("field").isin(*FIELD_ORDER)).select(
         "target_time",
@@ -85,7 +86,7 @@ def order_pivot(
         cells.filter(F.col("_label").isNotNull())
         .groupBy("target_time", "comparison_set", "field")
         .pivot("_label", list(labels))
-        .agg(F.max_by("_value", "_seq"))
+        .agg(F.max_by("_value", "_seq") if sequence else strict(F.count(F.lit(1)) < 2, REPEATED_CELL, F.first("_value")))
     )
     ranked = F.array(*(F.struct(F.col(c).alias("v"), F.lit(i).alias("i"), F.lit(c).alias("label")) for i, c in enumerate(labels)))
     best = F.array_min(F.filter(ranked, lambda e: e["v"].isNotNull()))["label"]

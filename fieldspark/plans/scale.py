@@ -1,17 +1,21 @@
 """Helpers that keep plans safe when one key holds a large share of the rows.
 
-* ``durable`` fixes a small intermediate table in the checkpoint folder, so it is
-  computed once and keeps its values if an executor is lost.
+* ``spooled`` writes an intermediate to a Parquet table in the checkpoint folder, so
+  it is computed once and keeps its values if an executor is lost.
+* ``durable`` is the same for a table that may be asked for again; it remembers its size.
 * ``attach`` joins per-key facts back onto the rows. It measures the fact table
   and broadcasts it only within a byte budget; beyond that it is an ordinary
   shuffle join whose oversized partitions adaptive execution may split.
-* ``spooled`` writes a large intermediate to a Parquet table in the same folder.
+* ``ship`` sends this package to the executors, for Python tasks of a session that was
+  started in another folder.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +25,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Attribute under which a durable DataFrame keeps what is known about it.
 _MARK = "_fieldspark_durable"
+_shipped: set[str] = set()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -39,14 +44,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute a small table once and keep it in the checkpoint folder.
-
-    A table that is durable already is returned as it is.
-    """
+    """Compute a table once and keep it in the checkpoint folder; one that is durable already is returned as it is."""
     if getattr(df, _MARK, None) is not None:
         return df
-    checkpoint_folder(df.sparkSession)
-    kept = df.checkpoint(eager=True)
+    kept = spooled(df)
     setattr(kept, _MARK, {})
     return kept
 
@@ -58,6 +59,23 @@ def spooled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), "fieldspark_package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+
+
 def _width(field: T.StructField) -> Column | int:
     """Bytes of one value: measured for text and arrays, else the type's nominal width."""
     if isinstance(field.dataType, T.StringType):

@@ -101,7 +101,8 @@ def selection_from_points(points: DataFrame, cases: DataFrame, reference_case: s
 
 
 def _with_orders(rows: DataFrame, cases: DataFrame) -> DataFrame:
-    counted = rows.join(cases.select("case", "order"), "case").withColumn(
+    # A case that ``cases`` does not list stays, without an order.
+    counted = rows.join(cases.select("case", "order"), "case", "left").withColumn(
         "n_cases", F.count(F.lit(1)).over(Window.partitionBy("comparison_set"))
     )
     return counted.select(
@@ -199,17 +200,20 @@ def locate(wanted: DataFrame, files: DataFrame, expected_path: str = "expected_p
     ``files`` holds path, case, index and comparison_set; a file without a set fits any set.
     """
     exact = files.select(F.col("path").alias(expected_path), F.lit(True).alias("_exact")).distinct()
-    # First path per distinct metadata, so that one much-copied snapshot is one row per set.
-    described = files.groupBy("case", "index", F.nullif("comparison_set", F.lit("")).alias("_set")).agg(
-        F.min("path").alias("path")
-    )
-    keys = wanted.columns
-    matches = wanted.join(exact, expected_path, "left").join(described, ["case", "index"], "left")
-    fits = F.col("_set").isNull() | (F.col("_set") == F.col("comparison_set"))
-    best = matches.groupBy(*keys).agg(
-        F.max("_exact").alias("_exact"), F.min(F.when(fits, F.col("path"))).alias("_path")
-    )
-    return best.select(*keys, F.when(F.col("_exact"), F.col(expected_path)).otherwise(F.col("_path")).alias("path"))
+    # First path per distinct metadata; a wanted row meets at most one with its set and one without a set.
+    described = files.groupBy("case", "index", F.nullif("comparison_set", F.lit("")).alias("comparison_set")).agg(
+        F.min("path").alias("_path")
+    )
+    of_set = described.filter(F.col("comparison_set").isNotNull()).withColumnRenamed("_path", "_of_set")
+    of_any = described.filter(F.col("comparison_set").isNull()).select("case", "index", F.col("_path").alias("_of_any"))
+    found = (
+        wanted.distinct()
+        .join(exact, expected_path, "left")
+        .join(of_set, ["case", "index", "comparison_set"], "left")
+        .join(of_any, ["case", "index"], "left")
+    )
+    best = F.when(F.col("_exact"), F.col(expected_path)).otherwise(F.least("_of_set", "_of_any"))
+    return found.select(*wanted.columns, best.alias("path"))
 
 
 # --- time alignment ----------------------------------------------------------------------

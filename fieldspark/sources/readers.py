@@ -58,7 +58,7 @@ def read_curve(spark: SparkSession, path: str, require_positive: bool = True) ->
     """A two-column CSV curve: comments, blank and short rows and a first header line are skipped.
 
     A later non-numeric row, fewer than two finite rows, a repeated time and (if
-    asked) the lack of a positive row are errors. A curve is one small file, read whole.
+    asked) the lack of a positive row are errors, for each file. A curve is one small file, read whole.
     """
     text = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("_pos", "_line")
@@ -76,12 +76,16 @@ def read_curve(spark: SparkSession, path: str, require_positive: bool = True) ->
     rows = parsed.filter(~unreadable & finite("time", "x")).select("file", "time", "x")
     rows = rows.withColumn("is_positive", (F.col("time") > 0.0) & (F.col("x") > 0.0))
     require_valid(rows, ["file"], "time", ["x"])
-    counts = rows.agg(F.count(F.lit(1)), F.count_if("is_positive")).first()
-    if counts[0] < 2:
-        raise ValueError("A curve needs at least two finite rows.")
-    if require_positive and counts[1] == 0:
-        raise ValueError("The curve has no positive row for log-log use.")
-    return rows.select("time", "x", "is_positive")
+    # Counted over all parsed lines, so that a file whose rows are all non-finite is seen too.
+    counts = parsed.groupBy("file").agg(
+        F.count_if(~unreadable & finite("time", "x")).alias("rows"),
+        F.count_if((F.col("time") > 0.0) & (F.col("x") > 0.0) & finite("time", "x")).alias("positive"),
+    )
+    if few := counts.filter("rows < 2").select("file").first():
+        raise ValueError(f"A curve needs at least two finite rows: {few['file']}")
+    if require_positive and (none := counts.filter("positive = 0").select("file").first()):
+        raise ValueError(f"The curve has no positive row for log-log use: {none['file']}")
+    return rows.select("file", "time", "x", "is_positive")
 
 
 def read_processed(

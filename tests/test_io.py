@@ -35,7 +35,14 @@ def test_short_or_unreadable_lines_fail(spark, tmp_path):
 def test_curve_reader(spark, tmp_path):
     path = write(tmp_path / "curve.csv", "t,x\r\n# note\r\n\r\n3, 4\r\n5\r\n1,2,9\r\nnan,7\r\n0,1\r\n")
     rows = readers.read_curve(spark, str(path)).orderBy("time").collect()
-    assert [tuple(r) for r in rows] == [(0, 1, False), (1, 2, True), (3, 4, True)]
+    assert [tuple(r)[1:] for r in rows] == [(0, 1, False), (1, 2, True), (3, 4, True)]
+
+
+def test_a_glob_of_curves_keeps_its_files_apart(spark, tmp_path):
+    write(tmp_path / "a.csv", "1,2\n3,4\n")
+    write(tmp_path / "b.csv", "1,5\n3,6\n")
+    rows = readers.read_curve(spark, f"{tmp_path}/*.csv").collect()
+    assert sorted((r["file"][-5:], r["time"], r["x"]) for r in rows) == [("a.csv", 1, 2), ("a.csv", 3, 4), ("b.csv", 1, 5), ("b.csv", 3, 6)]
 
 
 @pytest.mark.parametrize(

@@ -265,6 +265,12 @@ def test_best_order_tie_goes_to_the_earlier(spark):
     assert rollup.order_pivot(summary(spark, rows), "relative_L2").first()["best_lower_order"] == "N7"
 
 
+def test_repeated_cells_need_a_sequence(spark):
+    rows = [("1", "s", "pressure", "9", v, 0) for v in ("2", "3")]
+    with pytest.raises(Exception, match="Several rows for one time"):
+        rollup.order_pivot(summary(spark, rows), "relative_L2").collect()
+
+
 def test_summary_order(spark):
     rows = [("x", "a", "velocity", "5"), ("2", "b", "pressure", "5"), ("2", "b", "concentration", "9"), ("2", "b", "concentration", "5")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "target_time string, comparison_set string, field string, order string, case string")
