@@ -133,11 +133,17 @@ def _close(a: str, b: str, percent: int) -> Column:
     return 3 * 100 * both >= 2 * percent * F.size(union)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), v < u, are stars: every u has one v, which is no u itself. Then v is the least of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or out = 1 and into = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that is reachable over links (a, b)."""
+    """(id, component): the smallest id that is reachable over links (a, b), for all ids but these smallest ones."""
     edges = spooled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before = None
-    while True:
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: neighbours above a node move to the least of its neighbourhood.
@@ -146,10 +152,17 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = spooled(moved.union(down.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def joined_labels(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after its components have been ``merged``, itself (id, component) over components and single ids."""
+    if labels is None:
+        return merged
+    target = merged.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    moved = labels.join(target, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    # The smallest id of a component has no label yet, so no id is in both parts.
+    return spooled(moved.union(merged))
 
 
 def _enough(shared: Column, percent: int) -> Column:
@@ -208,15 +221,16 @@ def _reachable(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the estimate and then the exact similarity of the full sets."""
+    """The pairs (a, b) that pass the estimate and then the exact similarity of the full sets, with their other columns."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
     left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").filter(_close("sa", "sb", percent)).select("a", "b")
+    near = pairs.join(left, "a").join(right, "b").filter(_close("sa", "sb", percent)).select("a", "b", *rest)
     left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    found = near.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
-    return spooled(found.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b"))
+    found = near.join(left, "a").join(right, "b").select("a", "b", *rest, both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
+    return spooled(found.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b", *rest))
 
 
 def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame | None:
@@ -225,11 +239,11 @@ def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent:
     members = spooled(lists)
     if full.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] * 8 <= BROADCAST_BYTES:
         full = F.broadcast(full)
-    links, labels, floor, share = None, None, 0.0, HUBS
+    labels, floor, share = None, 0.0, HUBS
     if rare_pairs is not None and not rare_pairs.isEmpty():
-        links = _verified(rare_pairs, reps, full, percent)
-        if not links.isEmpty():
-            labels = components(links)
+        found = _verified(rare_pairs, reps, full, percent)
+        if not found.isEmpty():
+            labels = components(found)
     first = True
     # The hub of the star holds mostly common shingles, so that it lies in the middle of a group of copies.
     place = F.struct((-F.coalesce(F.col("c"), F.lit(0)) / F.col("n")).alias("rest"), "id", "n", "c", "own", "k")
@@ -256,13 +270,13 @@ def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent:
         pairs = (
             held.join(hubs, "value")
             .filter((F.col("k") != F.col("hk")) & turn & _reachable(percent))
-            .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+            .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), F.least("k", "hk").alias("ka"), F.greatest("k", "hk").alias("kb"))
             .distinct()
         )
-        new = _verified(pairs, reps, full, percent)
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            labels = components(links)
+        found = _verified(pairs, reps, full, percent)
+        if not found.isEmpty():
+            # Only the components that these links join are searched, not the links of earlier rounds again.
+            labels = joined_labels(labels, components(found.select(F.col("ka").alias("a"), F.col("kb").alias("b"))))
         if first:
             first = False
         else:
