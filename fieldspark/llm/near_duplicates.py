@@ -39,7 +39,7 @@ SKETCH = 64
 PERCENT = 75
 # Hubs of a list in the first round after the star; every later round takes GROWTH times as many.
 HUBS = 8
-GROWTH = 8
+GROWTH = 64
 # Lists with more members are split by common and rare shingles; a rare one has at most RARE holders.
 LARGE = 64
 RARE = 16
