@@ -7,21 +7,17 @@ DuckDB expressions agree.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.plans.scale import attach, checkpoint_folder, spooled  # noqa: F401  (shared by the operators)
+from fieldspark.plans.scale import attach, checkpoint_folder, ship, spooled  # noqa: F401  (shared by the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4_000_000
-_shipped: set[str] = set()
 
 
 def words_of(text: Column) -> Column:
@@ -68,23 +64,6 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column))
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per session, for Python tasks of a session started elsewhere."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "fieldspark_package.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-
-
 def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """``keep`` and new columns that are evaluated once per row, however often a later step refers to them.
 
