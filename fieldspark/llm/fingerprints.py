@@ -1,7 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests; DataFrame functions only.
 
-1. A text is cut into paragraphs (its lines; a text under ``SHORT`` code points also at sentence ends); each distinct
-   one is a 64-bit digest.
+1. A text of any size is cut into paragraphs at its line ends and sentence ends; each distinct one is a 64-bit digest.
 2. A sketch has three sub-tables. A digest goes to one cell of each; a cell holds the number of its digests, their XOR
    and the XOR of their check hashes. The fingerprint is the fixed-size base sketch as text.
 3. To compare two versions, their digests are dealt to parts of a few digests by further bits, so the work is linear in
@@ -32,13 +31,13 @@ SIZES = (4, 16, 64)
 # Digests of one version that a part gets on average, at most.
 PART = 2
 ROUNDS = 6
-# Texts with fewer code points are cut at sentences, because they have few lines.
-SHORT = 1000
+# Texts with fewer code points are cut at sentences: all of them. Only the brute-force test still reads the bound.
+SHORT = float("inf")
 
 
 def paragraphs(text: Column) -> Column:
     """The distinct digests of the paragraphs of a text, sorted."""
-    cut = F.split(F.when(F.char_length(text) < SHORT, F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n")).otherwise(text), "\n")
+    cut = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
     named = F.transform(F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.xxhash64(p))
     return F.array_sort(F.array_distinct(named))
 
@@ -179,15 +178,17 @@ def fingerprint_versions(docs: DataFrame, id_column: str = "doc_id", text_column
     source = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
     ).withColumn("key", row_key("id", "text"))
+    # Both joins take the same two columns, so the texts are shuffled once.
+    texts = source.select("key", "text")
     chain = spooled(with_successor(source.select("id", "key", F.char_length("text").alias("n")).distinct()))
-    asked = chain.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("take"))
+    asked = chain.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "id", F.floor(F.col("n") / 3).cast("int").alias("take"))
     given = (
-        once(source.select("key", "text").join(asked, "key"), ["asker"], head=F.expr("substring(text, 1, take)"), after=paragraphs(F.col("text")))
+        once(texts.join(asked, "key"), ["asker", "id"], head=F.expr("substring(text, 1, take)"), after=paragraphs(F.col("text")))
         .withColumnRenamed("asker", "key")
         .dropDuplicates(["key"])
     )
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.col("head"))
-    joined = once(source.join(given, "key"), ["id", "text", "after"], edited=edited)
+    joined = once(texts.join(given, "key"), ["id", "text", "after"], edited=edited)
     rows = once(
         joined,
         ["id"],

@@ -142,6 +142,20 @@ def test_fingerprints_match_brute_force(spark):
     assert out[3]["fingerprint"] == out[60]["fingerprint"]
 
 
+def test_fingerprints_cut_texts_of_every_size_alike(spark):
+    said = [f"Sentence {k} of this text says something of its own{'.!?'[k % 3]}" for k in range(60)]
+    # The edited form of the second text is under 1,000 code points; the third has no line end.
+    texts = ["Tiny text. Two.", " ".join(said[:22]), " ".join(said)]
+    edited = [t[: len(t) - len(t) // 3] + texts[k - 1][: len(t) // 3] for k, t in enumerate(texts)]
+    assert len(edited[1]) < 1000 < len(texts[1])
+    units = lambda t: {p.strip(" ") for p in re.sub(r"([.!?])[ \t]+", "\\1\n", t).split("\n")} - {""}
+    likeness = lambda a, b: len(units(a) & units(b)) / len(units(a) | units(b))
+    out = {r["doc_id"]: r for r in fingerprints.fingerprint_versions(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    for k, t in enumerate(texts):
+        assert out[k]["near_edited"] == pytest.approx(likeness(t, edited[k])) and out[k]["near_next"] == pytest.approx(likeness(t, texts[k - 1]))
+    assert min(out[1]["near_edited"], out[2]["near_edited"]) > 0.4
+
+
 def test_near_duplicates_match_brute_force_in_a_large_group(spark):
     rng = random.Random(4)
     base = [f"w{k}" for k in range(80)]
