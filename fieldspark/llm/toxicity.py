@@ -10,8 +10,10 @@
 4. A logistic classifier over words and stems is trained on the posteriors and scores every whole text.
 
 Labels are read only from rows whose crc32(id as text) mod 4 is not 2. Labels, language, source and id are no inputs
-of a score. Bounds: learned lists and classifier are fitted on at most about ``SAMPLE`` training rows each (chosen by a
-hash of the id); pattern counts cover all training rows.
+of a score. Copies of a text say nothing new: lists, pattern counts and classifier take each distinct text once, a text
+whose copies differ in label once per label. Learned lists come from all labelled training texts and have no fixed size:
+at most the mean number of features of a toxic text, times about 125, can reach the support. Bound: the classifier is
+fitted on at most about ``SAMPLE`` distinct training texts (chosen by a hash of the text).
 
 Defined cases: NULL, empty and blank texts have no words and get the classifier's base score; NULL labels and labels
 without a document are ignored, of several labels of a document the highest counts; repeated rows get equal scores; rows
@@ -32,11 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.text import fresh, remainder, ship, spooled, text_blocks
+from fieldspark.llm.text import attach, fresh, remainder, ship, spooled, text_blocks
 
 SAMPLE = 20_000
 FEATURES = 500
-LIST_WORDS = 400
 THRESHOLD = 0.3
 STEMS = (4, 5, 6)
 
@@ -112,7 +113,8 @@ def _votes(learned: dict[bytes, int]):
             for start, end, texts in text_blocks(batch, "_text"):
                 sets = [tokens_of(t) for t in texts]
                 masks = [vote_mask(t, s, {learned[f] for f in hits}) for t, s, hits in zip(texts, sets, finder.of_block(sets), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(start, end - start), pa.array(masks, pa.int32())], names=["_id", "mask"])
+                kept = [batch.column(n).slice(start, end - start) for n in ("_id", "_h")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(masks, pa.int32())], names=["_id", "_h", "mask"])
 
     return run
 
@@ -268,27 +270,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     ship(docs.sparkSession)
     model = ToxicityModel()
     source = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).filter("_id is not null")
-    source = source.filter(remainder("_id", 4) != 2)
+    source = source.filter(remainder("_id", 4) != 2).withColumn("_h", F.xxhash64("_text"))
     known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).alias("_y")).filter("_id is not null and _y is not null")
     known = spooled(known.filter(remainder("_id", 4) != 2).groupBy("_id").agg(F.max("_y").cast("double").alias("_y")))
-    n_known, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0.0))).first()
-    lot = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    # At most about ``sample`` rows of a few bytes, so the broadcast is bounded.
-    few = known.filter(lot < min(1.0, sample / max(1, n_known)))
-    # A listed word stands in at least five texts and about one of a hundred toxic ones, so copies of a text make none.
-    least = max(5, int(0.01 * n_toxic * min(1.0, sample / max(1, n_known))))
-    marked = _sums(source.join(F.broadcast(few), "_id").select("_text", "_y"), least)
+    labelled = spooled(attach(source, known, ["_id"]).select("_h", "_text", "_y").dropDuplicates(["_h", "_y"]))
+    n_toxic = labelled.agg(F.coalesce(F.sum("_y"), F.lit(0.0))).first()[0]
+    # A listed word stands in at least five distinct texts and about one of a hundred toxic ones.
+    marked = _sums(labelled.select("_text", "_y"), max(5, int(0.01 * n_toxic)))
     rate = (F.col("label_sum") + 0.1) / (F.col("texts") + 1.0)
-    lists = marked.filter(rate >= 0.8).orderBy(F.desc("label_sum"), "feature").limit(LIST_WORDS).collect()
+    lists = marked.filter(rate >= 0.8).select("feature").collect()
     for row in lists:
         name = bytes(row["feature"])
         model.learned[name] = 0 if name[:1] == b"=" else 1 if len(name) <= STEMS[0] else 2
 
-    schema = T.StructType([source.schema["_id"], T.StructField("mask", T.IntegerType())])
-    votes = spooled(source.mapInArrow(_votes(model.learned), schema))
-    table = votes.join(known, "_id", "left").groupBy("mask").agg(
-        F.sum(F.col("_y").isNull().cast("long")).alias("free"), F.sum((F.col("_y") > 0).cast("long")).alias("toxic"), F.sum((F.col("_y") <= 0).cast("long")).alias("clean")
-    ).orderBy("mask").collect()  # at most 2^voters rows
+    schema = T.StructType([source.schema["_id"], T.StructField("_h", T.LongType()), T.StructField("mask", T.IntegerType())])
+    votes = source.mapInArrow(_votes(model.learned), schema)
+    has = lambda of: F.coalesce(F.max(of), F.lit(False))
+    texts = attach(votes, known, ["_id"], "left").groupBy("_h", "mask").agg(has(F.col("_y") > 0).alias("toxic"), has(F.col("_y") <= 0).alias("clean"))
+    texts = spooled(texts.withColumn("free", ~F.col("toxic") & ~F.col("clean")))
+    # At most 2^voters rows.
+    table = texts.groupBy("mask").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("free", "toxic", "clean")]).orderBy("mask").collect()
     if not table:
         model.bias = -2.0
         return model
@@ -300,12 +301,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     model.parents = {VOTERS[k]: VOTERS[p] for k, p in parents.items()}
 
     total = sum(int(c.sum()) for c in counts)
-    few = votes.filter(lot < min(1.0, sample / max(1, total))).dropDuplicates(["_id"])
-    chosen = few.withColumn("_y", _lookup(masks, post)).select("_id", "_y")
-    chosen = source.join(F.broadcast(chosen), "_id").select("_text", "_y")
+    share = min(1.0, sample / max(1, total))
+    lot = F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) / float(1 << 30)
+    # At most about ``sample`` rows of a few bytes, so the broadcast is bounded.
+    few = texts.filter(lot < share).withColumn("_y", _lookup(masks, post)).select("_h", "_y")
+    chosen = spooled(source.join(F.broadcast(few), "_h").select("_h", "_text", "_y").dropDuplicates(["_h"])).select("_text", "_y")
     base = float(sum(post * sum(counts))) / max(1, total)
     excess = (F.col("label_sum") - base * F.col("texts")) / F.sqrt(F.col("texts") * max(1e-6, base * (1 - base)))
-    best = _sums(chosen, least).select("feature", excess.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
+    best = _sums(chosen, max(5, int(0.01 * n_toxic * share))).select("feature", excess.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
     place = {bytes(r["feature"]): k for k, r in enumerate(sorted(best, key=lambda r: bytes(r["feature"])))}
     rows = chosen.mapInArrow(_feature_rows(place), "_y double, features array<int>").orderBy("_y", "features").collect()
     weight, model.bias = fit_linear([r["features"] for r in rows], np.array([r["_y"] for r in rows]), len(place))

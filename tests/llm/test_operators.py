@@ -213,6 +213,20 @@ def test_language_model_and_classifier_on_held_out_rows(spark):
     assert caught >= 0.6 * sum(truth[r["doc_id"]] for r in found) and caught >= 0.7 * sum(r["predicted"] for r in found)
 
 
+def test_toxicity_learns_the_same_from_copies_and_keeps_every_listed_word(spark):
+    rng = random.Random(6)
+    plain = [f"common{k:03d}" for k in range(300)]
+    insults = [hashlib.md5(str(k).encode()).hexdigest()[:12] for k in range(450)]
+    texts = [" ".join(rng.sample(plain, 40)) for _ in range(300)]
+    texts += [" ".join(rng.sample(plain, 20) + [insults[(30 * k + j) % 450] for j in range(30)]) for k in range(200)]
+    texts += [" ".join([*(f"rare{k}" for k in range(300)), *insults[:2]])] * 100
+    labels = spark.createDataFrame([(k, int(k >= 300)) for k in range(len(texts))], "doc_id long, toxic int")
+    fitted = [toxicity.fit(spark.createDataFrame(rows_of(some), SCHEMA), labels) for some in (texts[:502], texts)]
+    assert any(zlib.crc32(str(k).encode()) % 4 != 2 for k in (500, 501))
+    assert fitted[0].learned == fitted[1].learned and fitted[0].weights == pytest.approx(fitted[1].weights)
+    assert {b"=" + w.encode() for w in insults} <= fitted[1].learned.keys() and not any(f.startswith(b"=rare") for f in fitted[1].learned)
+
+
 def test_url_list_has_no_false_positives(spark):
     pages = spark.createDataFrame([(k, f"http://www.a.com/p{k}/?utm_source=x&b={k}") for k in range(3000)] + [(-1, None), (-2, "no scheme")], "page_id long, url string")
     listed = spark.createDataFrame([(f"https://A.com:443/p{k}?b={k}",) for k in range(0, 3000, 7)] + [(None,)], "url string")
