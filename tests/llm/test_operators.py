@@ -100,6 +100,13 @@ def test_substrings_keep_the_first_and_the_offsets(spark):
     assert out[1]["text"] == "other" and [tuple(s) for s in out[1]["removed"]] == [(0, len(LINE) + 1)]
 
 
+def test_substrings_leave_passages_that_are_no_whole_unit(spark):
+    short = "It has few words. So has this. And this one too."
+    texts = [f"{LINE}.", f"He said that {LINE} and went on.", f"own start here\n{short}", f"Another start. {short} And another end of it."]
+    out = {r["doc_id"]: r for r in substrings.drop_repeats(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert all(out[k]["text"] == t and out[k]["removed"] == [] for k, t in enumerate(texts))
+
+
 def test_pieces_round_trip_and_are_optimal():
     vocabulary = sentencepieces.load_vocabulary(queries.TOKENIZER)
     encoder = sentencepieces.WordEncoder(vocabulary)
