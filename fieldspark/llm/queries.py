@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import fingerprints, host_rules, language_model, licenses, near_duplicates, packing, sentencepieces, substrings, toxicity, url_filter
+from fieldspark.llm import (
+    fingerprints,
+    host_rules,
+    language_model,
+    licenses,
+    merkle,
+    near_duplicates,
+    packing,
+    search,
+    sentencepieces,
+    substrings,
+    toxicity,
+    url_filter,
+    vector_join,
+)
 from fieldspark.llm.text import GAP, WORD
 
 TOKENIZER = os.environ.get("FIELDSPARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -73,9 +87,35 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(merkle.build_manifest(_table(spark, sf_dir, "documents")))
+
+
+def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
+def op13_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vector_classes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_length_buckets, op2_toxicity, op3_host_rules, op4_license_windows, op5_prefix_viterbi, op6_unit_dedup, op7_url_bloom, op8_paragraph_sketch, op9_bottom_k, op10_hidden_markov)
+    for f in (
+        op1_length_buckets,
+        op2_toxicity,
+        op3_host_rules,
+        op4_license_windows,
+        op5_prefix_viterbi,
+        op6_unit_dedup,
+        op7_url_bloom,
+        op8_paragraph_sketch,
+        op9_bottom_k,
+        op10_hidden_markov,
+        op11_merkle_manifest,
+        op12_best_position,
+        op13_grid_order_join,
+    )
 }
 
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
@@ -208,4 +248,7 @@ ORACLES = {
     "op4_license_windows": licenses.scan_sql(),
     "op7_url_bloom": urls_sql(),
     "op9_bottom_k": near_duplicates_sql(),
+    "op11_merkle_manifest": merkle.audit_sql(),
+    "op12_best_position": search.search_sql(),
+    "op13_grid_order_join": vector_join.classes_sql(),
 }
