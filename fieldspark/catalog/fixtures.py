@@ -34,36 +34,52 @@ def _point_columns() -> list:
         (price * F.col("l_tax")).alias("v"),
         F.col("l_quantity").alias("w"),
         (price * (1 + F.col("l_tax"))).alias("p"),
-        F.col("l_linenumber").alias("idx"),
     ]
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as points: two comparison sets, three cases, R the reference."""
+    """Order lines as points: two comparison sets, three cases, R the reference, one snapshot of each case."""
     lines = table(spark, sf_dir, "lineitem")
+    idx = F.when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "N", 4).otherwise(6)
     return lines.select(
-        F.col("l_linestatus").alias("comparison_set"), F.col("l_returnflag").alias("case"), *_point_columns()
+        F.col("l_linestatus").alias("comparison_set"), F.col("l_returnflag").alias("case"), *_point_columns(), idx.alias("idx")
     )
 
 
 POINT_COLUMNS_SQL = """l_quantity AS x, l_tax AS y, l_discount AS z, l_extendedprice AS C,
   l_extendedprice * l_discount AS u, l_extendedprice * l_tax AS v, l_quantity AS w,
-  l_extendedprice * (1 + l_tax) AS p, l_linenumber AS idx"""
-POINTS_SQL = f"""pts AS (SELECT l_linestatus AS comparison_set, l_returnflag AS "case", {POINT_COLUMNS_SQL}
-  FROM lineitem)"""
+  l_extendedprice * (1 + l_tax) AS p"""
+POINTS_SQL = f"""pts AS (SELECT l_linestatus AS comparison_set, l_returnflag AS "case", {POINT_COLUMNS_SQL},
+  CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 4 ELSE 6 END AS idx FROM lineitem)"""
 
 
 def points_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lines under four cases N5, N7, N9, N11 by line number, sets by return flag."""
+    """The same lines under four cases N5, N7, N9, N11 by line number, sets by return flag; one snapshot of each case."""
     lines = table(spark, sf_dir, "lineitem")
     rest = F.col("l_linenumber") % 4
     case = F.when(rest == 0, "N11").when(rest == 1, "N5").when(rest == 2, "N7").otherwise("N9")
-    return lines.select(F.col("l_returnflag").alias("comparison_set"), case.alias("case"), *_point_columns())
+    return lines.select(F.col("l_returnflag").alias("comparison_set"), case.alias("case"), *_point_columns(), (20 + rest).alias("idx"))
 
 
 POINTS_BY_LINE_SQL = f"""pts AS (SELECT l_returnflag AS comparison_set,
   CASE l_linenumber % 4 WHEN 0 THEN 'N11' WHEN 1 THEN 'N5' WHEN 2 THEN 'N7' ELSE 'N9' END AS "case",
-  {POINT_COLUMNS_SQL} FROM lineitem)"""
+  {POINT_COLUMNS_SQL}, 20 + l_linenumber % 4 AS idx FROM lineitem)"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of each case of ``points``: lines of odd numbers are the first; the planes of the second lie higher."""
+    lines = table(spark, sf_dir, "lineitem")
+    idx = F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(2)
+    columns = {"comparison_set": F.col("l_linestatus"), "case": F.col("l_returnflag")}
+    rows = lines.select(*[c.alias(n) for n, c in columns.items()], *_point_columns(), idx.alias("idx"))
+    return rows.withColumn("y", F.col("y") + F.when(F.col("idx") == 2, 0.125).otherwise(0.0))
+
+
+SNAPSHOTS_SQL = f"""pts_all AS (SELECT * REPLACE (y + CASE WHEN idx = 2 THEN 0.125 ELSE 0 END AS y) FROM (
+  SELECT l_linestatus AS comparison_set, l_returnflag AS "case", {POINT_COLUMNS_SQL},
+  CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END AS idx FROM lineitem))"""
+# Snapshots that the second set of sets chooses: the second one of A and R, the first one of N.
+CHOSEN_SNAPSHOTS = {"A": 2, "N": 1, "R": 2}
 
 
 def cases(all_points: DataFrame) -> DataFrame:
@@ -107,7 +123,9 @@ NODES_SQL = f"{SLICE_SQL}, {MERGED_SQL.format(source='sl')}"
 
 
 def selection(all_points: DataFrame, reference: str = REFERENCE) -> DataFrame:
-    return durable(selection_from_points(all_points, cases(all_points), reference))
+    # What is there, read off the points in one pass; the cases follow from it.
+    present = durable(all_points.groupBy("comparison_set", "case").agg(F.max("idx").alias("idx")))
+    return durable(selection_from_points(present, cases(present), reference))
 
 
 def selection_sql(reference: str = REFERENCE) -> str:

@@ -140,7 +140,7 @@ def _diagnostic_sql(source: str, table: str) -> str:
 def speed_order_diag(spark, sf_dir):
     points, nodes = _scatter(spark, sf_dir)
     gridded = regrid(points, nodes, FIELDS)
-    return compare.speed_order_diagnostic(gridded, gridded, KEYS)
+    return compare.speed_order_diagnostic(gridded, KEYS)
 
 
 @register(
@@ -152,7 +152,7 @@ def speed_order_diag(spark, sf_dir):
 def speed_order_diag_nearest(spark, sf_dir):
     points, nodes = _scatter(spark, sf_dir)
     gridded = regrid(points, nodes, FIELDS, method="nearest")
-    return compare.speed_order_diagnostic(gridded, gridded, KEYS)
+    return compare.speed_order_diagnostic(gridded, KEYS)
 
 
 COMPARED_SQL = f"""WITH {_linear_sql(COMMON_BOX)},

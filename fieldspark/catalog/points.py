@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldspark.catalog import fixtures as fx
 from fieldspark.catalog.registry import register
 from fieldspark.functions import half_even, lenient_double, order_label, relative_difference, speed
 from fieldspark.operators import compare, grid, slicing, views
-from fieldspark.plans import rollup
+from fieldspark.plans import rollup, selection
+from fieldspark.plans.comparison import select_snapshots, slice_points, snapshot_keys
+from fieldspark.plans.scale import checkpoint_folder, durable
+from fieldspark.sources import writers
 
 KEYS = fx.KEYS
 PTS = fx.POINTS_SQL
@@ -436,6 +441,70 @@ def field_errors_pressure(spark, sf_dir):
     return compare.pressure_errors(*_nodes(spark, sf_dir))
 
 
+# --- the selected ones of several snapshots ------------------------------------------------
+
+
+def _snapshot_selection(spark, sf_dir):
+    """The snapshots of CHOSEN_SNAPSHOTS for both sets, by a set list with one map of indices."""
+    points = fx.snapshots(spark, sf_dir)
+    present = durable(points.select("comparison_set", "case").distinct())
+    chosen = F.create_map(*[F.lit(v) for pair in fx.CHOSEN_SNAPSHOTS.items() for v in pair])
+    sets = present.select("comparison_set").distinct().select(
+        "comparison_set", F.lit(None).cast("double").alias("target_time"), F.lit(None).cast("string").alias("reference_case"), chosen.alias("case_indices")
+    )
+    return points, selection.resolve_sets(sets, fx.cases(present), fx.REFERENCE)
+
+
+SELECTED_SQL = f"""{fx.SNAPSHOTS_SQL}, pts AS (SELECT * FROM pts_all
+  WHERE idx = CASE "case" {" ".join(f"WHEN '{c}' THEN {i}" for c, i in fx.CHOSEN_SNAPSHOTS.items())} END),
+  {fx.NODES_SQL}, {fx.selection_sql()}"""
+
+
+@register(
+    "select_snapshot_errors",
+    f"{ERROR_KEYS} idx",
+    f"selected_y {C_COLUMNS}",
+    f"""WITH e AS ({_errors_sql(SELECTED_SQL, "C", "C", C_METRICS)}), s AS (WITH {SELECTED_SQL} SELECT comparison_set, "case", idx,
+      max(selected_y) AS selected_y FROM sl GROUP BY 1, 2, 3) SELECT * FROM e JOIN s USING (comparison_set, "case")""",
+)
+def select_snapshot_errors(spark, sf_dir):
+    """Errors of one snapshot per case, of two that are there, each cut at its own plane."""
+    points, chosen = _snapshot_selection(spark, sf_dir)
+    kept = select_snapshots(points, chosen)
+    keys = snapshot_keys(points)
+    plane = slicing.select_plane(kept, keys).select(*keys, "selected_y")
+    nodes = grid.average_fields_per_node(slice_points(kept), keys, fx.FIELDS).withColumns(
+        {"ix": F.col("x").cast("int"), "iz": F.rint(F.col("z") * 100).cast("int")}
+    )
+    errors = compare.concentration_errors(nodes, chosen).join(plane, KEYS)
+    return errors.withColumns({c: F.col(c).cast("long") for c in ("index", "reference_index")})
+
+
+STORED_SQL = f"""WITH {fx.SNAPSHOTS_SQL}, keyed AS (SELECT * REPLACE ("case" || '/' || idx AS "case") FROM pts_all),
+  pts AS (SELECT * FROM keyed), {fx.SLICE_SQL},
+  bd2 AS (SELECT comparison_set, "case", 0.5 * (min(y) + max(y)) AS y0, 0.2 * (max(y) - min(y)) AS dy_tol FROM pts GROUP BY 1, 2),
+  slab AS (SELECT pts.*, y0, dy_tol FROM pts JOIN bd2 USING (comparison_set, "case") WHERE abs(y - y0) <= dy_tol),
+  stored AS (SELECT comparison_set, "case", idx, C, y0, selected_y, CAST(NULL AS DOUBLE) AS dy_tol, 'nearest_plane' AS mode FROM sl WHERE idx = 1
+    UNION ALL SELECT comparison_set, "case", idx, C, y0, NULL, dy_tol, 'slab' FROM slab WHERE idx = 2)
+  SELECT comparison_set, split_part("case", '/', 1) AS "case", idx, mode, count(*) AS point_count, count(*) AS stored_points,
+  sum(C) / count(*) AS mean_C, max(y0) AS y0, max(selected_y) AS selected_y, max(dy_tol) AS dy_tol FROM stored GROUP BY 1, 2, 3, 4"""
+
+
+@register("store_round_trip", "comparison_set case idx mode point_count stored_points", "mean_C y0 selected_y dy_tol", STORED_SQL)
+def store_round_trip(spark, sf_dir):
+    """Both snapshots written, the second one replaced by a slab: the first one stays, and the metadata fit what is there."""
+    path = f"{checkpoint_folder(spark)}/slices-{uuid.uuid4().hex}"
+    points = fx.snapshots(spark, sf_dir)
+    keys = snapshot_keys(points)
+    writers.write_slice(slice_points(points), path, meta=slicing.slice_meta(points, keys))
+    second = points.filter("idx = 2")
+    writers.write_slice(slice_points(second, "slab", ratio=0.2), path, overwrite=True, meta=slicing.slice_meta(second, keys, "slab", ratio=0.2))
+    there = writers.produced_snapshots(spark, path, {"comparison_set": "string", "case": "string", "idx": "int"})
+    stored = spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("stored_points"), F.avg("C").alias("mean_C"))
+    meta = spark.read.parquet(writers.meta_path(path)).select(*keys, "mode", "point_count", "y0", "selected_y", "dy_tol")
+    return there.join(stored, keys, "left").join(meta, keys, "left")
+
+
 FRONT_POSITION_SQL = f"""WITH {NODES}, {fx.masked_sql("C", "C")},
   thr AS (SELECT comparison_set, 0.8 * max(ref_C) AS threshold FROM masked WHERE in_mask GROUP BY 1)
   SELECT comparison_set, "case", max("order") AS "order", max("index") AS "index", max(threshold) AS threshold,
@@ -597,12 +666,13 @@ def _sets(points):
 def _error_tables(spark, sf_dir):
     points = fx.points_by_line(spark, sf_dir)
     gridded, selection = fx.nodes(points, sliced=False), fx.selection(points, "N11")
+    nodes = compare.node_table(gridded, selection)
     tables = {
-        "concentration": compare.concentration_errors(gridded, selection),
-        "velocity": compare.velocity_errors(gridded, selection),
-        "pressure": compare.pressure_errors(gridded, selection),
+        "concentration": compare.concentration_table(nodes),
+        "velocity": compare.velocity_table(nodes),
+        "pressure": compare.pressure_table(nodes),
     }
-    return tables, _sets(points)
+    return tables, _sets(selection)
 
 
 def _summary(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.catalog import fixtures as fx
 from fieldspark.catalog.registry import register, register_like
+from fieldspark.functions import finite
 from fieldspark.operators import curve as cv
 from fieldspark.operators import series as sr
 from fieldspark.operators import stats
@@ -46,6 +47,42 @@ def cumtrapz(spark, sf_dir):
     return sr.cumulative_trapezoid(fx.series(spark, sf_dir), ["case"], "time", "epsilon")
 
 
+# Values with a gap after every 40th event, and times of which some repeat.
+GAPPY_SQL = """gappy AS (SELECT "case", CASE WHEN event_id % 25 = 0 THEN floor(time) ELSE time END AS time,
+  CASE WHEN event_id % 40 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'nan'::DOUBLE ELSE E_k END AS value FROM series)"""
+GAPS_SQL = f"""WITH {SERIES}, {GAPPY_SQL},
+  k AS (SELECT *, value IS NOT NULL AND NOT isnan(value) AS known, row_number() OVER (PARTITION BY "case" ORDER BY time, value NULLS FIRST) AS rn FROM gappy),
+  l AS (SELECT *, lag(known) OVER o AS pk, lag(time) OVER o AS pt, lag(value) OVER o AS pv FROM k WINDOW o AS (PARTITION BY "case" ORDER BY rn)),
+  j AS (SELECT *, known AND coalesce(pk, false) AND coalesce(time > pt, false) AS joined FROM l),
+  s AS (SELECT *, sum(CASE WHEN known AND NOT joined THEN 1 ELSE 0 END) OVER (PARTITION BY "case" ORDER BY rn ROWS UNBOUNDED PRECEDING) AS seg FROM j),
+  c AS (SELECT *, sum(CASE WHEN joined THEN 0.5 * (value + pv) * (time - pt) ELSE 0 END) OVER
+    (PARTITION BY "case", seg ORDER BY rn ROWS UNBOUNDED PRECEDING) AS cum FROM s)
+  SELECT "case", CASE WHEN known THEN CAST(seg AS BIGINT) END AS segment, known, time, CASE WHEN known THEN cum END AS cumulative FROM c"""
+
+
+def _gappy(spark, sf_dir):
+    rows = fx.series(spark, sf_dir)
+    time = F.when(F.col("event_id") % 25 == 0, F.floor("time").cast("double")).otherwise(F.col("time"))
+    value = F.when(F.col("event_id") % 40 == 0, F.lit(None)).when(F.col("event_id") % 41 == 0, float("nan")).otherwise(F.col("E_k"))
+    return rows.select("case", time.alias("time"), value.cast("double").alias("value"))
+
+
+def _series_gaps(spark, sf_dir, **options):
+    out = sr.cumulative_trapezoid(_gappy(spark, sf_dir), ["case"], "time", "value", gaps="restart", **options)
+    return out.withColumn("known", finite("value"))
+
+
+@register("series_gaps", "case segment known", "time cumulative", GAPS_SQL)
+def series_gaps(spark, sf_dir):
+    """An integral over missing values and repeated times: it starts again after each of them."""
+    return _series_gaps(spark, sf_dir)
+
+
+@register_like("series_gaps_tiled", "series_gaps")
+def series_gaps_tiled(spark, sf_dir):
+    return _series_gaps(spark, sf_dir, tile_size=256)
+
+
 @register(
     "gradient_e1",
     "case",

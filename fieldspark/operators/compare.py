@@ -8,12 +8,13 @@ exchange on (set, node) yields both the common mask and the reference value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import finite_or_null, guarded_ratio, is_finite, speed, strict
-from fieldspark.plans.scale import attach
+from fieldspark.plans.scale import attach, durable, spooled
 
 # Fixed value: share of the largest reference concentration that marks the front.
 FRONT_THRESHOLD_RATIO = 0.01
@@ -69,87 +70,126 @@ def mask_counts(
     )
 
 
-# --- metric expressions over the masked rows -----------------------------------------
+# --- one table of nodes, one aggregate ------------------------------------------------
 
+# Which field's finite nodes make the mask of a field's errors.
+MASKS = {"C": "C", "speed": "speed", "u": "speed", "v": "speed", "w": "speed", "p": "p"}
 
-def _pair(field: str) -> tuple[Column, Column]:
-    inside = F.col("in_mask")
+
+def _pair(field: str, mask: str) -> tuple[Column, Column]:
+    inside = F.col(mask)
     return F.when(inside, F.col(field)), F.when(inside, F.col(f"ref_{field}"))
 
 
+def _moments(field: str, mask: str) -> list[Column]:
+    """What every error of a field follows from, over the masked rows of a case."""
+    v, r = _pair(field, mask)
+    off = v - r
+    both = F.when(off.isNotNull(), r)
+    return [
+        F.sum(off * off).alias(f"_dd_{field}"),
+        F.sum(both * both).alias(f"_rr_{field}"),
+        F.avg(F.abs(off)).alias(f"_mad_{field}"),
+        F.max(F.abs(off)).alias(f"_maxd_{field}"),
+        F.max(F.abs(both)).alias(f"_maxr_{field}"),
+    ]
+
+
 def relative_l2(field: str, safe: bool) -> Column:
-    v, r = _pair(field)
-    diff = v - r
-    above = F.sum(diff * diff)
-    below = F.sum(F.when(diff.isNotNull(), r * r))
+    above, below = F.col(f"_dd_{field}"), F.col(f"_rr_{field}")
     if safe:
         return F.sqrt(guarded_ratio(above, below))
     return F.sqrt(strict(below != 0.0, "The reference norm is zero or no node is valid.", F.try_divide(above, below)))
 
 
 def mean_abs_error(field: str) -> Column:
-    v, r = _pair(field)
-    return F.avg(F.abs(v - r))
+    return F.col(f"_mad_{field}")
 
 
 def absolute_linf(field: str) -> Column:
-    v, r = _pair(field)
-    return F.max(F.abs(v - r))
+    return F.col(f"_maxd_{field}")
 
 
 def relative_linf(field: str, safe: bool) -> Column:
-    v, r = _pair(field)
-    above, below = F.max(F.abs(v - r)), F.max(F.when((v - r).isNotNull(), F.abs(r)))
+    above, below = F.col(f"_maxd_{field}"), F.col(f"_maxr_{field}")
     if safe:
         return guarded_ratio(above, below)
     return strict(below != 0.0, "The reference maximum is zero or no node is valid.", F.try_divide(above, below))
 
 
-def _error_table(
-    rows: DataFrame, metrics: Sequence[Column], sets: Sequence[str], case: str
-) -> DataFrame:
-    grouped = rows.groupBy(*sets, case).agg(
-        *(F.first(c).alias(c) for c in SELECTION[:-1]),
-        *metrics,
-        F.count_if("in_mask").alias("valid_point_count"),
-        F.count_if("_first_of_node").alias("_first_nodes"),
-    )
-    # One row per case is left, so this window is tiny. Each node was counted in one case only.
-    nodes = F.sum("_first_nodes").over(Window.partitionBy(*sets))
-    counted = grouped.withColumn("total_grid_point_count", nodes).drop("_first_nodes")
-    return counted.filter(F.col(case) != F.col("reference_case"))
+@dataclass(frozen=True)
+class NodeTable:
+    """Every case's values beside the reference's at each node, and what follows from one pass over them.
 
+    ``rows`` and ``facts``, one row per case, are written tables. ``fields`` are the fields they hold.
+    """
 
-# --- error tables -----------------------------------------------------------------------
+    rows: DataFrame
+    facts: DataFrame
+    fields: tuple[str, ...]
+    sets: tuple[str, ...]
+    case: str
 
+    @property
+    def keys(self) -> list[str]:
+        return [*self.sets, self.case]
 
-def concentration_errors(
+    def table(self, mask: str, metrics: Sequence[Column], facts: DataFrame | None = None) -> DataFrame:
+        """The errors of all cases but the reference, with the counts of one mask."""
+        # One row per case is left, so this window is tiny. Each node was counted in one case only.
+        nodes = F.sum("_first_nodes").over(Window.partitionBy(*self.sets))
+        counted = (self.facts if facts is None else facts).withColumn("total_grid_point_count", nodes)
+        kept = [*self.keys, *SELECTION[:-1], *metrics, F.col(f"_valid_{mask}").alias("valid_point_count"), "total_grid_point_count"]
+        return counted.select(*kept).filter(F.col(self.case) != F.col("reference_case"))
+
+
+def node_table(
     gridded: DataFrame,
     selection: DataFrame,
+    fields: Sequence[str] = ("C", "u", "v", "w", "speed", "p"),
     sets: Sequence[str] = ("comparison_set",),
     case: str = "case",
     node: Sequence[str] = ("ix", "iz"),
-) -> DataFrame:
-    rows = with_reference(gridded, selection, "C", ["C"], sets, case, node)
+) -> NodeTable:
+    """One exchange on (set, node) for all ``fields``, written once, and one aggregate over it, written too."""
+    fields = tuple(fields)
+    masks = list(dict.fromkeys(MASKS[f] for f in fields))
+    source = gridded.withColumn("speed", speed()) if "speed" in fields else gridded
+    cleaned = source.withColumns({f: finite_or_null(f) for f in fields})
+    rows = attach(cleaned, selection, [*sets, case]).drop("target_time")
+    at_node = Window.partitionBy(*sets, *node)
+    is_ref = F.col(case) == F.col("reference_case")
+    added = {f"_mask_{m}": F.count(F.col(m)).over(at_node) == F.col("n_cases") for m in masks}
+    added |= {"_first_of_node": F.min(case).over(at_node) == F.col(case)}
+    added |= {f"ref_{f}": F.max(F.when(is_ref, F.col(f))).over(at_node) for f in fields}
+    keep = [*sets, case, *node, *[c for c in ("x",) if c in gridded.columns], *SELECTION, *fields, *added]
+    rows = spooled(rows.withColumns(added).select(*keep))
+    facts = [F.first(c).alias(c) for c in SELECTION[:-1]]
+    facts += [F.count_if(f"_mask_{m}").alias(f"_valid_{m}") for m in masks]
+    facts += [m for f in fields if f != "p" for m in _moments(f, f"_mask_{MASKS[f]}")]
+    if "p" in fields:
+        facts += [F.avg(c).alias(n) for c, n in zip(_pair("p", "_mask_p"), ("_mean", "_ref_mean"), strict=True)]
+    if "C" in fields:
+        facts.append(F.max(F.when(F.col("_mask_C"), F.col("ref_C"))).alias("_peak"))
+    facts.append(F.count_if("_first_of_node").alias("_first_nodes"))
+    return NodeTable(rows, durable(rows.groupBy(*sets, case).agg(*facts)), fields, tuple(sets), case)
+
+
+# --- error tables -----------------------------------------------------------------------
+
+
+def concentration_table(nodes: NodeTable) -> DataFrame:
     metrics = [
         relative_l2("C", safe=False).alias("relative_L2_C"),
         mean_abs_error("C").alias("mean_abs_error_C"),
         absolute_linf("C").alias("absolute_Linf_C"),
         relative_linf("C", safe=False).alias("relative_Linf_C"),
     ]
-    return _error_table(rows, metrics, sets, case)
+    return nodes.table("C", metrics)
 
 
-def velocity_errors(
-    gridded: DataFrame,
-    selection: DataFrame,
-    sets: Sequence[str] = ("comparison_set",),
-    case: str = "case",
-    node: Sequence[str] = ("ix", "iz"),
-) -> DataFrame:
+def velocity_table(nodes: NodeTable) -> DataFrame:
     """The mask is where speed is finite in every case; component ratios are the safe ones."""
-    with_speed = gridded.withColumn("speed", speed())
-    rows = with_reference(with_speed, selection, "speed", ["speed", "u", "v", "w"], sets, case, node)
     metrics = [
         relative_l2("speed", safe=False).alias("relative_L2_speed"),
         mean_abs_error("speed").alias("mean_abs_error_speed"),
@@ -158,64 +198,38 @@ def velocity_errors(
     ]
     for c in ("u", "v", "w"):
         metrics += [relative_l2(c, safe=True).alias(f"relative_L2_{c}"), mean_abs_error(c).alias(f"mean_abs_error_{c}")]
-    return _error_table(rows, metrics, sets, case)
+    return nodes.table("speed", metrics)
 
 
-def with_fluctuation(
-    gridded: DataFrame,
-    selection: DataFrame,
-    sets: Sequence[str] = ("comparison_set",),
-    case: str = "case",
-    node: Sequence[str] = ("ix", "iz"),
-) -> DataFrame:
-    """Add ``p_prime``: pressure minus its case's mean over the mask, and its reference."""
-    rows = with_reference(gridded, selection, "p", ["p"], sets, case, node)
-    means = rows.groupBy(*sets, case).agg(
-        F.avg(F.when(F.col("in_mask"), F.col("p"))).alias("_mean"),
-        F.avg(F.when(F.col("in_mask"), F.col("ref_p"))).alias("_ref_mean"),
-    )
-    return (
-        attach(rows, means, [*sets, case])
-        .withColumn("p_prime", F.col("p") - F.col("_mean"))
-        .withColumn("ref_p_prime", F.col("ref_p") - F.col("_ref_mean"))
-        .drop("_mean", "_ref_mean")
-    )
+def _fluctuating(nodes: NodeTable) -> DataFrame:
+    """The rows with ``p_prime``: pressure minus its case's mean over the mask, and its reference."""
+    means = nodes.facts.select(*nodes.keys, "_mean", "_ref_mean")
+    rows = attach(nodes.rows, means, nodes.keys)
+    return rows.withColumns({"p_prime": F.col("p") - F.col("_mean"), "ref_p_prime": F.col("ref_p") - F.col("_ref_mean")}).drop("_mean", "_ref_mean")
 
 
-def pressure_errors(
-    gridded: DataFrame,
-    selection: DataFrame,
-    sets: Sequence[str] = ("comparison_set",),
-    case: str = "case",
-    node: Sequence[str] = ("ix", "iz"),
-) -> DataFrame:
-    rows = with_fluctuation(gridded, selection, sets, case, node)
+def pressure_table(nodes: NodeTable) -> DataFrame:
+    """Errors of the fluctuation. The means are facts of the first pass, so a second one over the written nodes is enough."""
+    moments = _fluctuating(nodes).groupBy(*nodes.keys).agg(*_moments("p_prime", "_mask_p"))
+    facts = nodes.facts.join(moments, nodes.keys)
     some = "No finite common grid node for the pressure comparison."
     metrics = [
         relative_l2("p_prime", safe=True).alias("relative_L2_p_prime"),
         mean_abs_error("p_prime").alias("mean_abs_error_p_prime"),
-        strict(F.count_if("in_mask") > 0, some, absolute_linf("p_prime")).alias("absolute_Linf_p_prime"),
+        strict(F.col("_valid_p") > 0, some, absolute_linf("p_prime")).alias("absolute_Linf_p_prime"),
         relative_linf("p_prime", safe=True).alias("relative_Linf_p_prime"),
     ]
-    return _error_table(rows, metrics, sets, case)
+    return nodes.table("p", metrics, facts)
 
 
-def front_positions(
-    gridded: DataFrame,
-    selection: DataFrame,
-    ratio: float = FRONT_THRESHOLD_RATIO,
-    sets: Sequence[str] = ("comparison_set",),
-    case: str = "case",
-    node: Sequence[str] = ("ix", "iz"),
-) -> DataFrame:
+def front_table(nodes: NodeTable, ratio: float = FRONT_THRESHOLD_RATIO) -> DataFrame:
     """Largest x with C above a share of the largest masked reference C; all cases."""
-    rows = with_reference(gridded, selection, "C", ["C"], sets, case, node)
-    peak = F.max(F.when(F.col("in_mask"), F.col("ref_C")))
-    thresholds = rows.groupBy(*sets).agg((F.lit(float(ratio)) * peak).alias("threshold"))
-    reached = F.col("in_mask") & (F.col("C") > F.col("threshold"))
+    sets = list(nodes.sets)
+    thresholds = nodes.facts.groupBy(*sets).agg((F.lit(float(ratio)) * F.max("_peak")).alias("threshold"))
+    reached = F.col("_mask_C") & (F.col("C") > F.col("threshold"))
     return (
-        attach(rows, thresholds, sets)
-        .groupBy(*sets, case)
+        attach(nodes.rows, thresholds, sets)
+        .groupBy(*nodes.keys)
         .agg(
             F.first("order").alias("order"),
             F.first("index").alias("index"),
@@ -225,17 +239,35 @@ def front_positions(
     )
 
 
-def speed_order_diagnostic(
-    from_components: DataFrame, direct: DataFrame, keys: Sequence[str], node: Sequence[str] = ("ix", "iz")
-) -> DataFrame:
-    """Speed of interpolated components against interpolated speed, over nodes with both."""
-    a = from_components.select(*keys, *node, speed().alias("_a"))
-    b = direct.select(*keys, *node, F.col("speed").alias("_b"))
-    diff = F.abs(F.col("_a") - F.col("_b"))
+def concentration_errors(gridded: DataFrame, selection: DataFrame, **names) -> DataFrame:
+    return concentration_table(node_table(gridded, selection, ["C"], **names))
+
+
+def velocity_errors(gridded: DataFrame, selection: DataFrame, **names) -> DataFrame:
+    return velocity_table(node_table(gridded, selection, ["speed", "u", "v", "w"], **names))
+
+
+def pressure_errors(gridded: DataFrame, selection: DataFrame, **names) -> DataFrame:
+    return pressure_table(node_table(gridded, selection, ["p"], **names))
+
+
+def front_positions(gridded: DataFrame, selection: DataFrame, ratio: float = FRONT_THRESHOLD_RATIO, **names) -> DataFrame:
+    return front_table(node_table(gridded, selection, ["C"], **names), ratio)
+
+
+def with_fluctuation(gridded: DataFrame, selection: DataFrame, **names) -> DataFrame:
+    """Every node with ``in_mask``, pressure and ``p_prime``, beside the reference's."""
+    rows = _fluctuating(node_table(gridded, selection, ["p"], **names))
+    return rows.withColumnsRenamed({"_mask_p": "in_mask"})
+
+
+def speed_order_diagnostic(gridded: DataFrame, keys: Sequence[str], direct: str = "speed") -> DataFrame:
+    """Speed of interpolated components against interpolated speed, both columns of one table, over nodes with both."""
     both = is_finite("_a") & is_finite("_b")
-    joined = a.join(b, [*keys, *node]).withColumn("_d", F.when(both, diff))
+    rows = gridded.select(*keys, speed().alias("_a"), F.col(direct).alias("_b"))
+    rows = rows.withColumn("_d", F.when(both, F.abs(F.col("_a") - F.col("_b"))))
     size = F.sqrt(F.sum(F.when(both, F.col("_b") * F.col("_b"))))
-    return joined.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count("_d").alias("valid_point_count"),
         F.count(F.lit(1)).alias("total_grid_point_count"),
         F.min("_d").alias("abs_diff_min"),

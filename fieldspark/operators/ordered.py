@@ -78,7 +78,7 @@ def tile_rows(
         return Tiles(rows, keys, order, True, smallest)
     if halo > tile_size:
         raise ValueError("A tile must hold at least as many rows as the halo.")
-    numbered = _number_rows(df, keys, order, max(2, -(-total // tile_size)))
+    numbered = number_rows(df, keys, order, max(2, -(-total // tile_size)))
     pos, tile = (F.col("_rn") - 1) % tile_size, F.floor((F.col("_rn") - 1) / tile_size)
     last_tile = F.floor((F.col("_n") - 1) / tile_size)
     copies = F.array(
@@ -94,8 +94,11 @@ def tile_rows(
     return Tiles(rows, keys, order, False, smallest)
 
 
-def _number_rows(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], parts: int) -> DataFrame:
-    """Global row numbers per key: range partitions, local positions, partition offsets."""
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
+    """``_rn``, the place of each row in its key from 1, and ``_n``, the rows of the key.
+
+    Rows go to range partitions, local positions and the offsets of the partitions make the numbers. No key may be NULL.
+    """
     # The written table fixes which partition each row fell into.
     ranged = spooled(
         df.repartitionByRange(parts, *keys, *order)

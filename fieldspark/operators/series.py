@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import finite, strict
-from fieldspark.operators.ordered import TILE_SIZE, Tiles, running_sum, tile_rows
+from fieldspark.operators.ordered import TILE_SIZE, Tiles, nearest_marked, running_sum, tile_rows
 from fieldspark.operators.stats import max_abs, mean_abs, rms, window_slope_columns
 from fieldspark.plans.scale import attach
 
@@ -30,12 +30,31 @@ def _trapezoid(tiles: Tiles, time: str, value: str) -> Column:
 
 
 def add_cumulative_trapezoid(tiles: Tiles, time: str, value: str, name: str) -> Tiles:
-    """Needs a halo of one row; the first row of each key gets 0."""
+    """Needs a halo of one row and no missing values; the first row of each key gets 0."""
     stepped = tiles.with_columns({"_step": _trapezoid(tiles, time, value)})
     summed = running_sum(stepped, F.col("_step"), name)
     return replace(summed, rows=summed.rows.drop("_step"))
 
 
+def add_segment_trapezoid(tiles: Tiles, time: str, value: str, name: str, segment: str) -> Tiles:
+    """Like ``add_cumulative_trapezoid``, but every gap ends a segment and the next one starts again at 0.
+
+    A row without a finite time or value is a gap: it has neither an integral nor a segment. So is a row whose time
+    repeats that of the row before, because the order of the two is not known; it starts a segment of its own.
+    """
+    w = tiles.window
+    known = finite(time, value)
+    joined = known & F.coalesce(F.lag(known).over(w), F.lit(False)) & F.coalesce(F.col(time) > F.lag(time).over(w), F.lit(False))
+    tiles = tiles.with_columns({"_known": known, "_joined": joined})
+    tiles = tiles.with_columns({"_step": F.when(F.col("_joined"), _trapezoid(tiles, time, value)), "_begin": F.col("_known") & ~F.col("_joined")})
+    tiles = running_sum(tiles, F.col("_step"), "_total")
+    tiles = running_sum(tiles, F.col("_begin").cast("double"), "_segment")
+    tiles = nearest_marked(tiles, F.col("_begin"), F.col("_total"), "_from", "_to")
+    known = F.col("_known")
+    rows = tiles.rows.withColumns({name: F.when(known, F.col("_total") - F.col("_from")), segment: F.when(known, F.col("_segment")).cast("long")})
+    return replace(tiles, rows=rows.drop("_known", "_joined", "_step", "_begin", "_total", "_segment", "_from", "_to"))
+
+
 def cumulative_trapezoid(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,9 +63,24 @@ def cumulative_trapezoid(
     name: str = "cumulative",
     initial: str | None = None,
     tile_size: int = TILE_SIZE,
+    gaps: str = "fail",
+    segment: str = "segment",
 ) -> DataFrame:
-    """Trapezoidal integral from the first row, from 0 or from the first value of ``initial``."""
-    tiles = add_cumulative_trapezoid(tile_rows(df, keys, [time], 1, tile_size), time, value, name)
+    """Trapezoidal integral from the first row, from 0 or from the first value of ``initial``.
+
+    An integral must not skip an interval. With ``gaps="fail"`` a missing or non-finite time or value or a repeated time
+    fails the job. With ``gaps="restart"`` it starts again at 0 after each of these, and the column ``segment`` numbers the
+    stretches; ``initial`` then is not possible. Rows of equal time are ordered by their value.
+    """
+    if gaps == "restart":
+        if initial is not None:
+            raise ValueError("An integral that restarts has no initial value.")
+        tiles = add_segment_trapezoid(tile_rows(df, keys, [time, value], 1, tile_size), time, value, name, segment)
+        return tiles.rows.select(*df.columns, name, segment)
+    if gaps != "fail":
+        raise ValueError(f"Unknown treatment of gaps {gaps!r}.")
+    tiles = tile_rows(strict_rows(df, keys, [time, value]), keys, [time], 1, tile_size)
+    tiles = add_cumulative_trapezoid(rising_times(tiles, time, value), time, value, name)
     rows = tiles.rows
     if initial is not None:
         rows = with_first(rows, keys, time, {"_x0": initial}, tiles.single)
@@ -154,20 +188,20 @@ def effective_windows(df: DataFrame, keys: Sequence[str], window: int) -> DataFr
 
 
 def moving_average_column(tiles: Tiles, value: str, window: int) -> Column:
-    """Centred mean over the values that exist, whatever the length of a key; needs a halo of half the window."""
+    """Centred mean, whatever the length of a key; missing if a value of its window is. Needs a halo of half the window."""
     half = (_odd(window) - 1) // 2
     if half == 0:
         return F.col(value)
     frame = tiles.window.rowsBetween(-half, half)
-    plain = F.avg(value).over(frame)
+    plain = F.when(F.count(value).over(frame) == F.count(F.lit(1)).over(frame), F.avg(value).over(frame))
     if tiles.smallest_key >= _odd(window):
         return plain
     # Some key is shorter than the window, so its half-width is smaller.
     near = F.collect_list(F.struct("_rn", F.col(value).alias("_v"))).over(frame)
     own_half = (odd_window(F.col("_n"), window) - 1) / 2
-    kept = F.filter(near, lambda e: (F.abs(e["_rn"] - F.col("_rn")) <= own_half) & e["_v"].isNotNull())
+    kept = F.filter(near, lambda e: F.abs(e["_rn"] - F.col("_rn")) <= own_half)
     total = F.aggregate(kept, F.lit(0.0), lambda acc, e: acc + e["_v"])
-    return F.when(F.col("_n") >= _odd(window), plain).otherwise(F.when(F.size(kept) > 0, total / F.size(kept)))
+    return F.when(F.col("_n") >= _odd(window), plain).otherwise(total / F.size(kept))
 
 
 def _norm_ratio(k: int, width: Column, half: Column) -> Column:
@@ -195,45 +229,54 @@ def fit_coefficients(at: Column, width: Column, half: Column, degree: int) -> li
     return [reduce(add, (scale[k] * basis[k][m] for k in range(m, degree + 1))) for m in range(degree + 1)]
 
 
-def savgol_column(tiles: Tiles, value: str, window: int, polyorder: int) -> Column:
-    """Least-squares polynomial smoothing; the end rows are read off the end fits.
+def savgol_weights(widths: DataFrame, degree: int) -> DataFrame:
+    """(width, at, weights): the weights of a window's samples in the fit read at each of its rows, for the given widths."""
+    half = F.greatest((F.col("width") - 1) / 2, F.lit(1.0))
+    rows = widths.select("width", half.alias("half"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("at"))
+    fits = fit_coefficients((F.col("at") - F.col("half")) / F.col("half"), F.col("width").cast("double"), F.col("half"), degree)
+    rows = rows.select("width", "half", "at", *(c.alias(f"c{m}") for m, c in enumerate(fits)))
+
+    def weight(j: Column) -> Column:
+        x = (j - F.col("half")) / F.col("half")
+        return reduce(lambda acc, m: acc * x + F.col(f"c{m}"), range(degree - 1, -1, -1), F.col(f"c{degree}"))
+
+    return rows.select("width", "at", F.transform(F.sequence(F.lit(0), F.col("width") - 1), weight).alias("_weights"))
+
 
-    Needs a halo of ``window - 1`` rows. Where the effective window or degree is
-    below one this is the moving average.
+def add_savgol(tiles: Tiles, value: str, name: str, window: int, polyorder: int) -> Tiles:
+    """Least-squares polynomial smoothing; the end rows are read off the end fits; missing if a value of the window is.
+
+    Needs a halo of ``window - 1`` rows. Where the effective window or degree is below one this is the moving average.
+    The weights are a small table, made for the window lengths that occur and joined to the rows.
     """
     full, degree = _odd(window), max(0, int(polyorder))
     average = moving_average_column(tiles, value, window)
     if degree < 1:
-        return average
-    frame = tiles.window.rowsBetween(-(full - 1), full - 1)
-    near = F.collect_list(F.struct("_rn", F.col(value).alias("_v"))).over(frame)
+        return tiles.with_columns({name: average})
+    spark = tiles.rows.sparkSession
     width = odd_window(F.col("_n"), window)
-    start = F.greatest(
-        F.lit(1), F.least(F.col("_rn") - (width - 1) / 2, F.col("_n") - width + 1)
-    ).cast("long")
+    start = F.greatest(F.lit(1), F.least(F.col("_rn") - (width - 1) / 2, F.col("_n") - width + 1)).cast("long")
+    near = F.collect_list(F.struct("_rn", F.col(value).alias("_v"))).over(tiles.window.rowsBetween(-(full - 1), full - 1))
+    tiles = tiles.with_columns({"_average": average, "_near": near, "width": width, "at": (F.col("_rn") - start).cast("int")})
     # Outer halo rows lack their samples; their value is dropped later, so any slice will do.
-    samples = F.slice(near, F.greatest(F.lit(1), start - near[0]["_rn"] + 1).cast("int"), width)
-    half = F.greatest((width - 1) / 2, F.lit(1.0))
-    weights = fit_coefficients((F.col("_rn") - start - half) / half, width.cast("double"), half, degree)
-    # The one-element array binds samples and coefficients once per row.
-    bound = F.struct(samples.alias("samples"), half.alias("half"), *(c.alias(f"c{m}") for m, c in enumerate(weights)))
-
-    def total(b: Column) -> Column:
-        def term(e: Column, j: Column) -> Column:
-            x = (j - b["half"]) / b["half"]
-            return e["_v"] * reduce(lambda acc, m: acc * x + b[f"c{m}"], range(degree - 1, -1, -1), b[f"c{degree}"])
-
-        return F.aggregate(F.transform(b["samples"], term), F.lit(0.0), add)
-
-    return F.when(width > 1, F.transform(F.array(bound), total)[0]).otherwise(average)
-
-
-def smooth_column(tiles: Tiles, value: str, method: str, window: int, polyorder: int) -> Column:
+    first = F.greatest(F.lit(1), F.col("_rn") - F.col("at") - F.col("_near")[0]["_rn"] + 1).cast("int")
+    if tiles.smallest_key >= full:
+        widths = spark.range(1).select(F.lit(full).alias("width"))
+    else:
+        widths = tiles.rows.select("width").distinct()
+    rows = attach(tiles.rows, savgol_weights(widths, degree), ["width", "at"])
+    samples = F.slice("_near", first, F.col("width"))["_v"]
+    total = F.aggregate(F.zip_with(samples, "_weights", lambda v, w: v * w), F.lit(0.0), add)
+    rows = rows.withColumn(name, F.when(F.col("width") > 1, total).otherwise(F.col("_average")))
+    return replace(tiles, rows=rows.drop("_average", "_near", "width", "at", "_weights"))
+
+
+def add_smooth(tiles: Tiles, value: str, name: str, method: str, window: int, polyorder: int) -> Tiles:
     if method == "moving_average" or _odd(window) == 1:
-        return moving_average_column(tiles, value, window)
+        return tiles.with_columns({name: moving_average_column(tiles, value, window)})
     if method != "savgol":
         raise ValueError(f"Unknown smoothing method {method!r}.")
-    return savgol_column(tiles, value, window, polyorder)
+    return add_savgol(tiles, value, name, window, polyorder)
 
 
 def smoothing_halo(method: str, window: int) -> int:
@@ -253,8 +296,7 @@ def smooth(
     tile_size: int = TILE_SIZE,
 ) -> DataFrame:
     tiles = tile_rows(df, keys, [time], smoothing_halo(method, window), tile_size)
-    smoothed = tiles.with_columns({name: smooth_column(tiles, value, method, window, polyorder)})
-    return smoothed.result(*df.columns, name)
+    return add_smooth(tiles, value, name, method, window, polyorder).result(*df.columns, name)
 
 
 # --- chains ----------------------------------------------------------------------
@@ -272,15 +314,15 @@ def front_kinematics(
 ) -> DataFrame:
     """Velocity, smoothed velocity, position rebuilt from it, and the rebuilding error.
 
-    A missing or non-finite time or position fails the job.
+    A missing or non-finite time or position, a repeated time or a key of one row fails the job.
     """
     # One halo serves the whole chain: two rows for the end slopes, the smoothing
     # frame around them, and one row back for the integral.
     halo = 3 + smoothing_halo(method, window)
     checked = strict_rows(df.select(*keys, time, position), keys, [time, position])
-    tiles = tile_rows(checked, keys, [time], halo, tile_size)
+    tiles = rising_times(tile_rows(checked, keys, [time], halo, tile_size), time, position, min_rows=2)
     tiles = tiles.with_columns({"v_raw": gradient_column(tiles, time, position, 2)})
-    tiles = tiles.with_columns({"v_smooth": smooth_column(tiles, "v_raw", method, window, polyorder)})
+    tiles = add_smooth(tiles, "v_raw", "v_smooth", method, window, polyorder)
     tiles = add_cumulative_trapezoid(tiles, time, "v_smooth", "_travel")
     rows = with_first(tiles.rows, keys, time, {"_x0": position}, tiles.single)
     rows = rows.withColumn("x_reconstructed", F.col("_x0") + F.col("_travel"))
@@ -322,11 +364,12 @@ def energy_diagnostics(
 ) -> DataFrame:
     """Budget gap, dissipated energy, closure, its residuals and the rate-of-change balance.
 
-    A missing or non-finite value fails the job, because an integral must not skip an interval.
+    A missing or non-finite value, a repeated time or a key of one row fails the job, because an integral must not skip
+    an interval.
     """
     source = [*keys, time, "E_k", "E_p", "E_total", "epsilon"]
     checked = strict_rows(df.select(*source), keys, [time, "E_k", "E_p", "E_total", "epsilon"])
-    tiles = tile_rows(checked, keys, [time], 1, tile_size)
+    tiles = rising_times(tile_rows(checked, keys, [time], 1, tile_size), time, "E_total", min_rows=2)
     tiles = tiles.with_columns({"dEtotal_dt": gradient_column(tiles, time, "E_total", 1)})
     tiles = add_cumulative_trapezoid(tiles, time, "epsilon", "cumulative_epsilon")
     # The integral starts at zero, so the first closure value is the first E_total.
@@ -422,6 +465,15 @@ def require_valid(df: DataFrame, keys: Sequence[str], time: str, values: Sequenc
     return df
 
 
+def rising_times(tiles: Tiles, time: str, value: str, min_rows: int = 1) -> Tiles:
+    """Fail inside the job, in ``value``, when a time repeats or a key has fewer than ``min_rows`` rows. Needs a halo of one row."""
+    later = F.coalesce(F.col(time) > F.lag(time).over(tiles.window), F.lit(True))
+    checked = strict(later, f"Repeated value in column {time}.", F.col(value))
+    if tiles.smallest_key < min_rows:
+        checked = strict(F.col("_n") >= min_rows, f"A series has fewer than {min_rows} rows.", checked)
+    return tiles.with_columns({value: checked})
+
+
 def strict_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Fail inside the job when a row holds a non-finite value, without an extra pass."""
     return df.withColumns({c: strict(finite(c), f"Non-finite value in column {c}.", F.col(c)) for c in columns})

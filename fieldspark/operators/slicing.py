@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import finite, finite_or_null, half_even, speed
 from fieldspark.functions.numeric import nan_to_null, strict
-from fieldspark.plans.scale import attach
+from fieldspark.plans.scale import attach, durable, spooled
 
 # Defaults that decide the results.
 Y_ROUND_DECIMALS = 10
@@ -75,27 +75,37 @@ def extent(points: DataFrame, keys: Sequence[str], axis: str = "y") -> DataFrame
     return points.groupBy(*keys).agg(F.min(axis).alias(f"{axis}_min"), F.max(axis).alias(f"{axis}_max"))
 
 
-def plane_levels(points: DataFrame, keys: Sequence[str], decimals: int = Y_ROUND_DECIMALS) -> DataFrame:
-    """The distinct rounded y levels of each snapshot; a missing or non-finite y fails the job."""
+def level_table(points: DataFrame, keys: Sequence[str], decimals: int = Y_ROUND_DECIMALS) -> DataFrame:
+    """The rounded y levels of each snapshot with their points and y range; a missing or non-finite y fails the job.
+
+    One pass over the points, kept: the target plane, the selected level and the counts all follow from it.
+    """
     level = strict(finite("y"), "Non-finite y in a snapshot.", half_even("y", decimals))
-    return points.select(*keys, level.alias("level")).distinct()
+    levels = points.groupBy(*keys, level.alias("level"))
+    return durable(levels.agg(F.count(F.lit(1)).alias("points"), F.min("y").alias("y_min"), F.max("y").alias("y_max")))
 
 
 def select_plane(
-    points: DataFrame, keys: Sequence[str], y0: float | None = None, decimals: int = Y_ROUND_DECIMALS
+    points: DataFrame,
+    keys: Sequence[str],
+    y0: float | None = None,
+    decimals: int = Y_ROUND_DECIMALS,
+    levels: DataFrame | None = None,
 ) -> DataFrame:
-    """Per snapshot: target y0, the nearest level (lowest on a tie) and the level count."""
-    levels = plane_levels(points, keys, decimals)
+    """Per snapshot: target y0, the nearest level (lowest on a tie), the level count and the points on the level."""
+    levels = level_table(points, keys, decimals) if levels is None else levels
     if y0 is None:
-        middle = 0.5 * (F.col("y_min") + F.col("y_max"))
-        levels = attach(levels, extent(points, keys).select(*keys, middle.alias("y0")), keys)
+        # Both sides are small tables; the running job sees their sizes.
+        middle = levels.groupBy(*keys).agg((0.5 * (F.min("y_min") + F.max("y_max"))).alias("y0"))
+        levels = levels.join(middle, list(keys))
     else:
         levels = levels.withColumn("y0", F.lit(float(y0)))
-    nearest = F.min(F.struct(F.abs(F.col("level") - F.col("y0")).alias("d"), F.col("level").alias("l")))
+    nearest = F.min(F.struct(F.abs(F.col("level") - F.col("y0")).alias("d"), F.col("level").alias("l"), "points"))
     return levels.groupBy(*keys).agg(
         F.first("y0").alias("y0"),
         nearest["l"].alias("selected_y"),
         F.count(F.lit(1)).alias("rounded_unique_y_count_before_selection"),
+        nearest["points"].alias("point_count"),
     )
 
 
@@ -107,7 +117,7 @@ def slice_plane(
     with_selection: bool = False,
 ) -> DataFrame:
     """Keep the points whose rounded y is the level nearest to y0 (default: mid-range)."""
-    chosen = select_plane(points, keys, y0, decimals)
+    chosen = select_plane(points, keys, y0, decimals).drop("point_count")
     kept = attach(points, chosen, keys).filter(half_even("y", decimals) == F.col("selected_y"))
     return kept if with_selection else kept.select(*points.columns)
 
@@ -143,27 +153,23 @@ def slice_meta(
     decimals: int = Y_ROUND_DECIMALS,
 ) -> DataFrame:
     """One row per snapshot that describes its slice; mode-only columns are NULL otherwise."""
+    facts = [F.lit(mode).alias("mode"), F.lit(float(ratio)).alias("slab_ratio"), F.lit(int(decimals)).alias("y_round_decimals")]
+    names = ["y0", "selected_y", "dy_tol", "rounded_unique_y_count_before_selection"]
     if mode == "nearest_plane":
-        kept = slice_plane(points, keys, y0, decimals, with_selection=True).withColumn(
-            "dy_tol", F.lit(None).cast("double")
-        )
+        # The levels say it all; the slice itself is not cut.
+        described = select_plane(points, keys, y0, decimals).withColumn("dy_tol", F.lit(None).cast("double"))
     elif mode == "slab":
-        kept = slice_slab(points, keys, y0, ratio, with_selection=True).withColumns(
-            {
-                "selected_y": F.lit(None).cast("double"),
-                "rounded_unique_y_count_before_selection": F.lit(None).cast("long"),
-            }
+        bounds = attach(points.select(*keys, "y"), slab_bounds(points, keys, y0, ratio), keys)
+        described = bounds.filter(F.abs(F.col("y") - F.col("y0")) <= F.col("dy_tol")).groupBy(*keys).agg(
+            F.first("y0").alias("y0"),
+            F.lit(None).cast("double").alias("selected_y"),
+            F.first("dy_tol").alias("dy_tol"),
+            F.lit(None).cast("long").alias("rounded_unique_y_count_before_selection"),
+            F.count(F.lit(1)).alias("point_count"),
         )
     else:
         raise ValueError(f"Unknown slice mode {mode!r}.")
-    described = ["y0", "selected_y", "dy_tol", "rounded_unique_y_count_before_selection"]
-    return kept.groupBy(*keys).agg(
-        F.lit(mode).alias("mode"),
-        *(F.first(c).alias(c) for c in described),
-        F.lit(float(ratio)).alias("slab_ratio"),
-        F.lit(int(decimals)).alias("y_round_decimals"),
-        F.count(F.lit(1)).alias("point_count"),
-    )
+    return described.select(*keys, facts[0], *names, *facts[1:], "point_count")
 
 
 # --- descriptions ------------------------------------------------------------------
@@ -214,9 +220,9 @@ def value_histogram(
 def plane_distance(points: DataFrame, keys: Sequence[str], meta: DataFrame | None = None) -> DataFrame:
     """Smallest and largest distance from the slice plane: recorded y0, else mid-range.
 
-    Both extremes follow from the y range and the nearest values on either side,
-    but one pass with y0 attached keeps it plain.
+    The y values are kept once, so whatever ``points`` is made of is read once.
     """
+    points = spooled(points.select(*keys, "y"))
     mid = points.groupBy(*keys).agg(
         (0.5 * (F.min(nan_to_null("y")) + F.max(nan_to_null("y")))).alias("_mid")
     )
@@ -227,7 +233,7 @@ def plane_distance(points: DataFrame, keys: Sequence[str], meta: DataFrame | Non
         plane = mid.select(*keys, F.col("_mid").alias("y_midspan"))
     distance = finite_or_null(F.abs(F.col("y") - F.col("y_midspan")))
     return (
-        attach(points.select(*keys, "y"), plane, keys)
+        attach(points, plane, keys)
         .groupBy(*keys)
         .agg(
             F.first("y_midspan").alias("y_midspan"),

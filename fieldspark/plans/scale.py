@@ -2,6 +2,7 @@
 
 * ``spooled`` writes an intermediate to a Parquet table in the checkpoint folder, so
   it is computed once and keeps its values if an executor is lost.
+* ``release`` deletes such tables once nothing reads them any more.
 * ``durable`` is the same for a table that may be asked for again; it remembers its size.
 * ``attach`` joins per-key facts back onto the rows. It measures the fact table
   and broadcasts it only within a byte budget; beyond that it is an ordinary
@@ -18,13 +19,15 @@ import uuid
 import zipfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Attribute under which a durable DataFrame keeps what is known about it.
 _MARK = "_fieldspark_durable"
+# And under which a spooled one keeps the path of its table.
+_PATH = "_fieldspark_path"
 _shipped: set[str] = set()
 
 
@@ -44,11 +47,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute a table once and keep it in the checkpoint folder; one that is durable already is returned as it is."""
+    """Compute a table once and keep it in the checkpoint folder; one that is durable already is returned as it is.
+
+    Its size is measured by the job that writes it.
+    """
     if getattr(df, _MARK, None) is not None:
         return df
-    kept = spooled(df)
-    setattr(kept, _MARK, {})
+    watch = Observation()
+    kept = spooled(df.observe(watch, _total_bytes(df).alias("bytes")))
+    setattr(kept, _MARK, {"bytes": watch.get["bytes"]})
     return kept
 
 
@@ -56,7 +63,16 @@ def spooled(df: DataFrame) -> DataFrame:
     """Write a large intermediate as Parquet in the checkpoint folder and read it back."""
     path = f"{checkpoint_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(kept, _PATH, path)
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``spooled`` has written. No DataFrame that is still to be computed may read them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(table, _PATH))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -85,12 +101,16 @@ def _width(field: T.StructField) -> Column | int:
     return 8
 
 
+def _total_bytes(df: DataFrame) -> Column:
+    row = sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    return F.coalesce(F.sum(row), F.lit(0).cast("long"))
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a materialised small table, measured over its rows; measured once per table."""
     facts = getattr(df, _MARK, {})
     if "bytes" not in facts:
-        row = sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
-        facts["bytes"] = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+        facts["bytes"] = df.agg(_total_bytes(df)).first()[0]
     return facts["bytes"]
 
 

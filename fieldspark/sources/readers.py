@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import finite
 from fieldspark.operators.series import relative_to_initial, require_valid
+from fieldspark.plans.scale import attach, spooled
 
-# The columns of an energy-budget series file.
+# The columns of an energy-budget series file and of a front file.
 ENERGY_COLUMNS = ("time", "E_k", "E_p", "E_total", "epsilon")
+FRONT_COLUMNS = ("time", "x_front")
 
 
 def _case_of(path: Column, pattern: str) -> Column:
@@ -47,23 +49,48 @@ def read_columns(
 
 
 def read_energy_series(spark: SparkSession, path: str, case_pattern: str = r"case_([^/]+)/") -> DataFrame:
-    return read_columns(spark, path, ENERGY_COLUMNS, case_pattern)
+    """Energy series by case; fewer than two samples, a value that is not finite or a repeated time is an error."""
+    return _checked(read_columns(spark, path, ENERGY_COLUMNS, case_pattern), ENERGY_COLUMNS)
 
 
 def read_front(spark: SparkSession, path: str, case_pattern: str = r"case_([^/]+)/") -> DataFrame:
-    return read_columns(spark, path, ("time", "x_front"), case_pattern)
+    """Front positions by case, under the same rules as the energy series."""
+    return _checked(read_columns(spark, path, FRONT_COLUMNS, case_pattern), FRONT_COLUMNS)
+
+
+def _checked(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows are read and parsed once, then kept; an empty file has no case that could be named."""
+    rows = spooled(rows)
+    if rows.isEmpty():
+        raise ValueError("No samples were read.")
+    return require_valid(rows, ["case"], columns[0], columns[1:])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, _line_no, _line): the lines of text files with their physical numbers from 1, blank ones counted.
+
+    Lines of a split are numbered where they are read; the line counts of the splits before give the offset. The
+    written table fixes which rows a split held.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("_line")
+    )
+    lines = spooled(lines)
+    splits = lines.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_offset", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    placed = attach(lines, offsets.select("file", "_start", "_first", "_offset"), ["file", "_start"])
+    return placed.select("file", (F.col("_id") - F.col("_first") + F.col("_offset") + 1).alias("_line_no"), "_line")
 
 
 def read_curve(spark: SparkSession, path: str, require_positive: bool = True) -> DataFrame:
     """A two-column CSV curve: comments, blank and short rows and a first header line are skipped.
 
     A later non-numeric row, fewer than two finite rows, a repeated time and (if
-    asked) the lack of a positive row are errors, for each file. A curve is one small file, read whole.
+    asked) the lack of a positive row are errors, for each file. A file may be cut into several splits.
     """
-    text = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("_pos", "_line")
-    )
-    cells = text.select("file", (F.col("_pos") + 1).alias("_line_no"), "_line", F.split("_line", ",").alias("_c"))
+    text = numbered_lines(spark, path)
+    cells = text.select("file", "_line_no", "_line", F.split("_line", ",").alias("_c"))
     first = F.trim(F.get("_c", F.lit(0)))
     cells = cells.filter((first != "") & ~first.startswith("#") & (F.size("_c") >= 2))
     t = F.trim(F.col("_c")[0]).try_cast("double")

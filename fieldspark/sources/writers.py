@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The column order of every result table.
@@ -204,26 +204,78 @@ def write_csv(df: DataFrame, table: str, path: str, overwrite: bool = False, by:
     writer.option("header", True).csv(path)
 
 
-def write_slice(points: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Points of slices, partitioned so that a set and case can be read alone.
+# --- the store of snapshots ------------------------------------------------------------
+#
+# Points of slices and gridded fields lie in partitions comparison_set / case / idx, so that a snapshot can be read,
+# replaced or skipped alone. What describes them lies beside, in a table of one row per snapshot with the same partitions.
 
-    Overwriting replaces only the partitions that are written.
+
+def meta_path(path: str) -> str:
+    return f"{path.rstrip('/')}_meta"
+
+
+def snapshot_partitions(df: DataFrame, index: str = "idx") -> list[str]:
+    return ["comparison_set", "case", *([index] if index in df.columns else [])]
+
+
+def write_slice(points: DataFrame, path: str, overwrite: bool = False, meta: DataFrame | None = None, index: str = "idx") -> None:
+    """Points of slices by set, case and snapshot, and their metadata beside them.
+
+    Overwriting replaces only the snapshots that are written. Without it a snapshot that is there already is an
+    error, and others are added.
     """
-    _write_partitions(points, path, overwrite)
+    keys = snapshot_partitions(points, index)
+    _write_partitions(points, path, keys, overwrite, points if meta is None else meta)
+    if meta is not None:
+        _write_partitions(meta, meta_path(path), keys, True)
 
 
 def write_gridded(
-    gridded: DataFrame, path: str, source: str, method: str = "linear", overwrite: bool = False
+    gridded: DataFrame, path: str, source: str, method: str = "linear", overwrite: bool = False, index: str = "idx"
 ) -> None:
-    """A regridded field with its lineage: where its points came from and how it was interpolated."""
+    """A regridded field with its lineage: where its points came from and how it was interpolated.
+
+    The lineage is in every row and, with the node count, beside the field as one row per snapshot.
+    """
+    keys = snapshot_partitions(gridded, index)
     lineage = {"source_slice": F.lit(source), "interpolation_method": F.lit(method)}
-    _write_partitions(gridded.withColumns(lineage), path, overwrite)
+    _write_partitions(gridded.withColumns(lineage), path, keys, overwrite)
+    described = gridded.groupBy(*keys).agg(F.count(F.lit(1)).alias("node_count")).withColumns(lineage)
+    _write_partitions(described, meta_path(path), keys, True)
+
+
+def produced_snapshots(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    """The snapshots that a store holds, read off the names of its partitions; ``keys`` gives their types.
+
+    Files are listed, not opened.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], ", ".join(f"{k} {t}" for k, t in keys.items()))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+
+    def part(key: str, kind: str) -> Column:
+        name = F.regexp_extract("path", f"/{key}=([^/]*)/", 1)
+        # A partition's name holds special characters as %XX, and the listing's path holds its % signs so once more.
+        for _ in range(2):
+            name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+        return F.when(name != "__HIVE_DEFAULT_PARTITION__", name).cast(kind).alias(key)
+
+    return files.select(*[part(k, t) for k, t in keys.items()]).distinct()
 
 
-def _write_partitions(df: DataFrame, path: str, overwrite: bool) -> None:
+def _write_partitions(df: DataFrame, path: str, keys: Sequence[str], overwrite: bool, named: DataFrame | None = None) -> None:
+    if not overwrite:
+        spark = df.sparkSession
+        kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+        there = produced_snapshots(spark, path, kinds)
+        if not there.isEmpty():
+            twice = (df if named is None else named).select(*keys).distinct().join(there, list(keys), "left_semi")
+            if first := twice.first():
+                raise FileExistsError(f"Snapshot exists already: {first.asDict()}")
     (
-        df.write.mode("overwrite" if overwrite else "errorifexists")
+        df.write.mode("overwrite" if overwrite else "append")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("comparison_set", "case")
+        .partitionBy(*keys)
         .parquet(path)
     )
