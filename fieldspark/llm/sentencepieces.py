@@ -6,22 +6,24 @@ of a block are sorted; sorted order is the depth-first order of their trie, so t
 are computed once and reused. Scores are the pieces' scores in the model file; the sum is maximised, and of equal sums
 the longer last piece wins. Characters without a piece become byte pieces. Decoding joins the pieces and bytes.
 
-A block is a bounded run of rows inside one Arrow batch: nothing is shuffled and a lost task is simply run again.
-A literal mark character U+2581 in a text is encoded as bytes, so decoding gives back every text exactly.
-
-Defined cases: a NULL text gives NULL ids and decodes to NULL; an empty text gives no ids; a very long word costs
-time and memory in proportion to its length; repeated rows give equal ids; an empty table gives an empty result;
-columns of the input named like a result column are replaced.
+A block is a bounded run of rows inside one Arrow batch: nothing is shuffled and a lost task is simply run again. Ids and
+remembered words are kept as packed numbers, and a text goes to a worker once, also if it is decoded again there.
+A literal mark character U+2581 in a text is encoded as bytes, as is any byte that is not UTF-8; inside a task both stand
+as surrogates, which no text can hold. So decoding gives back every text exactly.
+
+Defined cases: a NULL text gives NULL ids and decodes to NULL; an empty text gives no ids; a long text is cut in parts at
+marks, and a very long word costs time and memory in proportion to its length; repeated rows give equal ids; an empty
+table gives an empty result; columns of the input named like a result column are replaced, all others may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import ChainMap
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,18 @@ from pyspark.sql import types as T
 from fieldspark.llm.text import fresh, ship, text_blocks
 
 MARK = "▁"
-# A literal mark stands for itself inside a task under this private character.
-_LITERAL = ""
+# A literal mark stands for itself inside a task under this surrogate, which decoding never makes of a byte.
+_LITERAL = "\ud800"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_CUT = re.compile(f"(?<!{MARK}){MARK}")
 BYTE_SCORE = -1e6
-# Distinct words a task remembers from block to block.
-KNOWN_WORDS = 500_000
+# Bytes, as estimated, of the words and ids that a worker remembers from block to block.
+KNOWN_BYTES = 24_000_000
+_WORD_BYTES = 200  # of the objects and the table around one word
+# Bytes of text of a block, and characters of a part of a long text.
+ENCODE_BYTES = 400_000
+PART_CHARS = 200_000
+_CONTINUATION = bytes(range(0x80, 0xC0))
 
 
 @dataclass(frozen=True)
@@ -78,7 +86,8 @@ class WordEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.table = vocabulary.table
         self.bytes_at = vocabulary.bytes_at
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         # Pieces read from their last character: node[character] leads on, node[None] is the piece's id and score.
         self.tails: dict = {}
         for piece, hit in self.table.items():
@@ -87,13 +96,14 @@ class WordEncoder:
                 node = node.setdefault(char, {})
             node[None] = hit
 
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """Segmentations of distinct words; up to KNOWN_WORDS of them are remembered for the next block."""
-        known = self.known
-        made = self.encode_sorted(sorted(words - known.keys()))
-        room = KNOWN_WORDS - len(known)
-        if room > 0:
-            known.update(list(made.items())[:room] if len(made) > room else made)
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Packed segmentations of distinct words that are not remembered; as many as there is room for are from now on."""
+        made = {w: array("i", ids).tobytes() for w, ids in self.encode_sorted(sorted(words - self.known.keys())).items()}
+        for word, ids in made.items():
+            if self.known_bytes > KNOWN_BYTES:
+                break
+            self.known[word] = ids
+            self.known_bytes += _WORD_BYTES + len(word) + len(ids)
         return made
 
     def encode_sorted(self, words: list[str]) -> dict[str, list[int]]:
@@ -130,7 +140,7 @@ class WordEncoder:
                     found.append(ids[at])
                 else:
                     char = word[start[at]]
-                    found.extend(bytes_at[b] for b in reversed((MARK if char == _LITERAL else char).encode("utf-8", "surrogatepass")))
+                    found.extend(bytes_at[b] for b in reversed((MARK if char == _LITERAL else char).encode("utf-8", "surrogateescape")))
                 at = start[at]
             found.reverse()
             out[word] = found
@@ -153,34 +163,58 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def marked_words(text: str) -> list[str]:
-    """The marked words of a text; their concatenation is the marked text."""
+def marked_parts(text: str) -> Iterator[list[str]]:
+    """The marked words of a text, in parts of bounded length; all together they are the marked text."""
     if not text:
-        return []
-    return _WORD.findall(MARK + text.replace(MARK, _LITERAL).replace(" ", MARK))
+        return
+    marked = MARK + text.replace(MARK, _LITERAL).replace(" ", MARK)
+    at = 0
+    while at < len(marked):
+        cut = _CUT.search(marked, at + PART_CHARS) if len(marked) - at > PART_CHARS else None
+        end = cut.start() if cut else len(marked)
+        yield _WORD.findall(marked, at, end)
+        at = end
+
+
+def encode_packed(encoder: WordEncoder, texts: list[str]) -> list[bytes]:
+    """The ids of each text as packed 32-bit numbers. The words of short texts are segmented together."""
+    short = [next(marked_parts(t), []) if len(t) < PART_CHARS else None for t in texts]
+    made = encoder.encode_words({w for words in short if words for w in words})
+    known = encoder.known
+
+    def joined(words: list[str], made: dict[str, bytes]) -> bytes:
+        return b"".join([known[w] if w in known else made[w] for w in words])
+
+    out = []
+    for text, words in zip(texts, short, strict=True):
+        if words is not None:
+            out.append(joined(words, made))
+        else:
+            out.append(b"".join(joined(part, encoder.encode_words(set(part))) for part in marked_parts(text)))
+    return out
 
 
 def encode_block(encoder: WordEncoder, texts: list[str]) -> list[list[int]]:
-    cut = [marked_words(t) for t in texts]
-    made = encoder.encode_words({w for words in cut for w in words})
-    known = encoder.known if len(encoder.known) < KNOWN_WORDS else ChainMap(made, encoder.known)
-    return [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+    return [np.frombuffer(ids, dtype=np.int32).tolist() for ids in encode_packed(encoder, texts)]
 
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
-    """The text of a list of ids."""
-    place = {k: b for b, k in enumerate(vocabulary.bytes_at)}
-    return _join(ids, vocabulary.pieces, place)
+@lru_cache(maxsize=2)
+def _spellings(vocabulary: Vocabulary) -> list[bytes]:
+    """What each id adds to a decoded text."""
+    out = [p.replace(MARK, " ").encode("utf-8") for p in vocabulary.pieces]
+    for byte, number in enumerate(vocabulary.bytes_at):
+        out[number] = bytes([byte])
+    return out
 
 
-def _join(ids: list[int], pieces: tuple[str, ...], place: dict[int, int]) -> str:
-    out = bytearray()
-    for i in ids:
-        if i in place:
-            out.append(place[i])
-        else:
-            out += pieces[i].replace(MARK, " ").encode("utf-8", "surrogatepass")
-    return out.decode("utf-8", "surrogatepass")[1:] if out[:1] == b" " else out.decode("utf-8", "surrogatepass")
+def decode_bytes(spellings: list[bytes], ids: list[int]) -> bytes:
+    out = b"".join(map(spellings.__getitem__, ids))
+    return out[1:] if out[:1] == b" " else out
+
+
+def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
+    """The text of a list of ids."""
+    return decode_bytes(_spellings(vocabulary), ids).decode("utf-8")
 
 
 @lru_cache(maxsize=1)
@@ -189,42 +223,53 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(load_vocabulary(path))
 
 
-def _encode(path: str, keep: list[str]):
+def _encode(path: str, keep: list[str], text_column: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
+        spellings = _spellings(load_vocabulary(path)) if check else None
         for batch in batches:
-            for start, end, texts in text_blocks(batch, "_text"):
-                plain = ["" if t is None else t.decode("utf-8", "surrogatepass") for t in texts]
-                ids = encode_block(encoder, plain)
-                ends = np.cumsum([0, *[len(x) for x in ids]])
-                flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(ends[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
+            for start, end, texts in text_blocks(batch, text_column, ENCODE_BYTES):
+                missing = pa.array([t is None for t in texts])
+                packed = encode_packed(encoder, [(t or b"").decode("utf-8", "surrogateescape") for t in texts])
+                ends = pa.array(np.cumsum([0, *[len(x) // 4 for x in packed]]), pa.int32())
+                flat = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
                 columns = {n: batch.column(n).slice(start, end - start) for n in keep}
-                yield pa.RecordBatch.from_arrays([*columns.values(), lists], names=[*columns, "piece_ids"])
+                columns["piece_ids"] = pa.ListArray.from_arrays(ends, flat, mask=missing)
+                if check:
+                    decoded = (None if t is None else decode_bytes(spellings, np.frombuffer(x, dtype=np.int32).tolist()) for t, x in zip(texts, packed, strict=True))
+                    facts = [(None, None) if d is None else (len(d.translate(None, _CONTINUATION)), hashlib.sha256(d).hexdigest()) for d in decoded]
+                    columns["decoded_chars"] = pa.array([f[0] for f in facts], pa.int32())
+                    columns["decoded_sha256"] = pa.array([f[1] for f in facts], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (default all) with piece_ids. ``model_path`` is a model file that every executor can read."""
+def encode(docs: DataFrame, model_path: str, text_column: str = "text", keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """The ``keep`` columns (default all) with piece_ids. ``model_path`` is a model file that every executor can read.
+
+    With ``check``, the ids are decoded again beside the encoder, and the length (decoded_chars) and digest
+    (decoded_sha256) of the decoded text are added.
+    """
     ship(docs.sparkSession)
-    plain = fresh(docs, "piece_ids")
-    keep = plain.columns if keep is None else keep
-    schema = T.StructType([*plain.select(*keep).schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    return plain.select(*keep, plain[text_column].alias("_text")).mapInArrow(_encode(model_path, keep), schema)
+    made = {"piece_ids": T.ArrayType(T.IntegerType())}
+    if check:
+        made |= {"decoded_chars": T.IntegerType(), "decoded_sha256": T.StringType()}
+    rest = fresh(docs, *made).columns
+    keep = rest if keep is None else [c for c in keep if c in rest]
+    schema = T.StructType([*docs.select(*keep).schema.fields, *[T.StructField(n, t) for n, t in made.items()]])
+    return docs.select(*dict.fromkeys([*keep, text_column])).mapInArrow(_encode(model_path, keep, text_column, check), schema)
 
 
 def _decode(path: str, ids_column: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load_vocabulary(path)
-        place = {k: b for b, k in enumerate(vocabulary.bytes_at)}
+        spellings = _spellings(load_vocabulary(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = part.column("_ids").to_pylist()
-                texts = pa.array([None if x is None else _join(x, vocabulary.pieces, place) for x in ids], pa.string())
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                texts = [None if x is None else decode_bytes(spellings, x) for x in part.column(ids_column).to_pylist()]
                 columns = {n: part.column(n) for n in keep}
-                yield pa.RecordBatch.from_arrays([*columns.values(), texts], names=[*columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(texts, pa.binary()).view(pa.string())], names=[*columns, "decoded"])
 
     return run
 
@@ -232,7 +277,7 @@ def _decode(path: str, ids_column: str, keep: list[str]):
 def decode(encoded: DataFrame, model_path: str, ids_column: str = "piece_ids", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (default all) with decoded, the text of the ids."""
     ship(encoded.sparkSession)
-    plain = fresh(encoded, "decoded")
-    keep = plain.columns if keep is None else keep
-    schema = T.StructType([*plain.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
-    return plain.select(*keep, plain[ids_column].alias("_ids")).mapInArrow(_decode(model_path, ids_column, keep), schema)
+    rest = fresh(encoded, "decoded").columns
+    keep = rest if keep is None else [c for c in keep if c in rest]
+    schema = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
+    return encoded.select(*dict.fromkeys([*keep, ids_column])).mapInArrow(_decode(model_path, ids_column, keep), schema)

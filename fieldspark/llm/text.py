@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.plans.scale import attach, checkpoint_folder, ship, spooled  # noqa: F401  (shared by the operators)
+from fieldspark.plans.scale import attach, checkpoint_folder, release, ship, spooled  # noqa: F401  (shared by the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -59,6 +59,14 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, whatever the letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(id_column: str, text_column: str) -> Column:
     """Names a row by id and text, so that a repeated id with another text stays apart."""
     return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column))
