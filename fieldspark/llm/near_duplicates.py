@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.text import attach, ship, spooled, text_blocks
+from fieldspark.llm.text import attach, free_name, release, row_key, ship, spooled, text_blocks
 
 SHINGLE = 5
 SKETCH = 64
@@ -43,7 +43,6 @@ GROWTH = 64
 # Lists with more members are split by common and rare shingles; a rare one has at most RARE holders.
 LARGE = 64
 RARE = 16
-BROADCAST_BYTES = 32 * 1024 * 1024
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,24 +220,35 @@ def _reachable(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the estimate and then the exact similarity of the full sets, with their other columns."""
+    """The pairs (a, b) that pass the estimate and then the exact similarity of the full sets, with their other columns.
+
+    Only the sketches and sets of ids that stand in a pair are moved: both tables are cut by the list of these ids, which
+    is broadcast if it is small, before they are shuffled to the pairs.
+    """
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").filter(_close("sa", "sb", percent)).select("a", "b", *rest)
-    left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    pairs = spooled(pairs)
+    near = pairs
+    for column in ("a", "b"):
+        near = near.join(_cut_to(pairs, column, reps.select("id", "sketch")).select(F.col("id").alias(column), F.col("sketch").alias(f"s{column}")), column)
+    near = spooled(near.filter(_close("sa", "sb", percent)).select("a", "b", *rest))
+    found = near
+    for column in ("a", "b"):
+        found = found.join(_cut_to(near, column, full).select(F.col("id").alias(column), F.col("shingles").alias(f"s{column}")), column)
     both = F.size(F.array_intersect("sa", "sb"))
-    found = near.join(left, "a").join(right, "b").select("a", "b", *rest, both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
-    return spooled(found.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b", *rest))
+    found = found.select("a", "b", *rest, both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
+    found = spooled(found.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b", *rest))
+    release(pairs, near)
+    return found
+
+
+def _cut_to(pairs: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    return attach(table, pairs.select(F.col(column).alias("id")).distinct(), ["id"], "left_semi")
 
 
 def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame | None:
     """(id, component) of the representatives in components of two or more."""
     lists, rare_pairs = split_large_lists(lists, full, percent)
     members = spooled(lists)
-    if full.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] * 8 <= BROADCAST_BYTES:
-        full = F.broadcast(full)
     labels, floor, share = None, 0.0, HUBS
     if rare_pairs is not None and not rare_pairs.isEmpty():
         found = _verified(rare_pairs, reps, full, percent)
@@ -274,6 +284,7 @@ def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent:
             .distinct()
         )
         found = _verified(pairs, reps, full, percent)
+        release(open_lists)
         if not found.isEmpty():
             # Only the components that these links join are searched, not the links of earlier rounds again.
             labels = joined_labels(labels, components(found.select(F.col("ka").alias("a"), F.col("kb").alias("b"))))
@@ -314,6 +325,23 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that their class keeps, with all columns."""
-    out = spooled(near_duplicate_classes(docs, id_column, text_column).filter(~F.col("kept")).select(id_column).distinct())
-    return attach(docs, out, [id_column], "left_anti")
+    """One row of each class, with all columns: that of the smallest id, a NULL id last; texts without words all stay.
+
+    Rows are told apart by a digest of id and text, so rows with a NULL or repeated id are judged too; of rows that are
+    equal in both, one stays.
+    """
+    key = free_name(docs, "_key_of_row")
+    keyed = docs.withColumn(key, row_key(id_column, text_column))
+    classes = near_duplicate_classes(keyed.select(key, text_column), key, text_column).filter("n_shingles > 0")
+    rows = classes.select(F.col(key), "component_id").groupBy(key).agg(F.first("component_id").alias("component_id"), F.count("*").alias("held"))
+    named = keyed.select(key, F.col(id_column).alias("id")).groupBy(key).agg(F.first("id").alias("id"))
+    rows = spooled(rows.join(named, key))
+    best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("key"))).alias("best"))
+    rest = free_name(docs, "_held_by_row")
+    verdicts = rows.join(best, "component_id").select(key, F.when(F.col("best.key") == F.col(key), F.col("held")).otherwise(0).alias(rest))
+    # Most rows are the only ones of their class and need no verdict.
+    judged = attach(keyed, spooled(verdicts.filter(F.col(rest) != 1)), [key], "left")
+    one = judged.filter(F.col(rest) > 1).dropDuplicates([key])
+    return judged.filter(F.col(rest).isNull()).unionByName(one).select(*docs.columns)
+
+
