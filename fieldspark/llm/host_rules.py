@@ -4,7 +4,10 @@
 2. The failures of each rule are summed by host; sums are pre-aggregated, so a hot host is no hot task.
 3. The failure rates of all hosts give a beta prior per rule by the method of moments; a host's rate is its
    posterior mean, so a host with few texts keeps close to the prior.
-4. A host whose shrunk rate passes the rule's limit is refused, and its verdict is joined to its documents.
+4. The limit of a rule follows from the prior: the rate at which the odds of a failure are ODDS times those of the prior's
+   mean. A host is refused if its rate is above the limit with a posterior probability of at least 1 - DOUBT. The tail is
+   bounded by Cantelli's inequality, var / (var + (mean - limit)^2), which holds for every distribution, so no host is
+   refused on less. Its verdict is joined to its documents.
 
 Defined cases: a NULL or empty text has no words and fails; texts without a host form the host NULL, which gets
 no host verdict; repeated rows count as often as they occur; an empty table gives an empty result; columns of the
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.text import attach, fresh, ship, spooled, text_blocks
+from fieldspark.llm.text import attach, free_name, fresh, ship, spooled, text_blocks
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -29,8 +32,10 @@ SYMBOL_PERCENT = 10
 LINE_PERCENT = 30
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-# Limit of a host's shrunk failure rate, for each rule.
-HOST_LIMITS = {"short": 0.5, "repeats": 0.5, "symbols": 0.5, "lines": 0.5}
+RULES = ("short", "repeats", "symbols", "lines")
+# A refused host fails a rule with odds above ODDS times the usual, with a posterior doubt of at most DOUBT.
+ODDS = 2.0
+DOUBT = 0.05
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _BLANKS = b" \t\n\r\x0b\x0c"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -112,32 +117,35 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: Column, limits: dict[str, float] | None = None) -> DataFrame:
-    """One row per host: texts, shrunk rate of each rule, and whether the host is refused.
+def host_verdicts(measured: DataFrame, host: str, odds: float = ODDS, doubt: float = DOUBT) -> DataFrame:
+    """One row per host (column ``host``): texts, shrunk rate of each rule, and whether the host is refused.
 
     The prior has the mean m and the variance v of the host rates: strength m(1-m)/v - 1, at least 1. Where all hosts
     agree (v = 0) or there are fewer than two, the strength is the number of texts, that is all hosts get the mean.
     """
-    limits = limits or HOST_LIMITS
     failed = rule_failures()
     hosts = spooled(
-        measured.select(host.alias("_host"), *[failed[r].cast("long").alias(r) for r in limits])
-        .filter("_host is not null")
-        .groupBy("_host")
-        .agg(F.count("*").alias("host_docs"), *[F.sum(r).alias(f"_{r}") for r in limits])
+        measured.select(host, *[failed[r].cast("long").alias(r) for r in RULES])
+        .filter(F.col(host).isNotNull())
+        .groupBy(host)
+        .agg(F.count("*").alias("host_docs"), *[F.sum(r).alias(f"_{r}") for r in RULES])
     )
-    rates = hosts.select("host_docs", *[(F.col(f"_{r}") / F.col("host_docs")).alias(r) for r in limits])
+    rates = hosts.select("host_docs", *[(F.col(f"_{r}") / F.col("host_docs")).alias(r) for r in RULES])
     moments = rates.agg(
-        F.sum("host_docs").alias("docs"), *[f(r).alias(f"{k}_{r}") for r in limits for k, f in (("mean", F.avg), ("var", F.var_pop))]
+        F.sum("host_docs").alias("docs"), *[f(r).alias(f"{k}_{r}") for r in RULES for k, f in (("mean", F.avg), ("var", F.var_pop))]
     ).first()
     shrunk, refused = [], F.lit(False)
-    for rule, limit in limits.items():
+    for rule in RULES:
         mean, var = moments[f"mean_{rule}"] or 0.0, moments[f"var_{rule}"] or 0.0
         strength = max(1.0, mean * (1 - mean) / var - 1) if var > 1e-12 else float(max(1, moments["docs"] or 1))
-        rate = (F.col(f"_{rule}") + mean * strength) / (F.col("host_docs") + strength)
+        total = F.col("host_docs") + strength
+        rate = (F.col(f"_{rule}") + mean * strength) / total
+        limit = odds * mean / (1 - mean + odds * mean)
+        spread = rate * (1 - rate) / (total + 1)
+        above = (rate > limit) & (spread <= doubt * (spread + (rate - limit) * (rate - limit)))
         shrunk.append(rate.alias(f"host_{rule}"))
-        refused = refused | (rate > limit)
-    return hosts.select("_host", "host_docs", *shrunk, refused.alias("host_refused"))
+        refused = refused | above
+    return hosts.select(host, "host_docs", *shrunk, refused.alias("host_refused"))
 
 
 def judge(
@@ -145,19 +153,23 @@ def judge(
     text_column: str = "text",
     host_column: str = "source",
     carry: list[str] | None = None,
-    limits: dict[str, float] | None = None,
+    odds: float = ODDS,
+    doubt: float = DOUBT,
 ) -> DataFrame:
     """The documents with measures, base_failed, host rates and ``kept``.
 
     ``carry`` names the input columns to return (default all); the measured rows are stored once in the
     checkpoint folder, because both the host sums and the result read them.
     """
-    made = [*MEASURES, "base_failed", "host_docs", "host_refused", "kept", *[f"host_{r}" for r in (limits or HOST_LIMITS)]]
-    keep = None if carry is None else list(dict.fromkeys([*carry, host_column]))
-    measured = spooled(with_measures(docs, text_column, keep).withColumn("_host", F.col(host_column)))
-    verdicts = host_verdicts(measured, F.col("_host"), limits)
+    made = [*MEASURES, "base_failed", "host_docs", "host_refused", "kept", *[f"host_{r}" for r in RULES]]
+    # The host may have the name of a result column, so it goes along under a name of its own.
+    host = free_name(docs, "_host_of_text")
+    rest = fresh(docs, *made).columns
+    keep = [c for c in rest if carry is None or c in carry or c == host_column]
+    measured = spooled(with_measures(docs.withColumn(host, F.col(host_column)), text_column, [*keep, host]))
+    verdicts = host_verdicts(measured, host, odds, doubt)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    judged = attach(fresh(measured, *[m for m in made if m not in MEASURES]), verdicts, ["_host"], "left")
-    kept = ~failed & ~F.coalesce("host_refused", F.lit(False))
-    rest = [c for c in judged.columns if c not in ("_host", "host_refused")]
-    return judged.select(*rest, F.coalesce("host_refused", F.lit(False)).alias("host_refused"), failed.alias("base_failed"), kept.alias("kept"))
+    judged = attach(measured, verdicts, [host], "left")
+    refused = F.coalesce("host_refused", F.lit(False))
+    facts = ["host_docs", *[f"host_{r}" for r in RULES]]
+    return judged.select(*keep, *MEASURES, *facts, refused.alias("host_refused"), failed.alias("base_failed"), (~failed & ~refused).alias("kept"))

@@ -3,11 +3,13 @@
 1. Words of all training texts are counted (each task adds up its own first). The most frequent words are symbols of
    their own; every other word belongs to a class named by a hash of its ending, and has the probability
    (c + 1) / (N_class + V_class + 1) in it. An end token closes every text.
-2. Texts become symbol numbers once. Logarithms of the ``HEAD`` most frequent words are at hand in every task (a table
-   of bounded size); the rarer ones are counted per text and joined with the whole count table.
-3. Starting values come from a bounded sample; then every Baum-Welch round runs over all training texts: tasks compute
-   expected counts by a scaled forward-backward pass and Spark adds them up. Training reads texts in stretches of
-   ``STRETCH`` tokens, with a start distribution for beginnings and one for continuations.
+2. Texts become symbol numbers once. Logarithms of at most ``HEAD`` most frequent words are at hand in every task (a table
+   of bounded size, cut at a count that a histogram of the counts gives); the rarer ones are counted per text and joined
+   with the whole count table.
+3. Every Baum-Welch round runs over all training texts and whole texts: tasks compute expected counts by a scaled
+   forward-backward pass and Spark adds them up. A long text is laid out in stretches of ``STRETCH`` tokens that are worked
+   on side by side; the products of a stretch's transitions carry the forward and backward messages over the cuts, so
+   the counts, those of the moves across a cut among them, are exactly those of the unbroken text.
 4. Scoring runs the scaled forward recursion over the whole token sequence of every text.
 
 Defined cases: NULL, empty and blank texts are the end token alone; words never seen in training have count 0 in both
@@ -34,13 +36,13 @@ from fieldspark.llm.text import remainder, ship, spooled, text_blocks
 STATES = 8
 OWN = 2048
 CLASSES = 254
-HEAD = 200_000
+HEAD = 100_000
 LONGEST_HEAD_WORD = 64
-ROUNDS = 2
+ROUNDS = 8
 STRETCH = 512
-SAMPLE_TEXTS = 2_000
-SAMPLE_ROUNDS = 12
-COUNTED_WORDS = 300_000
+# Stretches of one table of forward messages.
+SIDE_BY_SIDE = 800
+COUNTED_WORDS = 100_000
 END = b""  # no word is empty
 
 
@@ -50,7 +52,7 @@ def word_class(word: bytes) -> int:
 
 @dataclass
 class Model:
-    first: np.ndarray  # (2, K): start of a text, start of a continuing stretch
+    first: np.ndarray  # (1, K): start of a text
     move: np.ndarray  # (K, K)
     emit: np.ndarray  # (symbols, K)
 
@@ -65,6 +67,7 @@ class Coding:
     class_log: np.ndarray  # log10 of the class totals
     end_log: float  # log10(c + 1) of the end token
     end_known: int
+    symbol_count: np.ndarray  # training tokens of each symbol
 
     @property
     def n_symbols(self) -> int:
@@ -94,21 +97,40 @@ def word_counts(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.select(F.col(text_column).alias("_text")).mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_words(words: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, at most ``most``, by falling count.
+
+    A histogram of the counts, in eighths of an octave, says from which count on there are no more words than that, so
+    a bounded number of rows is sent.
+    """
+    usable = words.filter(F.octet_length("word") <= LONGEST_HEAD_WORD).withColumn("step", F.floor(8 * F.log2("c")))
+    least, total = None, 0
+    for row in sorted(usable.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["step"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in usable.filter(F.col("step") >= least).select("word", "c").collect()), key=lambda w: (-w[1], w[0]))
+
+
 def build_coding(counts: DataFrame) -> Coding:
-    order = [F.desc("c"), F.col("word")]
     words = counts.filter(F.col("word") != F.lit(END))
-    top = [(bytes(r["word"]), r["c"]) for r in words.filter(F.octet_length("word") <= LONGEST_HEAD_WORD).orderBy(*order).limit(HEAD).collect()]
-    own = {w for w, _ in top[:OWN]}
+    top = head_words(words)
     suffix = F.expr("substring(word, greatest(1, octet_length(word) - 2), 3)")
     sums = words.groupBy((F.crc32(suffix) % CLASSES).alias("cls")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    total = np.ones(CLASSES)
+    total, tokens = np.ones(CLASSES), np.zeros(CLASSES)
     for r in sums:
         total[r["cls"]] += r["n"] + r["v"]
+        tokens[r["cls"]] += r["n"]
     for w, c in top[:OWN]:
         total[word_class(w)] -= c + 1
+        tokens[word_class(w)] -= c
     end = counts.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
     symbol = np.array([k if k < OWN else OWN + 1 + word_class(w) for k, (w, _) in enumerate(top)], dtype=np.int16)
-    assert len(own) == min(OWN, len(top))
+    own = np.zeros(OWN)
+    own[: min(OWN, len(top))] = [c for _, c in top[:OWN]]
     return Coding(
         {w: k for k, (w, _) in enumerate(top)},
         np.log10(np.array([c for _, c in top], dtype=float) + 1),
@@ -116,6 +138,7 @@ def build_coding(counts: DataFrame) -> Coding:
         np.log10(total),
         float(np.log10(end + 1)),
         int(end > 0),
+        np.concatenate([own, [end], tokens]),
     )
 
 
@@ -155,16 +178,24 @@ def _coded(coding):
     return run
 
 
-def _stretches(symbols: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
-    """Stretches of at most STRETCH symbols, longest first, and whether each continues a text (1) or begins it (0)."""
-    parts, kinds = [], []
-    for raw in symbols:
-        seq = np.frombuffer(raw, dtype=np.int16)
-        for at in range(0, len(seq), STRETCH):
-            parts.append(seq[at : at + STRETCH])
-            kinds.append(int(at > 0))
-    order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
-    return [parts[k] for k in order], [kinds[k] for k in order]
+@dataclass
+class _Stretches:
+    """The stretches of some texts: symbols, the text each belongs to and its place in it."""
+
+    parts: list[np.ndarray]
+    text: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, symbols: list[bytes]) -> _Stretches:
+        parts, text, place = [], [], []
+        for k, raw in enumerate(symbols):
+            seq = np.frombuffer(raw, dtype=np.int16)
+            for at in range(0, len(seq), STRETCH):
+                parts.append(seq[at : at + STRETCH])
+                text.append(k)
+                place.append(at // STRETCH)
+        return cls(parts, np.array(text, dtype=np.int64), np.array(place, dtype=np.int64))
 
 
 def _table(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,37 +207,91 @@ def _table(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return table, np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
 
 
+def _carried(model: Model, cut: _Stretches) -> tuple[np.ndarray, np.ndarray]:
+    """The forward message into each stretch and the backward message at its end, up to a factor.
+
+    A stretch's transitions multiply to one matrix; all stretches are multiplied out side by side, then the messages
+    go from stretch to stretch. Stretches of texts that are one stretch keep the plain start and end.
+    """
+    k, n = model.move.shape[0], len(cut.parts)
+    into, after = np.zeros((n, k)), np.ones((n, k))
+    long = np.flatnonzero(cut.place > 0)
+    if not len(long):
+        return into, after
+    # Messages pass through the first stretch as a vector and through each later one as a matrix.
+    long = np.unique(np.concatenate([long, long - 1]))
+    order = long[np.argsort([-len(cut.parts[j]) for j in long], kind="stable")]
+    matrix = np.zeros((n, k, k))
+    for low in range(0, len(order), SIDE_BY_SIDE):
+        some = order[low : low + SIDE_BY_SIDE]
+        table, alive = _table([cut.parts[j] for j in some])
+        now = np.broadcast_to(np.eye(k), (len(some), k, k)).copy()
+        starts = cut.place[some] == 0
+        for t, m in enumerate(alive):
+            step = now[:m] @ model.move
+            if t == 0:
+                step[starts[:m]] = model.first[0]
+            now[:m] = step * model.emit[table[t, :m]][:, None, :]
+            if t % 8 == 7:
+                now[:m] /= now[:m].sum((1, 2), keepdims=True)
+        matrix[some] = now / now.sum((1, 2), keepdims=True)
+    last = cut.place.max()
+    for place in range(1, last + 1):
+        here = np.flatnonzero(cut.place == place)
+        before = here - 1
+        if place == 1:
+            message = matrix[before][:, 0]
+        else:
+            message = np.einsum("ni,nij->nj", into[before], matrix[before])
+        into[here] = message / message.sum(1, keepdims=True)
+    for place in range(last, 0, -1):
+        here = np.flatnonzero(cut.place == place)
+        message = np.einsum("nij,nj->ni", matrix[here], after[here])
+        after[here - 1] = message / message.sum(1, keepdims=True)
+    return into, after
+
+
 def expected_counts(model: Model, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts (2, K), moves (K, K) and emissions (symbols, K) of some texts, and their log likelihood."""
+    """Expected starts, moves (K, K) and emissions (symbols, K) of some whole texts, and their log likelihood."""
     k = model.move.shape[0]
     n_symbols = model.emit.shape[0]
-    starts, moves, emits, log = np.zeros((2, k)), np.zeros((k, k)), np.zeros((n_symbols, k)), 0.0
-    parts, kinds = _stretches(symbols)
-    for low in range(0, len(parts), 2000):
-        some, kind = parts[low : low + 2000], np.array(kinds[low : low + 2000])
-        table, alive = _table(some)
+    starts, moves, emits, log = np.zeros(model.first.shape), np.zeros((k, k)), np.zeros((n_symbols, k)), 0.0
+    cut = _Stretches.of(symbols)
+    into, after = _carried(model, cut)
+    order = np.argsort([-len(p) for p in cut.parts], kind="stable")
+    for low in range(0, len(order), SIDE_BY_SIDE):
+        some = order[low : low + SIDE_BY_SIDE]
+        begins = cut.place[some] == 0
+        table, alive = _table([cut.parts[j] for j in some])
         steps = len(table)
         alpha, scale = np.zeros((steps, len(some), k)), np.ones((steps, len(some)))
         for t in range(steps):
             m = alive[t]
-            now = model.first[kind[:m]] if t == 0 else alpha[t - 1, :m] @ model.move
+            if t == 0:
+                now = np.where(begins[:, None], model.first[0], into[some] @ model.move)
+            else:
+                now = alpha[t - 1, :m] @ model.move
             now = now * model.emit[table[t, :m]]
             total = now.sum(1)
             alpha[t, :m] = now / total[:, None]
             scale[t, :m] = total
         log += float(np.log(scale).sum())
-        beta = np.ones((len(some), k))
+        beta = after[some]
         for t in range(steps - 1, -1, -1):
             m = alive[t]
-            if t < steps - 1 and alive[t + 1]:
-                r = alive[t + 1]
+            r = alive[t + 1] if t < steps - 1 else 0
+            if r:
                 ahead = beta[:r] * model.emit[table[t + 1, :r]] / scale[t + 1, :r, None]
                 moves += model.move * (alpha[t, :r].T @ ahead)
                 beta[:r] = ahead @ model.move.T
+            # A stretch that ends here: its backward message gets the scale that makes the posterior sum to one.
+            beta[r:m] /= (alpha[t, r:m] * beta[r:m]).sum(1, keepdims=True)
             gamma = alpha[t, :m] * beta[:m]
             alpha[t, :m] = gamma / gamma.sum(1)[:, None]
-        for kind_ in (0, 1):
-            starts[kind_] += alpha[0][kind == kind_].sum(0)
+        goes_on = ~begins
+        ahead = beta[goes_on] * model.emit[table[0, goes_on]] / scale[0, goes_on, None]
+        moves += model.move * (into[some][goes_on].T @ ahead)
+        starts[0] += alpha[0][begins].sum(0)
         flat = table.ravel()
         for s in range(k):
             emits[:, s] += np.bincount(flat, weights=alpha[:, :, s].ravel(), minlength=n_symbols)
@@ -225,7 +310,7 @@ def _start_model(general: np.ndarray) -> Model:
     rng = np.random.default_rng(7)
     emit = general[:, None] * np.exp(rng.normal(0, 1, (len(general), STATES)))
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
-    return Model(np.full((2, STATES), 1 / STATES), move, emit / emit.sum(0, keepdims=True))
+    return Model(np.full((1, STATES), 1 / STATES), move, emit / emit.sum(0, keepdims=True))
 
 
 def _round(model: Model):
@@ -234,8 +319,8 @@ def _round(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                raw = batch.column("symbols").slice(at, 1000).to_pylist()
+            for at in range(0, batch.num_rows, 500):
+                raw = batch.column("symbols").slice(at, 500).to_pylist()
                 s, m, e, log = expected_counts(model, raw)
                 flat = np.concatenate([s.ravel(), m.ravel(), e.ravel(), [log]])
                 total = flat if total is None else total + flat
@@ -245,27 +330,19 @@ def _round(model: Model):
     return run
 
 
-def train(coded: DataFrame, n_symbols: int, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of ``coded`` (column symbols)."""
-    few = coded.orderBy(F.xxhash64("symbols")).select(F.substring("symbols", 1, 2 * STRETCH).alias("symbols")).limit(SAMPLE_TEXTS).collect()
-    sample = [bytes(r["symbols"]) for r in few]
-    seen = np.zeros(n_symbols)
-    for raw in sample:
-        seen += np.bincount(np.frombuffer(raw, dtype=np.int16), minlength=n_symbols)
-    general = (seen + 0.5) / (seen + 0.5).sum()
+def train(coded: DataFrame, symbol_count: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over all rows of ``coded`` (column symbols), from the frequencies of the symbols."""
+    n_symbols, k = len(symbol_count), STATES
+    general = (symbol_count + 0.5) / (symbol_count + 0.5).sum()
     model = _start_model(general)
-    if not sample:
-        return model
-    for _ in range(SAMPLE_ROUNDS):
-        model = improved(*expected_counts(model, sample)[:3], general)
-    k = STATES
     for _ in range(rounds):
         sums = coded.select("symbols").mapInArrow(_round(model), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        flat = np.zeros(2 * k + k * k + n_symbols * k + 1)
+        if not sums:
+            return model
+        flat = np.zeros(k + k * k + n_symbols * k + 1)
         for r in sums:
             flat[r["place"]] = r["value"]
-        starts, moves, emits = flat[: 2 * k].reshape(2, k), flat[2 * k : 2 * k + k * k].reshape(k, k), flat[2 * k + k * k : -1].reshape(n_symbols, k)
-        general = (emits.sum(1) + 0.5) / (emits.sum(1) + 0.5).sum()
+        starts, moves, emits = flat[:k].reshape(1, k), flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(n_symbols, k)
         model = improved(starts, moves, emits, general)
     return model
 
@@ -299,8 +376,8 @@ def forward_log10(model: Model, symbols: list[bytes]) -> np.ndarray:
 def _scored(model: Model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 log = forward_log10(model, part.column("symbols").to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], pa.array(log)], names=[*keep, "log_hidden"])
 
@@ -321,7 +398,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     for name, kind in (("n_tokens", "long"), ("known", "long"), ("log_all", "double"), ("log_class", "double"), ("norm", "double"), ("symbols", "binary"), ("rare", T.ArrayType(T.BinaryType())), ("rare_n", T.ArrayType(T.IntegerType()))):
         schema = schema.add(name, kind)
     coded = spooled(source.mapInArrow(_coded(shared), schema).withColumn("_row", F.monotonically_increasing_id()))
-    model = train(coded.filter(~F.col("held_out")), coding.n_symbols, rounds)
+    model = train(coded.filter(~F.col("held_out")), coding.symbol_count, rounds)
 
     rare = coded.select("_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("_row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("tf"))
     tail = (

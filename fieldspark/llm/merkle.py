@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.llm.text import ascii_lower, attach, remainder, ship, spooled
-from fieldspark.operators.ordered import tile_rows
+from fieldspark.operators.ordered import number_rows
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 8
 HEIGHT = 3
 BLOCK = FANOUT**HEIGHT
-# Groups with more leaves are numbered through range partitions of about this many.
-RUN_ROWS = 65_536
+# Leaves of a range partition in which they are numbered, where there are more than the session's partitions.
+RUN_ROWS = 1_000_000
 _SIZE = 32
 
 
@@ -233,10 +233,10 @@ def tree_roots(tiers: Sequence[DataFrame]) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``rows`` with pos, the place in the tree from 0, and n, the leaves of the tree."""
-    tiles = tile_rows(rows, ["tree"], order, tile_size=RUN_ROWS)
+    """The stored ``rows`` with pos, the place in the tree from 0, and n, the leaves of the tree."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RUN_ROWS)
     kept = [c for c in rows.columns if c != "tree"]
-    return tiles.result("tree", *kept, (F.col("_rn") - 1).alias("pos"), F.col("_n").alias("n"))
+    return number_rows(rows, ["tree"], order, parts).select("tree", *kept, (F.col("_rn") - 1).alias("pos"), F.col("_n").alias("n"))
 
 
 def build_manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_column: str = "doc_id", group_column: str = "lang", text_column: str = "text") -> Manifest:

@@ -26,9 +26,10 @@ from fieldspark.llm.text import GAP, WORD
 
 TOKENIZER = os.environ.get("FIELDSPARK_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
-# The host and path rules of the URL query, and the host labels whose pages form its list.
+# The host and path rules of the URL query.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-LISTED_LABELS = ("cheap-pills", "spam-farm")
+# The URL list holds the pages of hosts that name a trade of unwanted pages among their parts.
+UNWANTED = "adserver ads adult bets betting casino casinos escort jackpot pills poker porn replica slots spam torrent tracker tracking viagra warez xxx".split()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +57,8 @@ def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the length and digest of the text that they decode to."""
-    encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"])
-    decoded = sentencepieces.decode(encoded, TOKENIZER)
-    return decoded.select(
-        "doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), F.char_length("decoded").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"], check=True)
+    return encoded.select("doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), "decoded_chars", "decoded_sha256")
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +66,10 @@ def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed are the URLs of all pages on a host with one of the LISTED_LABELS."""
+    """Listed are the URLs of all pages on a host with one of the UNWANTED words among its parts."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    label = F.split(F.regexp_replace(url_filter.host_of(F.col("url")), r"^(www|m|blog)\.", ""), r"\.")[0]
-    listed = pages.filter(label.isin(*LISTED_LABELS)).select("url")
+    parts = F.split(url_filter.host_of(F.col("url")), r"[.\-]")
+    listed = pages.filter(F.arrays_overlap(parts, F.array(*map(F.lit, UNWANTED)))).select("url")
     return url_filter.filter_urls(pages, listed, rules=URL_RULES).select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
@@ -168,8 +166,11 @@ def host_rules_sql(table: str = "documents") -> str:
     }
     sums = ", ".join(f"sum(CAST({c} AS INTEGER)) AS {k}" for k, c in rules.items())
     moments = ", ".join(f"avg({k} / n) AS m_{k}, var_pop({k} / n) AS v_{k}" for k in rules)
+    rate = {k: f"(({k} + m_{k} * s_{k}) / (n + s_{k}))" for k in rules}
+    limit = {k: f"({r.ODDS} * m_{k} / (1 - m_{k} + {r.ODDS} * m_{k}))" for k in rules}
+    spread = {k: f"({rate[k]} * (1 - {rate[k]}) / (n + s_{k} + 1))" for k in rules}
     refused = " OR ".join(
-        f"({k} + m_{k} * s_{k}) / (n + s_{k}) > {r.HOST_LIMITS[k]}" for k in rules
+        f"({rate[k]} > {limit[k]} AND {spread[k]} <= {r.DOUBT} * ({spread[k]} + ({rate[k]} - {limit[k]}) * ({rate[k]} - {limit[k]})))" for k in rules
     )
     strength = ", ".join(f"CASE WHEN v_{k} > 1e-12 THEN greatest(1.0, m_{k} * (1 - m_{k}) / v_{k} - 1) ELSE greatest(1, docs) END AS s_{k}" for k in rules)
     return f"""
@@ -218,7 +219,7 @@ FROM w LEFT JOIN size USING (doc_id) JOIN least ON least.id = w.doc_id"""
 
 def urls_sql() -> str:
     f = url_filter
-    rules = sorted(URL_RULES.items(), key=lambda r: -len(r[0]))
+    rules = sorted(URL_RULES.items(), key=lambda r: -len(r[0]))  # a stable sort: of equal lengths the first one
 
     def fits(name: str) -> str:
         where, _, rest = name.partition("/")
@@ -227,7 +228,7 @@ def urls_sql() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(n)} THEN '{n}'" for n, _ in rules) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(n)} THEN '{v}'" for n, v in rules) + " ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    unwanted = ", ".join(f"'{x}'" for x in UNWANTED)
     return f"""
 WITH named AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(url, '{f.HOST}', 1), '{upper}', '{upper.lower()}'), '') AS host,
@@ -237,7 +238,7 @@ WITH named AS (
 c AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
     || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM named),
-l AS (SELECT DISTINCT canonical FROM c WHERE string_split(regexp_replace(host, '^(www|m|blog)\\.', ''), '.')[1] IN ({labels})),
+l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(regexp_split_to_array(host, '[.-]'), [{unwanted}])),
 j AS (SELECT c.*, l.canonical IS NOT NULL AS listed FROM c LEFT JOIN l ON c.canonical = l.canonical)
 SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, canonical, listed FROM j"""
 

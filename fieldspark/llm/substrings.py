@@ -4,13 +4,14 @@
    ``min_words`` words, which catches a passage that stands inside another line. Units are normalised (case, blanks)
    and hashed to 128 bits.
 2. Digests are grouped globally: a digest that occurs once drops out; of the others the earliest occurrence, in the
-   order of ``rank`` (id, then place in the text), stays. The minimum is a partial aggregate, so a line that stands
-   in a third of all texts is no hot task; marking its occurrences is a plain join that adaptive execution splits.
+   order of ``rank`` (id, then place in the text), stays. The minimum is a partial aggregate. To mark the occurrences,
+   digests with more than ``HOT_ROWS`` of them, of which there are few, are joined where the occurrences are; only the others
+   are dealt out by digest. So a line that stands in a third of all texts is no hot task.
 3. The spans of the removed units are joined back to their texts, which are cut by code point offsets of the original.
 
 Defined cases: NULL texts stay NULL and empty ones empty; repeated rows with the same id and text get the same result;
 a passage repeated inside one text keeps its first place; rows with a NULL id rank last; an empty table gives an empty
-result; columns of the input named like a result column are replaced.
+result; columns of the input named like a result column are replaced, all others may have any name.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.text import fresh, row_key, ship, spooled, text_blocks
+from fieldspark.llm.text import attach, free_name, fresh, row_key, ship, spooled, text_blocks
 
 MIN_WORDS = 8
+HOT_ROWS = 1_000
 _SENTENCE = re.compile(r"[^.!?]*[.!?]*")
 _CASE = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -81,22 +83,46 @@ def repeated_units(docs: DataFrame, id_column: str = "doc_id", text_column: str
     units = spooled(source.mapInArrow(_units(min_words), schema))
     # Rows without an id rank last; a line counts before a sentence at the same place.
     place = F.struct(F.col("_rank").isNull().alias("none"), F.col("_rank").alias("rank"), F.col("_row").alias("row"), F.col("start").alias("start"), (~F.col("line")).alias("part"))
-    twice = units.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest")
-    again = spooled(units.join(twice, "digest"))
-    firsts = again.groupBy("digest").agg(F.min(place).alias("_first"))
-    return again.join(firsts, "digest").filter(place != F.col("_first")).select("_row", "start", "end", "line")
+    twice = spooled(units.groupBy("digest").agg(F.count("*").alias("held")).filter("held > 1"))
+    again = spooled(_met(units, twice, twice))
+    firsts = spooled(again.groupBy("digest").agg(F.min(place).alias("_first")))
+    return _met(again, firsts, twice).filter(place != F.col("_first")).select("_row", "start", "end", "line")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start, end, texts in text_blocks(batch, "_text"):
-            spans = batch.column("_spans").slice(start, end - start)
-            made = [cut_spans(None if t is None else t.decode("utf-8", "surrogatepass"), s.as_py() or []) for t, s in zip(texts, spans, strict=True)]
-            block = batch.slice(start, end - start)
-            columns = {n: block.column(n) for n in block.schema.names if n not in ("_text", "_spans")}
-            columns["_out"] = pa.array([m[0] for m in made], pa.string())
-            columns["removed"] = pa.array([m[1] for m in made], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _met(units: DataFrame, facts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The units whose digest is in ``facts``, with these; ``counts`` says how many units have a digest."""
+    hot = attach(units, counts.filter(F.col("held") > HOT_ROWS).select("digest", F.lit(True).alias("_hot")), ["digest"], "left")
+    few = facts.join(counts.filter(F.col("held") > HOT_ROWS).select("digest"), "digest", "left_semi")
+    there = attach(hot.filter("_hot").drop("_hot"), few, ["digest"])
+    return there.unionByName(hot.filter("_hot is null").drop("_hot").join(facts, "digest"))
+
+
+def _cut(text_column: str, spans_column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, texts in text_blocks(batch, text_column):
+                block = batch.slice(start, end - start)
+                made = [cut_spans(None if t is None else t.decode("utf-8", "surrogatepass"), s.as_py() or []) for t, s in zip(texts, block.column(spans_column), strict=True)]
+                columns = {n: block.column(n) for n in block.schema.names if n != spans_column}
+                columns[text_column] = pa.array([m[0] for m in made], pa.string())
+                columns["removed"] = pa.array([m[1] for m in made], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
+
+
+_BLANK = " \t\r\x0b\x0c"
+
+
+def _whole_line(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The line, its end included, if nothing but blanks is left of it beside the span."""
+    while start and text[start - 1] in _BLANK:
+        start -= 1
+    while end < len(text) and text[end] in _BLANK:
+        end += 1
+    if (start and text[start - 1] != "\n") or (end < len(text) and text[end] != "\n"):
+        return None
+    return start, min(end + 1, len(text))
 
 
 def cut_spans(text: str | None, spans: list[dict]) -> tuple[str | None, list[dict]]:
@@ -106,16 +132,23 @@ def cut_spans(text: str | None, spans: list[dict]) -> tuple[str | None, list[dic
     """
     if text is None or not spans:
         return text, []
-    joined: list[list[int]] = []
+    joined: list[tuple[int, int]] = []
     for s, e in sorted((x["start"], x["end"]) for x in spans):
+        # Spans with only blanks between them are one if they are all that their line holds.
         if joined and s <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], e)
+            joined[-1] = (joined[-1][0], max(joined[-1][1], e))
         else:
-            joined.append([s, e])
+            joined.append((s, e))
+    runs: list[list[tuple[int, int]]] = []
     for span in joined:
-        left = span[0] == 0 or text[span[0] - 1] == "\n"
-        if left and span[1] < len(text) and text[span[1]] == "\n":
-            span[1] += 1
+        if runs and not text[runs[-1][-1][1] : span[0]].strip(_BLANK):
+            runs[-1].append(span)
+        else:
+            runs.append([span])
+    joined = []
+    for run in runs:
+        line = _whole_line(text, run[0][0], run[-1][1])
+        joined += run if line is None else [line]
     out, at, ranges = [], 0, []
     for s, e in joined:
         out.append(text[at:s])
@@ -130,17 +163,15 @@ def cut_spans(text: str | None, spans: list[dict]) -> tuple[str | None, list[dic
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated units cut out of the text, and ``removed``: the ranges of the original text."""
     plain = fresh(docs, "removed")
+    row, spans_name = free_name(plain, "_row_of_text"), free_name(plain, "_spans_of_text")
     spans = (
         repeated_units(plain, id_column, text_column, min_words)
-        .select("_row", "start", "end")
+        .select(F.col("_row").alias(row), "start", "end")
         .distinct()
-        .groupBy("_row")
-        .agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+        .groupBy(row)
+        .agg(F.collect_list(F.struct("start", "end")).alias(spans_name))
     )
-    keyed = plain.withColumn("_row", row_key(id_column, text_column)).withColumnRenamed(text_column, "_text")
-    joined = keyed.join(spans, "_row", "left").drop("_row")
-    rest = [f for f in joined.schema.fields if f.name not in ("_text", "_spans")]
+    joined = plain.withColumn(row, row_key(id_column, text_column)).join(spans, row, "left").drop(row)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*rest, T.StructField("_out", T.StringType()), T.StructField("removed", span)])
-    order = [c if c != text_column else F.col("_out").alias(text_column) for c in plain.columns]
-    return joined.mapInArrow(_cut, schema).select(*order, "removed")
+    schema = T.StructType([*[f for f in joined.schema.fields if f.name != spans_name], T.StructField("removed", span)])
+    return joined.mapInArrow(_cut(text_column, spans_name), schema).select(*plain.columns, "removed")

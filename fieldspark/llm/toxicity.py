@@ -7,22 +7,24 @@
 3. The generative model over these counts is fitted by expectation maximisation: class balance, the accuracies of all
    voters, and for strongly correlated voters a dependence on one other voter (a forest chosen by conditional mutual
    information). Its posterior is the label of a text.
-4. A logistic classifier over words and stems is trained on the posteriors and scores every whole text.
+4. A logistic classifier over all words and stems with enough texts is trained on the posteriors and scores every whole text.
 
 Labels are read only from rows whose crc32(id as text) mod 4 is not 2. Labels, language, source and id are no inputs
 of a score. Copies of a text say nothing new: lists, pattern counts and classifier take each distinct text once, a text
 whose copies differ in label once per label. Learned lists come from all labelled training texts and have no fixed size:
 at most the mean number of features of a toxic text, times about 125, can reach the support. Bound: the classifier is
-fitted on at most about ``SAMPLE`` distinct training texts (chosen by a hash of the text).
+fitted on at most about ``SAMPLE`` distinct training texts (chosen by a hash of the text); which features it has, only
+their support among these texts decides, and each text goes to the driver as packed numbers of its features.
 
 Defined cases: NULL, empty and blank texts have no words and get the classifier's base score; NULL labels and labels
 without a document are ignored, of several labels of a document the highest counts; repeated rows get equal scores; rows
 with a NULL id are scored and are not held out; an empty table gives an empty result; with no labels at all the fixed
-voters alone make the labels; columns of the input named like a result column are replaced.
+voters alone make the labels; columns of the input named like a result column are replaced, all others may have any name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,10 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.text import attach, fresh, remainder, ship, spooled, text_blocks
+from fieldspark.llm.text import attach, free_name, fresh, remainder, ship, spooled, text_blocks
 
 SAMPLE = 20_000
-FEATURES = 500
+# Distinct texts that a feature of the classifier stands in, at least, and that share of the toxic ones.
+SUPPORT = 5
+SUPPORT_SHARE = 0.01
 THRESHOLD = 0.3
 STEMS = (4, 5, 6)
 
@@ -140,24 +144,27 @@ def _feature_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _feature_rows(table: dict[bytes, int]):
+    """The label and the packed numbers of the features of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(table)
         for batch in batches:
             for start, end, texts in text_blocks(batch, "_text"):
                 hits = finder.of_block([tokens_of(t) for t in texts])
-                rows = [sorted(table[f] for f in h) for h in hits]
-                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(start, end - start), pa.array(rows, pa.list_(pa.int32()))], names=["_y", "features"])
+                rows = [np.array(sorted(table[f] for f in h), dtype=np.int32).tobytes() for h in hits]
+                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(start, end - start), pa.array(rows, pa.binary())], names=["_y", "features"])
 
     return run
 
 
-def _scores(weights: dict[bytes, float], bias: float, keep: list[str]):
+def _scores(weights: dict[bytes, float], bias: float, keep: list[str], text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(weights)
         for batch in batches:
-            for start, end, texts in text_blocks(batch, "_text"):
+            for start, end, texts in text_blocks(batch, text_column):
                 hits = finder.of_block([tokens_of(t) for t in texts])
-                z = np.array([bias + sum(sorted(weights[f] for f in h)) for h in hits], dtype=float)
+                # An exact sum does not depend on the order of a set.
+                z = np.array([bias + math.fsum(map(weights.__getitem__, h)) for h in hits], dtype=float)
                 score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 columns = {n: batch.column(n).slice(start, end - start) for n in keep}
                 yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(score)], names=[*columns, "score"])
@@ -246,19 +253,29 @@ def _correlated(bits: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> dic
     return parents
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, size: int, penalty: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on probabilistic labels with an L2 penalty, by gradient steps with momentum."""
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, penalty: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression on probabilistic labels with an L2 penalty, by gradient steps with momentum.
+
+    A row holds the numbers of its features. Sums run over pieces of bounded length.
+    """
     count = len(rows)
     if count == 0:
         return np.zeros(size), -2.0
-    doc = np.repeat(np.arange(count), [len(r) for r in rows])
-    at = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=len(doc))
+    pieces, piece, held = [], [], 0
+    for k, row in enumerate(rows):
+        piece.append((k, row))
+        held += len(row)
+        if held > 1_000_000 or k == count - 1:
+            doc = np.repeat(np.array([j for j, _ in piece], dtype=np.int32), [len(r) for _, r in piece])
+            pieces.append((doc, np.concatenate([r for _, r in piece])))
+            piece, held = [], 0
     weight, bias = np.zeros(size), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(doc, weights=weight[at], minlength=count)
+        z = bias + sum(np.bincount(doc, weights=weight[at], minlength=count) for doc, at in pieces)
         off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        slope = np.append(np.bincount(at, weights=off[doc], minlength=size) + penalty * weight, off.sum()) / count
+        pull = sum(np.bincount(at, weights=off[doc], minlength=size) for doc, at in pieces)
+        slope = np.append(pull + penalty * weight, off.sum()) / count
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         weight, bias = weight - move[:-1], bias - move[-1]
@@ -276,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     labelled = spooled(attach(source, known, ["_id"]).select("_h", "_text", "_y").dropDuplicates(["_h", "_y"]))
     n_toxic = labelled.agg(F.coalesce(F.sum("_y"), F.lit(0.0))).first()[0]
     # A listed word stands in at least five distinct texts and about one of a hundred toxic ones.
-    marked = _sums(labelled.select("_text", "_y"), max(5, int(0.01 * n_toxic)))
+    marked = _sums(labelled.select("_text", "_y"), max(SUPPORT, int(SUPPORT_SHARE * n_toxic)))
     rate = (F.col("label_sum") + 0.1) / (F.col("texts") + 1.0)
     lists = marked.filter(rate >= 0.8).select("feature").collect()
     for row in lists:
@@ -306,12 +323,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     # At most about ``sample`` rows of a few bytes, so the broadcast is bounded.
     few = texts.filter(lot < share).withColumn("_y", _lookup(masks, post)).select("_h", "_y")
     chosen = spooled(source.join(F.broadcast(few), "_h").select("_h", "_text", "_y").dropDuplicates(["_h"])).select("_text", "_y")
-    base = float(sum(post * sum(counts))) / max(1, total)
-    excess = (F.col("label_sum") - base * F.col("texts")) / F.sqrt(F.col("texts") * max(1e-6, base * (1 - base)))
-    best = _sums(chosen, max(5, int(0.01 * n_toxic * share))).select("feature", excess.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
-    place = {bytes(r["feature"]): k for k, r in enumerate(sorted(best, key=lambda r: bytes(r["feature"])))}
-    rows = chosen.mapInArrow(_feature_rows(place), "_y double, features array<int>").orderBy("_y", "features").collect()
-    weight, model.bias = fit_linear([r["features"] for r in rows], np.array([r["_y"] for r in rows]), len(place))
+    found = _sums(chosen, max(SUPPORT, int(SUPPORT_SHARE * n_toxic * share))).select("feature").collect()
+    place = {f: k for k, f in enumerate(sorted(bytes(r["feature"]) for r in found))}
+    rows = [(r["_y"], bytes(r["features"])) for r in chosen.mapInArrow(_feature_rows(place), "_y double, features binary").collect()]
+    rows.sort()
+    weight, model.bias = fit_linear([np.frombuffer(f, dtype=np.int32) for _, f in rows], np.array([y for y, _ in rows]), len(place))
     model.weights = {f: float(weight[k]) for f, k in place.items()}
     return model
 
@@ -324,10 +340,11 @@ def _lookup(masks: np.ndarray, post: np.ndarray) -> Column:
 def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (default all) with held_out, score and predicted."""
     ship(docs.sparkSession)
-    plain = fresh(docs, "held_out", "score", "predicted")
-    keep = plain.columns if keep is None else keep
-    source = plain.select(*keep, F.col(text_column).alias("_text"))
-    schema = T.StructType([*plain.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
-    scored = source.mapInArrow(_scores(model.weights, model.bias, keep), schema)
-    held = F.coalesce(remainder(id_column, 4) == 2, F.lit(False))
-    return scored.select(*keep, held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    made = ("held_out", "score", "predicted")
+    rest = fresh(docs, *made).columns
+    keep = rest if keep is None else [c for c in keep if c in rest]
+    held = free_name(docs, "_held_out")
+    source = docs.select(*dict.fromkeys([*keep, text_column]), F.coalesce(remainder(id_column, 4) == 2, F.lit(False)).alias(held))
+    schema = T.StructType([*source.select(*keep, held).schema.fields, T.StructField("score", T.DoubleType())])
+    scored = source.mapInArrow(_scores(model.weights, model.bias, [*keep, held], text_column), schema)
+    return scored.select(*keep, F.col(held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -9,7 +9,8 @@
 
 Defined cases: a NULL url or one without ``://`` has an empty host and path and no canonical form, so it is not listed;
 NULL and repeated list entries count once or not at all; repeated pages get equal verdicts; empty tables give empty
-results, an empty list blocks nothing; columns of the input named like a result column are replaced.
+results, an empty list blocks nothing; columns of the input named like a result column are replaced, all others may
+have any name.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.text import ascii_lower, attach, fresh, spooled
+from fieldspark.llm.text import ascii_lower, attach, free_name, fresh, spooled
 
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
@@ -49,7 +50,8 @@ def canonical(url: Column) -> Column:
 def rule_verdicts(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Column]:
     """The longest fitting rule, and its verdict; NULL for both if none fits. Of equal lengths the first one listed counts."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, word in sorted(rules.items(), key=lambda r: len(r[0])):
+    # Later ones overrule earlier ones: shorter rules come first, and of equal ones the last listed.
+    for name, word in sorted(reversed(rules.items()), key=lambda r: len(r[0])):
         where, slash, rest = name.partition("/")
         fits = ((host == where) | host.endswith("." + where)) & path.startswith(slash + rest)
         rule, verdict = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(word)).otherwise(verdict)
@@ -74,20 +76,21 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 
 def filter_urls(pages: DataFrame, listed_urls: DataFrame, url_column: str = "url", list_column: str = "url", rules: dict[str, str] | None = None) -> DataFrame:
     """The pages with host, path, canonical, rule, listed and verdict; listed_urls needs ``list_column`` only."""
-    pages = fresh(pages, "host", "path", "canonical", "rule", "listed", "verdict", "possible")
+    pages = fresh(pages, "host", "path", "canonical", "rule", "listed", "verdict")
     listed = spooled(listed_urls.select(canonical(F.col(list_column)).alias("canonical")).filter("canonical is not null").distinct())
     count = listed.count()
     blocks = max(1, -(-count * BITS_PER_URL // (64 * WORDS)))
-    table = bloom_blocks(listed, blocks)
+    block, words, possible, found = (free_name(pages, n) for n in ("_block", "_words", "_possible", "_found"))
+    table = bloom_blocks(listed, blocks).select(F.col("block").alias(block), F.array(*[f"w{k}" for k in range(WORDS)]).alias(words))
     url = F.col(url_column)
-    named = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("canonical", canonical(url))
-    probed = attach(named.withColumn("block", _block(F.col("canonical"), blocks)), table, ["block"], "left")
+    named = pages.withColumns({"host": host_of(url), "path": path_of(url), "canonical": canonical(url)})
+    probed = attach(named.withColumn(block, _block(F.col("canonical"), blocks)), table, [block], "left")
     hit = F.lit(True)
     for k, bit in enumerate(_bits(F.col("canonical"))):
-        hit = hit & (F.col(f"w{k}").bitwiseAND(bit) == bit)
-    probed = probed.withColumn("possible", F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False))).drop("block", *[f"w{k}" for k in range(WORDS)])
-    hits = probed.filter("possible").join(listed.withColumn("_in", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("_in", F.lit(False))).drop("_in")
-    judged = hits.unionByName(probed.filter(~F.col("possible")).withColumn("listed", F.lit(False)))
+        hit = hit & (F.col(words)[k].bitwiseAND(bit) == bit)
+    probed = probed.withColumn(possible, F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False))).drop(block, words)
+    hits = probed.filter(possible).join(listed.withColumn(found, F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce(found, F.lit(False))).drop(found)
+    judged = hits.unionByName(probed.filter(~F.col(possible)).withColumn("listed", F.lit(False)))
     rule, verdict = rule_verdicts(F.col("host"), F.col("path"), rules or {})
     by_list = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_list)).select(*pages.columns, "host", "path", "canonical", "rule", "listed", "verdict")

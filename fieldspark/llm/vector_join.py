@@ -3,8 +3,8 @@
 1. Every usable vector is scaled to length 1, so cosine >= c means distance <= eps = sqrt(2 - 2c). Equal vectors are one
    representative with a multiplicity, so exact copies never meet as pairs.
 2. Spark adds up the second moments of all representatives; their leading eigenvectors are the principal axes.
-3. The representatives are put into epsilon grid order: cells of side eps along the axes, compared axis by axis. Range
-   partitions of the order are cut into tiles of at most ``TILE`` vectors.
+3. The representatives are put into epsilon grid order: cells of side eps along the axes, compared axis by axis. They are
+   numbered through range partitions of the order, which is cut into tiles of ``TILE`` vectors.
 4. Sequence intervals are joined recursively. An interval is described by its bounds along the axes and by the bounds of
    the lengths left over; two intervals whose bounds are further apart than eps hold no link, and nothing below
    them is looked at. From all tiles down to pairs of tiles these are equi-joins of the small tables of bounds; inside a
@@ -33,16 +33,18 @@ from pyspark.sql import types as T
 
 from fieldspark.llm.near_duplicates import components
 from fieldspark.llm.text import attach, ship, spooled
+from fieldspark.operators.ordered import number_rows
 
 COSINE = 0.95
 TILE = 16_384
 LEAF = 128
+# Vectors of a range partition in which they are numbered, where there are more than the session's partitions.
+RUN_ROWS = 200_000
 AXES = 8
 # Only so many leading components of a vector shape the axes; any axes are valid.
 SHAPING = 512
 # Tiles and runs are grouped by this power of two from level to level.
 _STEP = 2
-_ROW_BITS = 33
 # Cosines this close to the threshold are computed once more, from the unscaled vectors.
 _NEAR = 1e-12
 
@@ -285,14 +287,12 @@ def near_vector_classes(
     n = axes.shape[1]
     side = float(np.sqrt(squared_reach(cosine)))
     placed = reps.mapInArrow(_placed(width, mean, axes), T.StructType([*reps.schema.fields, *[T.StructField(f"p{k}", T.DoubleType()) for k in range(n + 1)]]))
-    cells = [F.floor(F.col(f"p{k}") / side) for k in range(n)]
-    # The written table fixes the order; the digest tells rows of one cell apart, so no cell is too large for a tile.
-    parts = max(1, -(-count // tile))
-    ordered = placed.repartitionByRange(parts, *cells, "digest").sortWithinPartitions(*cells, "digest")
-    ordered = spooled(ordered.withColumn("seq", F.monotonically_increasing_id()))
-    run = F.floor(F.col("seq").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) / tile)
-    most = ordered.agg(F.coalesce(F.max(run), F.lit(0))).first()[0]
-    ordered = ordered.withColumn("tile", F.shiftleft(F.shiftright("seq", _ROW_BITS), int(most).bit_length()) + run)
+    # The digest tells rows of one cell apart, so no cell is too large for a tile. Tiles are cut by the number of a row in
+    # the whole order, so their size does not depend on the partitions.
+    cells = {f"c{k}": F.floor(F.col(f"p{k}") / side) for k in range(n)}
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // RUN_ROWS)
+    ordered = number_rows(placed.withColumns({"whole": F.lit(0), **cells}), ["whole"], [*cells, "digest"], parts)
+    ordered = ordered.withColumn("seq", F.col("_rn") - 1).withColumn("tile", F.floor(F.col("seq") / tile)).drop("whole", "_rn", "_n", *cells)
     spans = [f(f"p{k}").alias(f"{e}{k}") for e, f in (("l", F.min), ("h", F.max)) for k in range(n + 1)]
     pairs = spooled(interval_pairs(spooled(ordered.groupBy("tile").agg(*spans)), squared_reach(cosine)))
     found = spooled(_links(ordered, pairs, cosine, width, mean, axes))
