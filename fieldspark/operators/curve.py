@@ -21,28 +21,71 @@ from fieldspark.operators.stats import (
 )
 from fieldspark.plans.scale import attach, durable
 
-TIME_BINS = 64
+# The curve's times are cut into 2^LEVELS bins of about equal counts.
+LEVELS = 8
+# Ranges of one time stretch that are met in one place, at least; more are dealt out, so that none holds above this share.
+STRETCH_ROWS = 64
+STRETCH_SHARE = 1 / 200
+
+
+def time_bins(curve: DataFrame, time: str, levels: int = LEVELS) -> list[float]:
+    """Bounds between the bins: quantiles of the curve's times."""
+    shares = [k / (1 << levels) for k in range(1, 1 << levels)]
+    found = curve.agg(F.percentile_approx(time, F.array(*map(F.lit, shares)), 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def _bin_of(value: Column, bounds: Sequence[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value)) if bounds else F.lit(0)
+
+
+def range_stretches(ranges: DataFrame, bounds: Sequence[float], levels: int = LEVELS) -> DataFrame:
+    """The ranges (_lo, _hi) with the stretches (_level, _node) that they consist of.
+
+    A stretch of level k is 2^k bins, aligned. Every range is the union of at most two stretches a level, whatever its
+    length, and every bin lies in one stretch a level.
+    """
+    low, after = _bin_of(F.col("_lo"), bounds), _bin_of(F.col("_hi"), bounds) + 1
+    cut = ranges.withColumns({"_first": low, "_after": after})
+    stretches = []
+    for k in range(levels + 1):
+        left, right = F.ceil(F.col("_first") / (1 << k)), F.floor(F.col("_after") / (1 << k))
+        there = left < right
+        top = F.lit(k == levels)
+        for node, here in ((left, (left % 2 == 1) | top), (right - 1, (right % 2 == 1) & ~top)):
+            stretches.append(F.when(there & here, F.struct(F.lit(k).alias("_level"), node.cast("int").alias("_node"))))
+    return cut.select(*ranges.columns, F.inline(F.array_compact(F.array(*stretches))))
+
+
+def met_ranges(curve: DataFrame, ranges: DataFrame, time: str, share: float = STRETCH_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join of curve points with the ranges around them, on (_level, _node, _salt).
+
+    Stretches with many ranges are salted: their ranges are dealt out and the few points of the curve are repeated.
+    """
+    bounds = time_bins(curve, time)
+    pieces = durable(range_stretches(ranges, bounds))
+    counts = durable(pieces.groupBy("_level", "_node").agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    salts = counts.select("_level", "_node", F.ceil(F.col("_rows") / max(STRETCH_ROWS, int(total * share))).cast("int").alias("_salts"))
+    place = ["_level", "_node"]
+    keys = [c for c in ranges.columns if c not in ("_lo", "_hi")]
+    dealt = attach(pieces, salts, place).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.col("_salts").cast("long")).cast("int")).drop("_salts")
+    at = curve.withColumn("_bin", _bin_of(F.col(time), bounds))
+    at = at.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("_node", F.expr("shiftright(_bin, _level)"))
+    repeated = attach(at.drop("_bin"), salts, place).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return dealt, repeated
 
 
 def curve_for_each_key(curve: DataFrame, series: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Give every key the curve points inside its own time range.
 
-    Ranges are spread over equal time bins, so points meet ranges by an equi-join
-    on the bin and no point is paired with a key it does not overlap.
+    Ranges consist of few aligned stretches of time bins, so points meet ranges by an equi-join on the stretch and no
+    point is paired with a key it does not overlap, but at the two ends of a range.
     """
-    ranges = durable(series.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi")))
-    lo, hi = ranges.agg(F.min("_lo"), F.max("_hi")).first()
-    if lo is None:  # no series, hence no overlap
-        lo = hi = 0.0
-    width = (hi - lo) / TIME_BINS or 1.0
-
-    def bin_of(value: Column) -> Column:
-        return F.least(F.floor((value - lo) / width), F.lit(TIME_BINS)).cast("int")
-
-    spread = ranges.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.col("_hi")))))
-    inside = curve.filter(F.col(time).between(lo, hi)).withColumn("_bin", bin_of(F.col(time)))
-    met = attach(inside, spread, ["_bin"]).filter(F.col(time).between(F.col("_lo"), F.col("_hi")))
-    return met.drop("_bin", "_lo", "_hi")
+    ranges = durable(series.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi")).filter("_lo is not null"))
+    dealt, repeated = met_ranges(curve, ranges, time)
+    met = repeated.join(dealt, ["_level", "_node", "_salt"]).filter(F.col(time).between(F.col("_lo"), F.col("_hi")))
+    return met.drop("_level", "_node", "_salt", "_lo", "_hi")
 
 
 def interpolate_at_curve(

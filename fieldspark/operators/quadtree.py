@@ -146,12 +146,14 @@ def _search_steps(tree_cells: DataFrame, leaves: DataFrame, keys: Sequence[str],
 
 
 def candidate_leaves(
-    tree: Tree, queries: DataFrame, query_id: Sequence[str], qx: str, qz: str, within: str | None = None
+    tree: Tree, queries: DataFrame, query_id: Sequence[str], qx: str, qz: str, within: str | None = None, direction: bool = False
 ) -> DataFrame:
     """Leaves that may hold the point nearest to each query: ``_lv, _lx, _lz``, ``_near`` and ``_bound``.
 
-    ``within`` names a column with a squared distance beyond which points do not matter.
+    ``within`` names a column with a squared distance beyond which points do not matter. With ``direction`` a query is a
+    unit vector, and the least is that of the negative height of a point along it, so the farthest point is found.
     """
+    spans = _cell_heights if direction else _cell_distances
     ids = [*tree.keys, *query_id]
     zero = F.lit(0).cast("long")
     rows = attach(queries, tree.box.drop("_count"), tree.keys)
@@ -162,15 +164,20 @@ def candidate_leaves(
     else:
         rows = rows.withColumn("_bound", F.lit(inf))
     rows = rows.withColumns({"level": F.lit(0), "cx": zero, "cz": zero})
-    rows = rows.withColumns(_cell_distances(qx, qz))
+    rows = rows.withColumns(spans(qx, qz))
     for _ in range(ceil(tree.depth / STRIDE)):
         rows = rows.withColumnsRenamed({"level": "_from", "cx": "_fx", "cz": "_fz"}).drop("_near", "_far")
         rows = attach(rows, tree.steps, [*tree.keys, "_from", "_fx", "_fz"]).drop("_from", "_fx", "_fz")
         # The bound of the step before drops most cells before the shuffle.
-        rows = rows.withColumns(_cell_distances(qx, qz)).filter(F.col("_near") <= F.col("_bound"))
+        rows = rows.withColumns(spans(qx, qz)).filter(F.col("_near") <= F.col("_bound"))
         nearest_far = F.min("_far").over(Window.partitionBy(*ids))
-        size = F.col("_xs") * F.col("_xs") + F.col("_zs") * F.col("_zs")
-        rows = rows.withColumn("_bound", F.least(F.col("_bound"), nearest_far * (1 + SLACK) + SLACK * SLACK * size))
+        if direction:
+            size = F.col("_xs") + F.col("_zs") + F.abs("_x0") + F.abs("_z0")
+            reach = nearest_far + SLACK * size
+        else:
+            size = F.col("_xs") * F.col("_xs") + F.col("_zs") * F.col("_zs")
+            reach = nearest_far * (1 + SLACK) + SLACK * SLACK * size
+        rows = rows.withColumn("_bound", F.least(F.col("_bound"), reach))
         rows = rows.filter(F.col("_near") <= F.col("_bound"))
     return rows.withColumnsRenamed({"level": "_lv", "cx": "_lx", "cz": "_lz"}).drop(
         "_x0", "_xs", "_z0", "_zs", "_far"
@@ -205,6 +212,36 @@ def _cell_distances(qx: str, qz: str) -> dict[str, Column]:
     return {"_near": near, "_far": far}
 
 
+def _cell_heights(dx: str, dz: str) -> dict[str, Column]:
+    """Least and greatest negative height of a cell's places along a direction."""
+    cells = F.pow(F.lit(2.0), F.col("level").cast("double"))
+    near, far = F.lit(0.0), F.lit(0.0)
+    for d, low, span, index in ((dx, "_x0", "_xs", "cx"), (dz, "_z0", "_zs", "cz")):
+        lo = F.col(low) + F.col(index) * (F.col(span) / cells)
+        ends = F.col(d) * lo, F.col(d) * (lo + F.col(span) / cells)
+        near, far = near - F.greatest(*ends), far - F.least(*ends)
+    return {"_near": near, "_far": far}
+
+
+def farthest_points(
+    tree: Tree, queries: DataFrame, query_id: Sequence[str], dx: str, dz: str, payload: Sequence[str], beyond: str
+) -> DataFrame:
+    """Per query, a direction of length one, the point farthest along it and the payload columns.
+
+    Queries without a point whose height is at least ``beyond`` are absent from the result.
+    """
+    ids = [*tree.keys, *query_id]
+    asked = queries.select(*ids, F.col(dx).alias("_qx"), F.col(dz).alias("_qz"), (-F.col(beyond)).alias("_within"))
+    leaves = candidate_leaves(tree, asked, query_id, "_qx", "_qz", "_within", direction=True)
+    place = [F.col(tree.x).alias("_pt_x"), F.col(tree.z).alias("_pt_z")]
+    points = tree.points.select(*tree.keys, "_lv", "_lx", "_lz", *place, *payload)
+    met = leaves.join(points, [*tree.keys, "_lv", "_lx", "_lz"])
+    met = met.withColumn("_low", -(F.col("_qx") * F.col("_pt_x") + F.col("_qz") * F.col("_pt_z")))
+    met = met.filter(F.col("_low") <= F.col("_within"))
+    best = F.min(F.struct("_low", "_pt_z", "_pt_x", *payload)).alias("_best")
+    return met.groupBy(*ids).agg(best).select(*ids, *(F.col(f"_best.{c}").alias(c) for c in payload))
+
+
 def nearest_points(
     tree: Tree,
     queries: DataFrame,

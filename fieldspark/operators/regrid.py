@@ -27,13 +27,12 @@ from pyspark.sql import types as T
 from fieldspark.functions import finite
 from fieldspark.operators import triangles as tri
 from fieldspark.operators.grid import DEDUP_DECIMALS, average_duplicates
-from fieldspark.operators.quadtree import Tree, build_tree, candidate_leaves, nearest_points
+from fieldspark.operators.quadtree import Tree, build_tree, candidate_leaves, farthest_points, nearest_points
 from fieldspark.plans.scale import attach, durable, ship
 
 NEAREST_LEAF = 256
 TILE_POINTS = 512
 TILE_NODES = 4096
-HULL_SALTS = 64
 SHEAR = 1e-7
 NODE = ["iz", "ix"]
 
@@ -110,40 +109,15 @@ def _nearest(points: DataFrame, nodes: DataFrame, keys: list[str], fields: list[
     return found.select(*keys, *NODE, "x", "z", *fields)
 
 
-# --- linear: hulls --------------------------------------------------------------------
+# --- linear: two points that every tile knows --------------------------------------------
 
 
-def _hull_rows(frame: pd.DataFrame) -> pd.DataFrame:
-    xz = frame[["_X", "_Z"]].to_numpy()
-    kept = tri.thin(xz) if len(xz) > 64 else np.arange(len(xz))
-    return frame.iloc[kept[tri.hull_indices(xz[kept])]]
-
-
-def convex_hulls(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Hull corners of each key in order (``_pos``), reduced per partition before any shuffle."""
-    columns = points.columns
-
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
-        for batch in batches:
-            for key, rows in batch.groupby(keys, sort=False, dropna=False):
-                rows = pd.concat([kept[key], rows]) if key in kept else rows
-                kept[key] = _hull_rows(rows)
-        yield from kept.values()
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return _hull_rows(rows)[columns]
-
-    def merge_last(rows: pd.DataFrame) -> pd.DataFrame:
-        corners = _hull_rows(rows)
-        return corners[columns].assign(_pos=np.arange(len(corners), dtype="int32"))
-
-    partial = points.mapInPandas(per_partition, points.schema)
-    salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(HULL_SALTS)))
-    merged = salted.groupBy(*keys, "_salt").applyInPandas(merge, points.schema)
-    return merged.groupBy(*keys).applyInPandas(
-        merge_last, T.StructType([*points.schema.fields, T.StructField("_pos", T.IntegerType())])
-    )
+def outermost(points: DataFrame, keys: list[str]) -> DataFrame:
+    """The first and the last point of each key by (X, Z): any place lies on one side of the edge between them."""
+    place = F.struct("_X", "_Z")
+    ends = points.groupBy(*keys).agg(F.min(F.struct(place.alias("at"), "_values")).alias("first"), F.max(F.struct(place.alias("at"), "_values")).alias("last"))
+    each = ends.select(*keys, F.explode(F.array("first", "last")).alias("e"))
+    return each.select(*keys, F.col("e.at._X").alias("_X"), F.col("e.at._Z").alias("_Z"), F.col("e._values").alias("_values"))
 
 
 # --- linear: one tile -------------------------------------------------------------------
@@ -161,6 +135,7 @@ def _state_schema(keys: list[str], nodes: DataFrame) -> T.StructType:
             *(T.StructField(n, T.DoubleType()) for n in numbers),
             *(T.StructField(f"{c}v", T.ArrayType(T.DoubleType())) for c in CORNERS),
             T.StructField("_inside", T.BooleanType()),
+            T.StructField("_turned", T.BooleanType()),
             T.StructField("_final", T.BooleanType()),
         ]
     )
@@ -170,27 +145,28 @@ def _tile_solver(columns: list[str]):
     def solve(nodes: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if nodes.empty:
             return pd.DataFrame(columns=columns)
-        hull = points[points["_pos"] >= 0].sort_values("_pos")
-        cloud = pd.concat([hull, points[points["_pos"] < 0]])
-        places, xz = nodes[["_X", "_Z"]].to_numpy(), cloud[["_X", "_Z"]].to_numpy()
+        places, xz = nodes[["_X", "_Z"]].to_numpy(), points[["_X", "_Z"]].to_numpy()
         origin = places.mean(axis=0)
         places, xz = places - origin, xz - origin
-        start = tri.first_triangles(places, xz[: len(hull)])
-        inside = start[:, 0] >= 0
+        corner = tri.first_triangles(places, xz)
+        inside = corner[:, 2] >= 0
         shifted = places.copy()
-        shifted[inside] = tri.nudge(places[inside], xz[start[inside]])
-        corner = np.full_like(start, 0)
-        corner[inside] = tri.triangulate_around(shifted[inside], xz, start[inside])
+        shifted[inside] = tri.nudge(places[inside], xz[corner[inside]])
+        corner[inside] = tri.triangulate_around(shifted[inside], xz, corner[inside])
 
         out = nodes[[c for c in columns if c in nodes.columns]].copy()
         out["_qx"], out["_qz"] = shifted[:, 0] + origin[0], shifted[:, 1] + origin[1]
-        values = cloud["_values"].to_numpy()
+        # One more entry, which -1 names: the corner at infinity.
+        xz = np.vstack([xz, np.full((1, 2), np.nan)])
+        values = [*points["_values"], None]
         for k, name in enumerate(CORNERS):
-            out[f"{name}x"] = xz[corner[:, k], 0] + origin[0] if len(xz) else np.nan
-            out[f"{name}z"] = xz[corner[:, k], 1] + origin[1] if len(xz) else np.nan
-            out[f"{name}v"] = list(values[corner[:, k]])
-        out["_inside"] = inside
-        out["_final"] = ~inside | _circle_within(nodes, xz[corner], origin)
+            out[f"{name}x"], out[f"{name}z"] = (xz[corner[:, k], axis] + origin[axis] for axis in (0, 1))
+            out[f"{name}v"] = [values[c] for c in corner[:, k]]
+        # An edge may be turned once more, when all points have a say.
+        out["_inside"], out["_turned"] = inside, False
+        # The circle of an outer triangle is a half-plane, and that of a key with one point is nothing.
+        everywhere = np.isinf(nodes[["_safe_x0", "_safe_x1", "_safe_z0", "_safe_z1"]].to_numpy()).all(axis=1)
+        out["_final"] = np.where(inside, _circle_within(nodes, xz[corner], origin), everywhere | (corner[:, 0] < 0))
         return out[columns]
 
     return solve
@@ -288,7 +264,7 @@ def _linear(
     cloud = _sheared(points).select(*keys, "_X", "_Z", F.array(*fields).alias("_values"))
     nodes = _sheared(nodes).select(*keys, *NODE, "x", "z", "_X", "_Z")
     tree = build_tree(cloud, keys, "_X", "_Z", tile_points)
-    hulls = durable(convex_hulls(cloud, keys))
+    ends = durable(outermost(cloud, keys))
 
     own_tile = ["_lv", "_lx", "_lz"]
     if tree.depth == 0:
@@ -320,11 +296,8 @@ def _linear(
         "_chunk", F.pmod(node_hash, F.col("_chunks").cast("long")).cast("int")
     )
     spread = chunks.select(*keys, *own_tile, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
-    cloud_rows = lent.withColumn("_pos", F.lit(-1))
-    cloud_rows = attach(cloud_rows, spread, [*keys, *own_tile])
-    hull_rows = attach(spread, hulls, keys)
-    columns = [*keys, *TILE, "_X", "_Z", "_values", "_pos"]
-    supply = cloud_rows.select(*columns).unionByName(hull_rows.select(*columns))
+    columns = [*keys, *TILE, "_X", "_Z", "_values"]
+    supply = attach(lent, spread, [*keys, *own_tile]).select(*columns).unionByName(attach(spread, ends, keys).select(*columns))
     # Both sides of the grouping stem from the same tables, so one side gets fresh columns.
     supply = supply.select(*(F.col(c).alias(c) for c in columns))
 
@@ -343,39 +316,52 @@ def _linear(
 
 
 def _finish(state: DataFrame, tree: Tree, keys: list[str]) -> DataFrame:
-    """Improve the open triangles with the nearest point to their circle's centre until none is left."""
-    done = state.filter("_final")
-    pending = state.filter("NOT _final")
-    if pending.isEmpty():
-        return state
+    """Improve the open triangles until none is left: with the point nearest to the centre of the circle, or farthest beyond the edge.
+
+    Rows that are settled are written once; every round reads only the rows that are still open.
+    """
+    finished = [state.filter("_final")]
+    pending = durable(state.filter("NOT _final"))
     columns = state.columns
 
-    def with_circle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             corners = _corner_array(batch)
             offset = tri.circle_offset(corners[:, 0], corners[:, 1], corners[:, 2])
             centre = corners[:, 0] + offset
-            batch["_cx"], batch["_cz"] = centre[:, 0], centre[:, 1]
-            batch["_r2"] = (offset * offset).sum(-1) * (1 + 1e-9)
+            along = corners[:, 1] - corners[:, 0]
+            along /= np.hypot(*along.T)[:, None]
+            outer = ~batch["_inside"].to_numpy(dtype=bool)
+            batch["_cx"], batch["_cz"] = np.where(outer, -along[:, 1], centre[:, 0]), np.where(outer, along[:, 0], centre[:, 1])
+            height = -along[:, 1] * corners[:, 0, 0] + along[:, 0] * corners[:, 0, 1]
+            batch["_r2"] = np.where(outer, height, (offset * offset).sum(-1) * (1 + 1e-9))
             yield batch
 
     def improve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield _improved(batch.reset_index(drop=True))[columns]
 
-    circle = T.StructType([*state.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("_cx", "_cz", "_r2"))])
+    asked_schema = T.StructType([*state.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("_cx", "_cz", "_r2"))])
+    payload = ["_X", "_Z", "_values"]
+    sized = durable(tree.box.select(*keys, F.greatest("_xs", "_zs").alias("_size")))
     for _ in range(tri.MAX_EXCHANGES):
-        asked = pending.mapInPandas(with_circle, circle)
-        found = nearest_points(tree, asked, NODE, "_cx", "_cz", ["_X", "_Z", "_values"], within="_r2")
-        found = found.select(
+        kinds = {r["_inside"] for r in pending.select("_inside").distinct().collect()}
+        if not kinds:
+            return reduce(DataFrame.unionByName, finished)
+        asked = attach(pending.mapInPandas(asking, asked_schema), sized, keys)
+        found = []
+        if True in kinds:
+            found.append(nearest_points(tree, asked.filter("_inside"), NODE, "_cx", "_cz", payload, within="_r2").drop("_d2"))
+        if False in kinds:
+            outer = asked.filter("NOT _inside").withColumn("_beyond", F.col("_r2") + tri.INSIDE_TOLERANCE * F.col("_size"))
+            found.append(farthest_points(tree, outer, NODE, "_cx", "_cz", payload, beyond="_beyond"))
+        entering = reduce(DataFrame.unionByName, found).select(
             *keys, *NODE, F.col("_X").alias("_in_x"), F.col("_Z").alias("_in_z"), F.col("_values").alias("_in_v")
         )
-        joined = pending.join(found, [*keys, *NODE], "left")
+        joined = attach(pending, sized, keys).join(entering, [*keys, *NODE], "left")
         stepped = durable(joined.mapInPandas(improve, state.schema))
-        done = done.unionByName(stepped.filter("_final"))
+        finished.append(stepped.filter("_final"))
         pending = stepped.filter("NOT _final")
-        if pending.isEmpty():
-            return done
     raise RuntimeError("The search for an empty circle did not settle.")
 
 
@@ -385,19 +371,40 @@ def _corner_array(batch: pd.DataFrame) -> np.ndarray:
 
 def _improved(batch: pd.DataFrame) -> pd.DataFrame:
     corners, entering = _corner_array(batch), batch[["_in_x", "_in_z"]].to_numpy(dtype=float)
+    known, inside = ~np.isnan(entering[:, 0]), batch["_inside"].to_numpy(dtype=bool)
     offset = tri.circle_offset(corners[:, 0], corners[:, 1], corners[:, 2])
-    known = ~np.isnan(entering[:, 0])
-    moving = np.zeros(len(batch), dtype=bool)
-    moving[known] = tri.depth_inside(entering[known], corners[known, 0], offset[known]) > 0
+    moving = known & inside
+    moving[moving] = tri.depth_inside(entering[moving], corners[moving, 0], offset[moving]) > 0
     rows = np.flatnonzero(moving)
-    out = tri.exchange(batch[["_qx", "_qz"]].to_numpy()[rows], corners[rows], entering[rows])
+    _swap_in(batch, rows, tri.exchange(batch[["_qx", "_qz"]].to_numpy()[rows], corners[rows], entering[rows]))
+
+    # Outer triangles: the point found closes them, or gives an edge further out; an edge that a place lies on turns once.
+    slack = tri.INSIDE_TOLERANCE * batch["_size"].to_numpy(dtype=float)
+    place, a, b = batch[["_X", "_Z"]].to_numpy(), corners[:, 0], corners[:, 1]
+    closing = np.flatnonzero(known & ~inside)
+    step = tri.outer_step(place[closing], a[closing], b[closing], entering[closing], slack[closing])
+    _swap_in(batch, closing, np.array([2, 1, 0])[step])
+    shut = closing[step == 0]
+    moved = tri.nudge(place[shut], _corner_array(batch.loc[shut])) if len(shut) else np.zeros((0, 2))
+    batch.loc[shut, "_qx"], batch.loc[shut, "_qz"], batch.loc[shut, "_inside"] = moved[:, 0], moved[:, 1], True
+    turning = np.flatnonzero(~known & ~inside & ~batch["_turned"].to_numpy(dtype=bool) & (tri.edge_height(place, a, b) <= slack))
+    for of in ("x", "z", "v"):
+        first = batch.loc[turning, f"a{of}"].copy()
+        batch.loc[turning, f"a{of}"] = batch.loc[turning, f"b{of}"]
+        batch.loc[turning, f"b{of}"] = first
+    batch.loc[turning, "_turned"] = True
+    batch["_final"] = True
+    batch.loc[np.concatenate([rows, closing, turning]), "_final"] = False
+    return batch
+
+
+def _swap_in(batch: pd.DataFrame, rows: np.ndarray, corner: np.ndarray) -> None:
+    """Put the entering point of each row into the place of a corner (0, 1 or 2)."""
     for k, name in enumerate(CORNERS):
-        hit = rows[out == k]
+        hit = rows[corner == k]
         batch.loc[hit, f"{name}x"] = batch.loc[hit, "_in_x"]
         batch.loc[hit, f"{name}z"] = batch.loc[hit, "_in_z"]
         batch.loc[hit, f"{name}v"] = batch.loc[hit, "_in_v"]
-    batch["_final"] = ~moving
-    return batch
 
 
 # --- linear: values ----------------------------------------------------------------------

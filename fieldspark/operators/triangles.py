@@ -1,8 +1,10 @@
-"""Numpy helpers that run inside tasks: convex hulls and the triangle around a query.
+"""Numpy helpers that run inside tasks: the triangle around a place among some points.
 
-The Delaunay triangle around a place is found by exchange: start from a hull
-triangle that contains it, and while some point lies inside the circumcircle,
-swap in the deepest such point and keep the new triangle that contains the place.
+The Delaunay triangle around a place is found by exchange. It starts from an outer triangle: an edge between two points,
+with the place on its left, whose third corner lies at infinity and stands for "outside the hull". Its circle is the
+half-plane left of the edge. The deepest point there makes a triangle with the edge that holds the place, or one of two
+new edges beyond which the place lies. Without a point there the place is outside. From the first finite triangle on,
+the deepest point inside the circumcircle is swapped in until the circle is empty.
 """
 
 from __future__ import annotations
@@ -20,38 +22,6 @@ def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
 
 
-def hull_indices(points: np.ndarray) -> np.ndarray:
-    """Indices of the strict convex hull corners, counter-clockwise from the lowest (x, z)."""
-    order = np.lexsort((points[:, 1], points[:, 0]))
-    if len(order) < 3:
-        return order
-    size = np.ptp(points, axis=0).max() or 1.0
-
-    def chain(sequence: np.ndarray) -> list[int]:
-        kept: list[int] = []
-        for i in sequence:
-            while len(kept) > 1:
-                a, b = points[kept[-2]], points[kept[-1]]
-                if (b[0] - a[0]) * (points[i][1] - a[1]) - (b[1] - a[1]) * (points[i][0] - a[0]) > 1e-15 * size * size:
-                    break
-                kept.pop()
-            kept.append(int(i))
-        return kept
-
-    lower, upper = chain(order), chain(order[::-1])
-    return np.array(lower[:-1] + upper[:-1])
-
-
-def thin(points: np.ndarray) -> np.ndarray:
-    """Indices that may be hull corners: those outside the box of four extreme points."""
-    s, d = points.sum(axis=1), points[:, 0] - points[:, 1]
-    corners = points[[s.argmin(), d.argmax(), s.argmax(), d.argmin()]]
-    inside = np.ones(len(points), dtype=bool)
-    for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True):
-        inside &= _cross(b - a, points - a) > 0
-    return np.flatnonzero(~inside)
-
-
 def circle_offset(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Circumcentre minus the first corner."""
     p, q = b - a, c - a
@@ -91,23 +61,55 @@ def exchange(place: np.ndarray, corners: np.ndarray, entering: np.ndarray) -> np
     return np.stack(options, -1).argmax(-1)
 
 
-def first_triangles(places: np.ndarray, hull: np.ndarray) -> np.ndarray:
-    """Fan triangle (hull positions) that contains each place, -1 outside the hull."""
+def outer_step(place: np.ndarray, a: np.ndarray, b: np.ndarray, deepest: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """What becomes of an edge a-b with the place, and the deepest point, on its left.
+
+    0: the three points hold the place; 1: the place is beyond the edge from a to the point; 2: beyond that from the point to b.
+    """
+    beyond_a = _cross(deepest - a, place - a) / np.maximum(np.hypot(*(deepest - a).T), 1e-300)
+    beyond_b = _cross(b - deepest, place - deepest) / np.maximum(np.hypot(*(b - deepest).T), 1e-300)
+    beyond = np.maximum(beyond_a, beyond_b)
+    return np.where(beyond <= slack, 0, np.where(beyond_a >= beyond_b, 1, 2))
+
+
+def edge_height(place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far the place lies on the left of the edge a-b."""
+    return _cross(b - a, place - a) / np.maximum(np.hypot(*(b - a).T), 1e-300)
+
+
+def first_triangles(places: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Point numbers (a, b, c) of a triangle that holds each place; c is -1 where the place is left of a-b and no point is.
+
+    An edge that a place lies on, with no point on its left, is turned around once.
+    """
     found = np.full((len(places), 3), -1, dtype=np.int64)
-    if len(hull) < 3:
+    turned = np.zeros(len(places), dtype=bool)
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    size = np.ptp(points, axis=0).max() if len(points) else 0.0
+    if size == 0.0:
         return found
-    size = np.ptp(hull, axis=0).max()
-    slack = INSIDE_TOLERANCE * size * size
-    apex, spokes = hull[0], hull[1:] - hull[0]
+    slack = INSIDE_TOLERANCE * size
+    found[:, 0], found[:, 1] = order[0], order[-1]
+    under = edge_height(places, points[found[:, 0]], points[found[:, 1]]) < 0
+    found[under, 0], found[under, 1] = order[-1], order[0]
     for start in range(0, len(places), CHUNK):
-        block = places[start : start + CHUNK]
-        side = _cross(spokes[None], (block - apex)[:, None])
-        edge = _cross((hull[2:] - hull[1:-1])[None], block[:, None] - hull[None, 1:-1])
-        ok = (side[:, :-1] >= -slack) & (side[:, 1:] <= slack) & (edge >= -slack)
-        hit = ok.any(axis=1)
-        fan = ok.argmax(axis=1)[hit]
-        rows = start + np.flatnonzero(hit)
-        found[rows] = np.stack((np.zeros_like(fan), fan + 1, fan + 2), -1)
+        active = np.arange(start, min(start + CHUNK, len(places)))
+        while len(active):
+            a, b, place = points[found[active, 0]], points[found[active, 1]], places[active]
+            along = (b - a) / np.hypot(*(b - a).T)[:, None]
+            normal = np.stack((-along[:, 1], along[:, 0]), -1)
+            score = normal @ points.T
+            deepest = score.argmax(axis=1)
+            deep = score[np.arange(len(active)), deepest] - (normal * a).sum(-1) > slack
+            step = outer_step(place, a, b, points[deepest], np.full(len(active), slack))
+            flip = ~deep & ~turned[active] & (edge_height(place, a, b) <= slack)
+            inside, left, right = (deep & (step == k) for k in range(3))
+            found[active[inside], 2] = deepest[inside]
+            found[active[left], 1] = deepest[left]
+            found[active[right], 0] = deepest[right]
+            found[active[flip], :2] = found[active[flip], 1::-1]
+            turned[active[flip]] = True
+            active = active[left | right | flip]
     return found
 
 

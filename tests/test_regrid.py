@@ -176,3 +176,39 @@ def test_disjoint_domains_fail(spark):
     )
     with pytest.raises(Exception, match="overlapping x-z domain"):
         grid.common_domain(points, SETS).collect()
+
+
+def _in_hull(place, cloud):
+    """Whether the directions to the points leave no half-plane free; on the border counts as inside."""
+    off = cloud - place
+    if (np.hypot(*off.T) < 1e-12).any():
+        return True
+    angles = np.sort(np.arctan2(off[:, 1], off[:, 0]))
+    return np.diff(np.append(angles, angles[0] + 2 * np.pi)).max() <= np.pi + 1e-9
+
+
+@pytest.mark.parametrize("shape", ["ring", "two spots", "steps", "line"])
+def test_nodes_outside_the_hull_are_those_without_a_value_in_every_tiling(spark, shape):
+    """Most nodes lie outside the points of their tile, many outside all, and some on the border."""
+    rng = np.random.default_rng(11)
+    if shape == "ring":
+        angle = rng.uniform(0, 2 * np.pi, 400)
+        cloud = np.stack([np.cos(angle), np.sin(angle)], -1) * rng.uniform(0.9, 1.0, 400)[:, None]
+    elif shape == "two spots":
+        cloud = np.vstack([rng.normal(-1, 0.01, (200, 2)), rng.normal(1, 0.01, (200, 2)), [[-1.0, 1.0]]])
+    elif shape == "steps":
+        cloud = np.array([(x, z) for x in range(-5, 6) for z in range(-5, 6) if x + z <= 2], dtype=float) / 5
+    else:
+        cloud = np.stack([np.linspace(-1, 1, 200)] * 2, -1)
+    values = 2 * cloud[:, 0] - 3 * cloud[:, 1] + 1
+    points = spark.createDataFrame(
+        [("s", "a", float(x), float(z), float(v)) for (x, z), v in zip(cloud, values, strict=True)], "comparison_set string, case string, x double, z double, C double"
+    )
+    nodes = spark.createDataFrame([("s", j, i, i / 4 - 1.25, j / 4 - 1.25) for i in range(11) for j in range(11)], "comparison_set string, iz int, ix int, x double, z double")
+    for size in (16, 100_000):
+        got = regrid(points, nodes, ["C"], tile_points=size).collect()
+        assert len(got) == 121
+        for r in got:
+            inside = shape != "line" and _in_hull(np.array([r["x"], r["z"]]), cloud)
+            assert (r["C"] is not None) == inside, (size, r)
+            assert not inside or r["C"] == pytest.approx(2 * r["x"] - 3 * r["z"] + 1, abs=1e-9)
