@@ -256,9 +256,8 @@ def produced_snapshots(spark: SparkSession, path: str, keys: dict[str, str]) ->
 
     def part(key: str, kind: str) -> Column:
         name = F.regexp_extract("path", f"/{key}=([^/]*)/", 1)
-        # A partition's name holds special characters as %XX, and the listing's path holds its % signs so once more.
-        for _ in range(2):
-            name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+        # A partition's name holds special characters as %XX, and a plus sign as itself.
+        name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
         return F.when(name != "__HIVE_DEFAULT_PARTITION__", name).cast(kind).alias(key)
 
     return files.select(*[part(k, t) for k, t in keys.items()]).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,8 +134,11 @@ def scans_of(spark, path, action) -> int:
     found = 0
     executions = store.executionsList()
     for k in range(int(before), executions.size()):
-        plan = executions.apply(k).physicalPlanDescription().split("== Initial Plan ==")[0]
-        found += plan.split("(1)", 1)[-1].count(f"Location: InMemoryFileIndex [file:{path}]")
+        plan = executions.apply(k).physicalPlanDescription()
+        places = dict(re.findall(r"\n\((\d+)\) Scan parquet[^\n]*\n(.*?)\n\n", plan, re.S))
+        # The tree of the plan as it ran comes before the one that it began with.
+        ran = re.findall(r"Scan parquet\s+\((\d+)\)", plan.split("== Initial Plan ==")[0])
+        found += sum(f"[file:{path}]" in places.get(number, "") for number in ran)
     return found
 
 
