@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.text import attach, free_name, release, row_key, ship, spooled, text_blocks
+from fieldspark.llm.text import attach, durable, free_name, release, row_key, ship, spooled, text_blocks
 
 SHINGLE = 5
 SKETCH = 64
@@ -227,24 +227,22 @@ def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int)
     """
     rest = [c for c in pairs.columns if c not in ("a", "b")]
     pairs = spooled(pairs)
-    near = pairs
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    found = pairs
     for column in ("a", "b"):
-        near = near.join(_cut_to(pairs, column, reps.select("id", "sketch")).select(F.col("id").alias(column), F.col("sketch").alias(f"s{column}")), column)
-    near = spooled(near.filter(_close("sa", "sb", percent)).select("a", "b", *rest))
-    found = near
+        sketches = attach(reps.select("id", "sketch"), ids, ["id"], "left_semi")
+        found = found.join(sketches.select(F.col("id").alias(column), F.col("sketch").alias(f"s{column}")), column)
+    found = found.filter(_close("sa", "sb", percent)).select("a", "b", *rest)
     for column in ("a", "b"):
-        found = found.join(_cut_to(near, column, full).select(F.col("id").alias(column), F.col("shingles").alias(f"s{column}")), column)
+        sets = attach(full, ids, ["id"], "left_semi")
+        found = found.join(sets.select(F.col("id").alias(column), F.col("shingles").alias(f"s{column}")), column)
     both = F.size(F.array_intersect("sa", "sb"))
     found = found.select("a", "b", *rest, both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
     found = spooled(found.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b", *rest))
-    release(pairs, near)
+    release(pairs, ids)
     return found
 
 
-def _cut_to(pairs: DataFrame, column: str, table: DataFrame) -> DataFrame:
-    return attach(table, pairs.select(F.col(column).alias("id")).distinct(), ["id"], "left_semi")
-
-
 def verified_links(lists: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame | None:
     """(id, component) of the representatives in components of two or more."""
     lists, rare_pairs = split_large_lists(lists, full, percent)

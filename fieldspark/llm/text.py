@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.plans.scale import attach, checkpoint_folder, release, ship, spooled  # noqa: F401  (shared by the operators)
+from fieldspark.plans.scale import attach, checkpoint_folder, durable, release, ship, spooled  # noqa: F401  (shared by the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
