@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from fieldspark.llm.text import attach, free_name, fresh, remainder, ship, spooled, text_blocks
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 # Distinct texts that a feature of the classifier stands in, at least, and that share of the toxic ones.
 SUPPORT = 5
 SUPPORT_SHARE = 0.01
@@ -323,10 +323,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     # At most about ``sample`` rows of a few bytes, so the broadcast is bounded.
     few = texts.filter(lot < share).withColumn("_y", _lookup(masks, post)).select("_h", "_y")
     chosen = spooled(source.join(F.broadcast(few), "_h").select("_h", "_text", "_y").dropDuplicates(["_h"])).select("_text", "_y")
-    found = _sums(chosen, max(SUPPORT, int(SUPPORT_SHARE * n_toxic * share))).select("feature").collect()
-    place = {f: k for k, f in enumerate(sorted(bytes(r["feature"]) for r in found))}
-    rows = [(r["_y"], bytes(r["features"])) for r in chosen.mapInArrow(_feature_rows(place), "_y double, features binary").collect()]
-    rows.sort()
+    found = _sums(chosen, max(SUPPORT, int(SUPPORT_SHARE * n_toxic * share))).select("feature").toArrow().column("feature")
+    place = {f: k for k, f in enumerate(sorted(found.to_pylist()))}
+    packed = chosen.mapInArrow(_feature_rows(place), "_y double, features binary").toArrow()
+    rows = sorted(zip(packed.column("_y").to_pylist(), packed.column("features").to_pylist(), strict=True))
+    del found, packed
     weight, model.bias = fit_linear([np.frombuffer(f, dtype=np.int32) for _, f in rows], np.array([y for y, _ in rows]), len(place))
     model.weights = {f: float(weight[k]) for f, k in place.items()}
     return model
