@@ -121,6 +121,53 @@ def regrid_raw(spark, sf_dir):
     return regrid(points, nodes, ["C"], method="nearest", deduplicate=False)
 
 
+# --- as many points as there are order lines: the cell tree and the search over tiles do the work ------------------------
+
+SPREAD_SQL = """spread AS (SELECT l_returnflag AS "case", l_extendedprice / 1000.0 AS x,
+  ((l_orderkey * 7919 + l_linenumber * 104729) % 1000003) / 10000.0 AS z, l_quantity AS q FROM lineitem),
+  g AS (SELECT "case", CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iz, CAST(10 + 4.0 * i AS DOUBLE) AS gx, CAST(10 + 5.0 * j AS DOUBLE) AS gz
+    FROM (SELECT DISTINCT "case" FROM spread) CROSS JOIN range(16) AS a(i) CROSS JOIN range(16) AS b(j))"""
+
+
+def _spread(spark, sf_dir):
+    """Line items spread over the plane, with a field that is a plane, and a grid well inside them."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    mixed = (fx.F.col("l_orderkey") * 7919 + fx.F.col("l_linenumber") * 104729) % 1000003
+    x, z = fx.F.col("l_extendedprice") / 1000.0, mixed / 10000.0
+    points = lines.select(
+        fx.F.lit("all").alias("comparison_set"), fx.F.col("l_returnflag").alias("case"), x.alias("x"), z.alias("z"), fx.F.col("l_quantity").alias("q")
+    )
+    nodes = spark.range(256).select(
+        fx.F.lit("all").alias("comparison_set"), (fx.F.col("id") % 16).cast("int").alias("iz"), fx.F.floor(fx.F.col("id") / 16).cast("int").alias("ix")
+    )
+    nodes = nodes.withColumns({"x": 10 + 4.0 * fx.F.col("ix"), "z": 10 + 5.0 * fx.F.col("iz")})
+    return points.withColumn("C", 2 * fx.F.col("x") - 3 * fx.F.col("z") + 1), nodes
+
+
+@register(
+    "regrid_linear_lines",
+    "case iz ix",
+    "x z C",
+    f"""WITH {SPREAD_SQL} SELECT "case", iz, ix, gx AS x, gz AS z, 2 * gx - 3 * gz + 1 AS C FROM g""",
+)
+def regrid_linear_lines(spark, sf_dir):
+    """Linear interpolation gives a plane back, wherever the triangles lie."""
+    return regrid(*_spread(spark, sf_dir), ["C"])
+
+
+@register(
+    "regrid_nearest_lines",
+    "case iz ix",
+    "x z q",
+    f"""WITH {SPREAD_SQL}, d AS (SELECT "case", {fx.ROUND_SQL.format("x")} AS xr, {fx.ROUND_SQL.format("z")} AS zr, avg(x) AS x, avg(z) AS z, avg(q) AS q
+      FROM spread GROUP BY 1, 2, 3)
+      SELECT g."case", iz, ix, gx AS x, gz AS z, q FROM g JOIN d ON d."case" = g."case" QUALIFY row_number() OVER (
+      PARTITION BY g."case", iz, ix ORDER BY (d.x - gx) * (d.x - gx) + (d.z - gz) * (d.z - gz), d.z, d.x) = 1""",
+)
+def regrid_nearest_lines(spark, sf_dir):
+    return regrid(*_spread(spark, sf_dir), ["q"], method="nearest")
+
+
 DIAGNOSTIC_COLUMNS = "abs_diff_min abs_diff_max abs_diff_mean relative_L2"
 
 
