@@ -6,8 +6,10 @@
 2. Texts become symbol numbers once. Logarithms of at most ``HEAD`` most frequent words are at hand in every task (a table
    of bounded size, cut at a count that a histogram of the counts gives); the rarer ones are counted per text and joined
    with the whole count table.
-3. Every Baum-Welch round runs over all training texts and whole texts: tasks compute expected counts by a scaled
-   forward-backward pass and Spark adds them up. A long text is laid out in stretches of ``STRETCH`` tokens that are worked
+3. Every Baum-Welch pass runs over all training texts and whole texts, in ``SLICES`` disjoint slices: tasks compute the
+   expected counts of a slice by a scaled forward-backward pass, Spark adds them up, and they replace what the slice gave in
+   the pass before; the model is improved from the sums over all slices after each one. So every text counts alike, and
+   few passes bring many improvements. A long text is laid out in stretches of ``STRETCH`` tokens that are worked
    on side by side; the products of a stretch's transitions carry the forward and backward messages over the cuts, so
    the counts, those of the moves across a cut among them, are exactly those of the unbroken text.
 4. Scoring runs the scaled forward recursion over the whole token sequence of every text.
@@ -38,10 +40,11 @@ OWN = 2048
 CLASSES = 254
 HEAD = 100_000
 LONGEST_HEAD_WORD = 64
-ROUNDS = 8
+PASSES = 2
+SLICES = 10
 STRETCH = 512
 # Stretches of one table of forward messages.
-SIDE_BY_SIDE = 800
+SIDE_BY_SIDE = 400
 COUNTED_WORDS = 100_000
 END = b""  # no word is empty
 
@@ -227,12 +230,14 @@ def _carried(model: Model, cut: _Stretches) -> tuple[np.ndarray, np.ndarray]:
         table, alive = _table([cut.parts[j] for j in some])
         now = np.broadcast_to(np.eye(k), (len(some), k, k)).copy()
         starts = cut.place[some] == 0
+        ahead = model.emit[table]
         for t, m in enumerate(alive):
-            step = now[:m] @ model.move
+            # One product for all stretches: their rows stand below each other.
+            step = (now[:m].reshape(m * k, k) @ model.move).reshape(m, k, k)
             if t == 0:
                 step[starts[:m]] = model.first[0]
-            now[:m] = step * model.emit[table[t, :m]][:, None, :]
-            if t % 8 == 7:
+            np.multiply(step, ahead[t, :m, None, :], out=now[:m])
+            if t % 16 == 15:
                 now[:m] /= now[:m].sum((1, 2), keepdims=True)
         matrix[some] = now / now.sum((1, 2), keepdims=True)
     last = cut.place.max()
@@ -263,7 +268,8 @@ def expected_counts(model: Model, symbols: list[bytes]) -> tuple[np.ndarray, np.
         some = order[low : low + SIDE_BY_SIDE]
         begins = cut.place[some] == 0
         table, alive = _table([cut.parts[j] for j in some])
-        steps = len(table)
+        steps, ones = len(table), np.ones(k)
+        likely = model.emit[table]
         alpha, scale = np.zeros((steps, len(some), k)), np.ones((steps, len(some)))
         for t in range(steps):
             m = alive[t]
@@ -271,25 +277,26 @@ def expected_counts(model: Model, symbols: list[bytes]) -> tuple[np.ndarray, np.
                 now = np.where(begins[:, None], model.first[0], into[some] @ model.move)
             else:
                 now = alpha[t - 1, :m] @ model.move
-            now = now * model.emit[table[t, :m]]
-            total = now.sum(1)
-            alpha[t, :m] = now / total[:, None]
+            now *= likely[t, :m]
+            total = now @ ones
+            np.divide(now, total[:, None], out=alpha[t, :m])
             scale[t, :m] = total
         log += float(np.log(scale).sum())
-        beta = after[some]
+        likely /= scale[:, :, None]
+        beta, back = after[some], np.ascontiguousarray(model.move.T)
         for t in range(steps - 1, -1, -1):
             m = alive[t]
             r = alive[t + 1] if t < steps - 1 else 0
             if r:
-                ahead = beta[:r] * model.emit[table[t + 1, :r]] / scale[t + 1, :r, None]
+                ahead = beta[:r] * likely[t + 1, :r]
                 moves += model.move * (alpha[t, :r].T @ ahead)
-                beta[:r] = ahead @ model.move.T
-            # A stretch that ends here: its backward message gets the scale that makes the posterior sum to one.
-            beta[r:m] /= (alpha[t, r:m] * beta[r:m]).sum(1, keepdims=True)
-            gamma = alpha[t, :m] * beta[:m]
-            alpha[t, :m] = gamma / gamma.sum(1)[:, None]
+                np.matmul(ahead, back, out=beta[:r])
+            if m > r:
+                # A stretch that ends here: its backward message gets the scale that makes the posterior sum to one.
+                beta[r:m] /= (alpha[t, r:m] * beta[r:m]).sum(1, keepdims=True)
+            alpha[t, :m] *= beta[:m]
         goes_on = ~begins
-        ahead = beta[goes_on] * model.emit[table[0, goes_on]] / scale[0, goes_on, None]
+        ahead = beta[goes_on] * likely[0, goes_on]
         moves += model.move * (into[some][goes_on].T @ ahead)
         starts[0] += alpha[0][begins].sum(0)
         flat = table.ravel()
@@ -330,20 +337,22 @@ def _round(model: Model):
     return run
 
 
-def train(coded: DataFrame, symbol_count: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of ``coded`` (column symbols), from the frequencies of the symbols."""
+def train(coded: DataFrame, symbol_count: np.ndarray, passes: int = PASSES, slices: int = SLICES) -> Model:
+    """Baum-Welch over all rows of ``coded`` (columns _row, symbols), from the frequencies of the symbols."""
     n_symbols, k = len(symbol_count), STATES
     general = (symbol_count + 0.5) / (symbol_count + 0.5).sum()
     model = _start_model(general)
-    for _ in range(rounds):
-        sums = coded.select("symbols").mapInArrow(_round(model), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        if not sums:
-            return model
-        flat = np.zeros(k + k * k + n_symbols * k + 1)
+    counts = np.zeros((slices, k + k * k + n_symbols * k + 1))
+    for step in range(passes * slices):
+        rows = coded.filter(F.pmod("_row", F.lit(slices)) == step % slices).select("symbols")
+        sums = rows.mapInArrow(_round(model), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        counts[step % slices] = 0.0
         for r in sums:
-            flat[r["place"]] = r["value"]
+            counts[step % slices, r["place"]] = r["value"]
+        flat = counts.sum(0)
         starts, moves, emits = flat[:k].reshape(1, k), flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(n_symbols, k)
-        model = improved(starts, moves, emits, general)
+        if emits.any():
+            model = improved(starts, moves, emits, general)
     return model
 
 
@@ -356,13 +365,14 @@ def forward_log10(model: Model, symbols: list[bytes]) -> np.ndarray:
     flat = np.concatenate([parts[j] for j in order]) if len(parts) else np.zeros(0, dtype=np.int16)
     offset = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(parts) else sizes
     alive = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
-    log, now = np.zeros(len(parts)), None
+    log, now, ones = np.zeros(len(parts)), None, np.ones(model.move.shape[0])
     product, pending = np.ones(len(parts)), 0
     for t, m in enumerate(alive):
         step = np.repeat(model.first[:1], m, axis=0) if t == 0 else now[:m] @ model.move
-        step = step * model.emit[flat[offset[:m] + t]]
-        total = step.sum(1)
-        now = step / total[:, None]
+        step *= model.emit[flat[offset[:m] + t]]
+        total = step @ ones
+        step /= total[:, None]
+        now = step
         product[:m] *= total
         pending += 1
         if pending == 20:  # far from the smallest double: a step is at least about 1e-12
@@ -384,7 +394,7 @@ def _scored(model: Model, keep: list[str]):
     return run
 
 
-def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", passes: int = PASSES) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and the model's score, both log10."""
     spark = docs.sparkSession
     ship(spark)
@@ -398,7 +408,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     for name, kind in (("n_tokens", "long"), ("known", "long"), ("log_all", "double"), ("log_class", "double"), ("norm", "double"), ("symbols", "binary"), ("rare", T.ArrayType(T.BinaryType())), ("rare_n", T.ArrayType(T.IntegerType()))):
         schema = schema.add(name, kind)
     coded = spooled(source.mapInArrow(_coded(shared), schema).withColumn("_row", F.monotonically_increasing_id()))
-    model = train(coded.filter(~F.col("held_out")), coding.symbol_count, rounds)
+    model = train(coded.filter(~F.col("held_out")), coding.symbol_count, passes)
 
     rare = coded.select("_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("_row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("tf"))
     tail = (
