@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.operators.grid import average_fields_per_node
 from fieldspark.operators.series import cumulative_sum
 from fieldspark.operators.slicing import slice_plane
-from fieldspark.plans.scale import durable
+from fieldspark.plans.scale import durable, spooled
 from fieldspark.plans.selection import selection_from_points
 
 KEYS = ["comparison_set", "case"]
@@ -173,9 +173,9 @@ SERIES_SQL = """series AS (SELECT event_type AS "case",
 
 
 def front(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A growing position per case: the running sum of the event values."""
+    """A growing position per case: the running sum of the event values, made once however often it is read."""
     rows = series(spark, sf_dir).select("case", "time", "E_k")
-    return cumulative_sum(rows, ["case"], ["time"], "E_k", "x_front").select("case", "time", "x_front")
+    return spooled(cumulative_sum(rows, ["case"], ["time"], "E_k", "x_front").select("case", "time", "x_front"))
 
 
 FRONT_SQL = f"""{SERIES_SQL},

@@ -22,7 +22,7 @@ from fieldspark.operators.stats import (
 from fieldspark.plans.scale import attach, durable
 
 # The curve's times are cut into 2^LEVELS bins of about equal counts.
-LEVELS = 8
+LEVELS = 6
 # Ranges of one time stretch that are met in one place, at least; more are dealt out, so that none holds above this share.
 STRETCH_ROWS = 64
 STRETCH_SHARE = 1 / 200

@@ -15,7 +15,7 @@ def test_stretches_cover_each_range_once(spark):
     ends = [tuple(sorted((rng.uniform(-3, 260), rng.uniform(-3, 260)))) for _ in range(300)] + [(0.0, 255.5), (7.0, 7.0), (-9.0, -8.0), (300.0, 301.0)]
     ranges = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(ends)], "k int, _lo double, _hi double")
     found: dict = {}
-    for r in cv.range_stretches(ranges, bounds).collect():
+    for r in cv.range_stretches(ranges, bounds, 8).collect():
         found.setdefault(r["k"], []).extend(range(r["_node"] << r["_level"], (r["_node"] + 1) << r["_level"]))
     for k, (lo, hi) in enumerate(ends):
         inside = [b for b in range(256) if (b == 255 or lo < b + 1) and (b == 0 or hi >= b)]
