@@ -31,8 +31,6 @@ SIZES = (4, 16, 64)
 # Digests of one version that a part gets on average, at most.
 PART = 2
 ROUNDS = 6
-# Texts with fewer code points are cut at sentences: all of them. Only the brute-force test still reads the bound.
-SHORT = float("inf")
 
 
 def paragraphs(text: Column) -> Column:
