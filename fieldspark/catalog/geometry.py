@@ -135,11 +135,11 @@ def _spread(spark, sf_dir):
     mixed = (fx.F.col("l_orderkey") * 7919 + fx.F.col("l_linenumber") * 104729) % 1000003
     x, z = fx.F.col("l_extendedprice") / 1000.0, mixed / 10000.0
     points = lines.select(
-        fx.F.lit("all").alias("comparison_set"), fx.F.col("l_returnflag").alias("case"), x.alias("x"), z.alias("z"), fx.F.col("l_quantity").alias("q")
-    )
-    nodes = spark.range(256).select(
-        fx.F.lit("all").alias("comparison_set"), (fx.F.col("id") % 16).cast("int").alias("iz"), fx.F.floor(fx.F.col("id") / 16).cast("int").alias("ix")
+        fx.F.col("l_returnflag").alias("comparison_set"), fx.F.col("l_returnflag").alias("case"), x.alias("x"), z.alias("z"), fx.F.col("l_quantity").alias("q")
     )
+    # Every case is a set of its own, and each set has the same grid.
+    nodes = points.select("comparison_set").distinct().withColumn("id", fx.F.explode(fx.F.sequence(fx.F.lit(0), fx.F.lit(255))))
+    nodes = nodes.select("comparison_set", (fx.F.col("id") % 16).cast("int").alias("iz"), fx.F.floor(fx.F.col("id") / 16).cast("int").alias("ix"))
     nodes = nodes.withColumns({"x": 10 + 4.0 * fx.F.col("ix"), "z": 10 + 5.0 * fx.F.col("iz")})
     return points.withColumn("C", 2 * fx.F.col("x") - 3 * fx.F.col("z") + 1), nodes
 
