@@ -82,20 +82,28 @@ class ToxicityModel:
     parents: dict[str, str] = field(default_factory=dict)  # correlated voters
 
 
+# Words that a task remembers from block to block, and bytes of text of a block.
+REMEMBERED = 120_000
+BLOCK = 2_000_000
+
+
 class _Finder:
-    """Remembers which words have a feature of a table; bounded by the distinct words of a block."""
+    """The table's values for the features of a text's words; what the first words it meets have is remembered."""
 
-    def __init__(self, table: dict[bytes, float]):
+    def __init__(self, table: dict[bytes, int]):
         self.table = table
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
-    def of_block(self, sets: list[set[bytes]]) -> list[set[bytes]]:
+    def of_block(self, sets: list[set[bytes]]) -> list[set[int]]:
         words = set().union(*sets) if sets else set()
-        known = {}
-        for w in words:
-            if hits := [f for f in features_of(w) if f in self.table]:
-                known[w] = hits
-        names = known.keys()
-        return [{f for w in s & names for f in known[w]} for s in sets]
+        get, known = self.table.get, self.known
+        made = {}
+        for w in words - known.keys():
+            made[w] = tuple([v for f in features_of(w) if (v := get(f)) is not None])
+        if len(known) < REMEMBERED:
+            known.update(made)
+            return [set().union(*[known[w] for w in s]) for s in sets]
+        return [set().union(*[known[w] if w in known else made[w] for w in s]) for s in sets]
 
 
 def vote_mask(raw: bytes | None, words: set[bytes], learned: set[int]) -> int:
@@ -114,9 +122,9 @@ def _votes(learned: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(learned)
         for batch in batches:
-            for start, end, texts in text_blocks(batch, "_text"):
+            for start, end, texts in text_blocks(batch, "_text", BLOCK):
                 sets = [tokens_of(t) for t in texts]
-                masks = [vote_mask(t, s, {learned[f] for f in hits}) for t, s, hits in zip(texts, sets, finder.of_block(sets), strict=True)]
+                masks = [vote_mask(t, s, hits) for t, s, hits in zip(texts, sets, finder.of_block(sets), strict=True)]
                 kept = [batch.column(n).slice(start, end - start) for n in ("_id", "_h")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(masks, pa.int32())], names=["_id", "_h", "mask"])
 
@@ -126,7 +134,7 @@ def _votes(learned: dict[bytes, int]):
 def _feature_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, texts, summed label) of each block."""
     for batch in batches:
-        for start, end, texts in text_blocks(batch, "_text"):
+        for start, end, texts in text_blocks(batch, "_text", BLOCK):
             labels = batch.column("_y").slice(start, end - start).to_pylist()
             texts_with: Counter[bytes] = Counter()
             label_sum: Counter[bytes] = Counter()
@@ -149,9 +157,9 @@ def _feature_rows(table: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(table)
         for batch in batches:
-            for start, end, texts in text_blocks(batch, "_text"):
+            for start, end, texts in text_blocks(batch, "_text", BLOCK):
                 hits = finder.of_block([tokens_of(t) for t in texts])
-                rows = [np.array(sorted(table[f] for f in h), dtype=np.int32).tobytes() for h in hits]
+                rows = [np.array(sorted(h), dtype=np.int32).tobytes() for h in hits]
                 yield pa.RecordBatch.from_arrays([batch.column("_y").slice(start, end - start), pa.array(rows, pa.binary())], names=["_y", "features"])
 
     return run
@@ -159,12 +167,12 @@ def _feature_rows(table: dict[bytes, int]):
 
 def _scores(weights: dict[bytes, float], bias: float, keep: list[str], text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _Finder(weights)
+        finder, values = _Finder({f: k for k, f in enumerate(weights)}), list(weights.values())
         for batch in batches:
-            for start, end, texts in text_blocks(batch, text_column):
+            for start, end, texts in text_blocks(batch, text_column, BLOCK):
                 hits = finder.of_block([tokens_of(t) for t in texts])
                 # An exact sum does not depend on the order of a set.
-                z = np.array([bias + math.fsum(map(weights.__getitem__, h)) for h in hits], dtype=float)
+                z = np.array([bias + math.fsum(map(values.__getitem__, h)) for h in hits], dtype=float)
                 score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 columns = {n: batch.column(n).slice(start, end - start) for n in keep}
                 yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(score)], names=[*columns, "score"])
