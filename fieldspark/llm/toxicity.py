@@ -24,14 +24,13 @@ voters alone make the labels; columns of the input named like a result column ar
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +55,8 @@ PATTERNS = {
     "threat": rb"\b(?:kill|hurt|destroy|beat) (?:you|yourself|them|him|her)\b|\bgo die\b",
     "masked": rb"\b[a-z]\*{2,}[a-z]*",
 }
+# One of these stands in every match of the pattern.
+NEEDED = {"address": (b"you ", b"you'"), "threat": (b"kill ", b"hurt ", b"destroy ", b"beat ", b"go die"), "masked": (b"**",)}
 LEARNED = ("word", "stem4", "stem5")
 VOTERS = [*LEXICONS, *PATTERNS, "several", *LEARNED]
 _BREAKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\"()[]{}", b"abcdefghijklmnopqrstuvwxyz" + b" " * 13)
@@ -64,15 +65,6 @@ _LISTS = {k: frozenset(w.encode() for w in v.split()) for k, v in LEXICONS.items
 _ALL = frozenset().union(*_LISTS.values())
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word itself, marked, and its stems."""
-    return [b"=" + word, *[word[:n] for n in STEMS if len(word) >= n]]
-
-
-def tokens_of(raw: bytes | None) -> set[bytes]:
-    return set(raw.translate(_BREAKS).split()) if raw else set()
-
-
 @dataclass
 class ToxicityModel:
     learned: dict[bytes, int] = field(default_factory=dict)  # feature -> learned voter
@@ -82,49 +74,85 @@ class ToxicityModel:
     parents: dict[str, str] = field(default_factory=dict)  # correlated voters
 
 
-# Words that a task remembers from block to block, and bytes of text of a block.
-REMEMBERED = 120_000
+# Bytes of text of a block; what a task holds besides its table is of the order of a block.
 BLOCK = 2_000_000
 
 
-class _Finder:
-    """The table's values for the features of a text's words; what the first words it meets have is remembered."""
-
-    def __init__(self, table: dict[bytes, int]):
-        self.table = table
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def of_block(self, sets: list[set[bytes]]) -> list[set[int]]:
-        words = set().union(*sets) if sets else set()
-        get, known = self.table.get, self.known
-        made = {}
-        for w in words - known.keys():
-            made[w] = tuple([v for f in features_of(w) if (v := get(f)) is not None])
-        if len(known) < REMEMBERED:
-            known.update(made)
-            return [set().union(*[known[w] for w in s]) for s in sets]
-        return [set().union(*[known[w] if w in known else made[w] for w in s]) for s in sets]
-
-
-def vote_mask(raw: bytes | None, words: set[bytes], learned: set[int]) -> int:
+@dataclass
+class _Words:
+    """The distinct words of a block of texts, and the distinct pairs (text, word), in order."""
+
+    words: pa.Array
+    text: np.ndarray
+    word: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes | None]) -> _Words:
+        flat = pa.array([(raw or b"").translate(_BREAKS) for raw in texts], pa.large_binary())
+        # The cut is at ASCII blanks, so it does not matter whether the bytes are valid text.
+        lists = pc.ascii_split_whitespace(flat.view(pa.large_string()))
+        found = pc.list_flatten(lists).view(pa.large_binary())
+        real = pc.greater(pc.binary_length(found), 0)
+        coded = found.filter(real).dictionary_encode()
+        text, word = _distinct(pc.list_parent_indices(lists).filter(real).to_numpy(), coded.indices.to_numpy(), len(coded.dictionary))
+        return cls(coded.dictionary, text, word)
+
+    def holders(self, wanted: Iterable[bytes]) -> np.ndarray:
+        """The texts that have one of the ``wanted`` words, once for each that they have."""
+        there = pc.is_in(self.words, value_set=_names(wanted)).to_numpy(zero_copy_only=False)
+        return self.text[there[self.word]]
+
+    def features(self) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        """Words themselves, marked, then stems of each length: the words' numbers and their features."""
+        every = np.arange(len(self.words))
+        yield every, pc.binary_join_element_wise(pa.scalar(b"=", pa.large_binary()), self.words, pa.scalar(b"", pa.large_binary()))
+        sizes = pc.binary_length(self.words).to_numpy()
+        for n in STEMS:
+            long = every[sizes >= n]
+            yield long, pc.binary_slice(self.words.take(pa.array(long)), 0, n)
+
+    def pairs(self, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs (text, place of a feature in ``table``), in order."""
+        texts, places = [], []
+        for number, names in self.features():
+            place = np.full(len(self.words), -1, dtype=np.int64)
+            place[number] = pc.fill_null(pc.index_in(names, value_set=table), -1).to_numpy()
+            at = place[self.word]
+            texts.append(self.text[at >= 0])
+            places.append(at[at >= 0])
+        return _distinct(np.concatenate(texts), np.concatenate(places), len(table))
+
+
+def _distinct(text: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of texts and values below ``size``, in order."""
+    pairs = text.astype(np.int64) * max(1, size) + value
+    pairs.sort()
+    return np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(1, size))
+
+
+def _names(table: Iterable[bytes]) -> pa.Array:
+    return pa.array(list(table), pa.large_binary())
+
+
+def vote_masks(texts: list[bytes | None], found: _Words, learned: dict[bytes, int]) -> np.ndarray:
     """Bit k is set if voter k of VOTERS finds the text toxic."""
-    if not raw:
-        return 0
-    flat = raw.lower()
-    votes = [not words.isdisjoint(s) for s in _LISTS.values()]
-    votes += [r.search(flat) is not None for r in _RULES.values()]
-    votes.append(len(words & _ALL) >= 2)
-    votes += [k in learned for k in range(len(LEARNED))]
-    return sum(1 << k for k, v in enumerate(votes) if v)
+    n = len(texts)
+    votes = [np.bincount(found.holders(words), minlength=n) > 0 for words in _LISTS.values()]
+    flat = [raw.lower() if raw else b"" for raw in texts]
+    for kind, rule in _RULES.items():
+        votes.append(np.array([any(x in raw for x in NEEDED[kind]) and rule.search(raw) is not None for raw in flat]))
+    votes.append(np.bincount(found.holders(_ALL), minlength=n) >= 2)
+    text, feature = found.pairs(_names(learned))
+    voter = np.array(list(learned.values()), dtype=np.int64)[feature]
+    votes += [np.bincount(text[voter == k], minlength=n) > 0 for k in range(len(LEARNED))]
+    return sum(v.astype(np.int32) << k for k, v in enumerate(votes))
 
 
 def _votes(learned: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _Finder(learned)
         for batch in batches:
             for start, end, texts in text_blocks(batch, "_text", BLOCK):
-                sets = [tokens_of(t) for t in texts]
-                masks = [vote_mask(t, s, hits) for t, s, hits in zip(texts, sets, finder.of_block(sets), strict=True)]
+                masks = vote_masks(texts, _Words.of(texts), learned)
                 kept = [batch.column(n).slice(start, end - start) for n in ("_id", "_h")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(masks, pa.int32())], names=["_id", "_h", "mask"])
 
@@ -135,44 +163,42 @@ def _feature_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(feature, texts, summed label) of each block."""
     for batch in batches:
         for start, end, texts in text_blocks(batch, "_text", BLOCK):
-            labels = batch.column("_y").slice(start, end - start).to_pylist()
-            texts_with: Counter[bytes] = Counter()
-            label_sum: Counter[bytes] = Counter()
-            for raw, y in zip(texts, labels, strict=True):
-                found = {f for w in tokens_of(raw) for f in features_of(w)}
-                texts_with.update(found)
-                if y:
-                    for f in found:
-                        label_sum[f] += y
-            names = list(texts_with)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(texts_with.values(), pa.int64()), pa.array([float(label_sum[f]) for f in names], pa.float64())],
-                names=["feature", "texts", "label_sum"],
-            )
-
-
-def _feature_rows(table: dict[bytes, int]):
+            label = np.array([y or 0.0 for y in batch.column("_y").slice(start, end - start).to_pylist()])
+            found = _Words.of(texts)
+            for number, names in found.features():
+                coded = names.dictionary_encode()
+                n = len(coded.dictionary)
+                code = np.full(len(found.words), -1, dtype=np.int64)
+                code[number] = coded.indices.to_numpy()
+                at = code[found.word]
+                text, feature = _distinct(found.text[at >= 0], at[at >= 0], n)
+                sums = [np.bincount(feature, minlength=n), np.bincount(feature, weights=label[text], minlength=n)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), *map(pa.array, sums)], names=["feature", "texts", "label_sum"])
+
+
+def _feature_rows(table: list[bytes]):
     """The label and the packed numbers of the features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _Finder(table)
+        places = _names(table)
         for batch in batches:
             for start, end, texts in text_blocks(batch, "_text", BLOCK):
-                hits = finder.of_block([tokens_of(t) for t in texts])
-                rows = [np.array(sorted(h), dtype=np.int32).tobytes() for h in hits]
-                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(start, end - start), pa.array(rows, pa.binary())], names=["_y", "features"])
+                text, feature = _Words.of(texts).pairs(places)
+                parts = np.split(feature.astype(np.int32), np.searchsorted(text, np.arange(1, len(texts))))
+                packed = pa.array([part.tobytes() for part in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(start, end - start), packed], names=["_y", "features"])
 
     return run
 
 
 def _scores(weights: dict[bytes, float], bias: float, keep: list[str], text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, values = _Finder({f: k for k, f in enumerate(weights)}), list(weights.values())
+        places, values = _names(weights), np.array(list(weights.values()))
         for batch in batches:
             for start, end, texts in text_blocks(batch, text_column, BLOCK):
-                hits = finder.of_block([tokens_of(t) for t in texts])
-                # An exact sum does not depend on the order of a set.
-                z = np.array([bias + math.fsum(map(values.__getitem__, h)) for h in hits], dtype=float)
+                text, feature = _Words.of(texts).pairs(places)
+                # A text's weights are added in the order of the features, wherever the text stands.
+                z = bias + np.bincount(text, weights=values[feature], minlength=len(texts))
                 score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 columns = {n: batch.column(n).slice(start, end - start) for n in keep}
                 yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(score)], names=[*columns, "score"])
@@ -332,12 +358,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     few = texts.filter(lot < share).withColumn("_y", _lookup(masks, post)).select("_h", "_y")
     chosen = spooled(source.join(F.broadcast(few), "_h").select("_h", "_text", "_y").dropDuplicates(["_h"])).select("_text", "_y")
     found = _sums(chosen, max(SUPPORT, int(SUPPORT_SHARE * n_toxic * share))).select("feature").toArrow().column("feature")
-    place = {f: k for k, f in enumerate(sorted(found.to_pylist()))}
-    packed = chosen.mapInArrow(_feature_rows(place), "_y double, features binary").toArrow()
+    features = sorted(found.to_pylist())
+    packed = chosen.mapInArrow(_feature_rows(features), "_y double, features binary").toArrow()
     rows = sorted(zip(packed.column("_y").to_pylist(), packed.column("features").to_pylist(), strict=True))
     del found, packed
-    weight, model.bias = fit_linear([np.frombuffer(f, dtype=np.int32) for _, f in rows], np.array([y for y, _ in rows]), len(place))
-    model.weights = {f: float(weight[k]) for f, k in place.items()}
+    weight, model.bias = fit_linear([np.frombuffer(f, dtype=np.int32) for _, f in rows], np.array([y for y, _ in rows]), len(features))
+    model.weights = dict(zip(features, weight.tolist(), strict=True))
     return model
 
 

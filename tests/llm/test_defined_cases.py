@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -202,6 +203,52 @@ def test_no_host_is_refused_where_all_are_alike(spark):
 # --- toxicity ---------------------------------------------------------------------------------
 
 
+def toxicity_features(text):
+    """The words of a text, marked, and their stems."""
+    cut = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\"()[]{}", b"abcdefghijklmnopqrstuvwxyz" + b" " * 13)
+    words = set((text or "").encode().translate(cut).split())
+    return {f for w in words for f in [b"=" + w, *[w[:n] for n in toxicity.STEMS if len(w) >= n]]}
+
+
+@pytest.mark.parametrize("block", [1, 60, 2_000_000])
+def test_blocks_of_texts_give_the_features_of_each_text(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = random.Random(5)
+    pool = ["idiot", "you", "are", "an", "Stupid", "k**l", "go", "die", "naïve", "ab", "abcd", "abcde", "abcdef", "abcdefg", "\x1c", "\u2028", "kill them", "(trash)"]
+    texts = [None, "", " \n\t ", "x" * 5000, *["".join(rng.choice(pool) + rng.choice([" ", "\n", ", ", "\x0b", "\u00a0"]) for _ in range(rng.randrange(12))) for _ in range(150)]]
+    texts += texts[10:20]
+    wanted = [toxicity_features(t) for t in texts]
+    labels = [float(k % 3 == 0) if k % 5 else None for k in range(len(texts))]
+    table = pa.record_batch({"_id": range(len(texts)), "_h": range(len(texts)), "_text": texts, "_y": pa.array(labels, pa.float64())})
+
+    sums, by_label = Counter(), Counter()
+    for b in toxicity._feature_sums(iter([table])):
+        for f, n, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            sums[f] += n
+            by_label[f] += y
+    assert sums == Counter(f for s in wanted for f in s)
+    assert +by_label == Counter(f for s, y in zip(wanted, labels, strict=True) if y for f in s)
+
+    names = sorted(sums)[::2]
+    packed = [x for b in toxicity._feature_rows(names)(iter([table])) for x in b.column("features").to_pylist()]
+    assert [set(np.frombuffer(x, dtype=np.int32)) for x in packed] == [{k for k, f in enumerate(names) if f in s} for s in wanted]
+
+    weights = {f: rng.uniform(-1, 1) for f in names}
+    scores = [x for b in toxicity._scores(weights, -1.0, ["_id"], "_text")(iter([table])) for x in b.column("score").to_pylist()]
+    assert scores == pytest.approx([1 / (1 + math.exp(1.0 - sum(weights.get(f, 0.0) for f in s))) for s in wanted])
+    assert scores[10:20] == scores[-10:]
+
+    learned = {b"=naive": 0, b"=abcd": 0, b"abcd": 1, b"abcde": 2}
+    masks = [x for b in toxicity._votes(learned)(iter([table])) for x in b.column("mask").to_pylist()]
+    words = [{f[1:].decode() for f in s if f[:1] == b"="} for s in wanted]
+    lists = [set(v.split()) for v in toxicity.LEXICONS.values()]
+    for text, s, held, mask in zip(texts, wanted, words, masks, strict=True):
+        votes = [bool(held & some) for some in lists]
+        votes += [re.search(rule, (text or "").encode().lower()) is not None for rule in toxicity.PATTERNS.values()]
+        votes += [len(held & set().union(*lists)) >= 2, *[any(learned.get(f) == k for f in s) for k in range(3)]]
+        assert mask == sum(v << k for k, v in enumerate(votes))
+
+
 def test_posteriors_are_those_of_the_label_model():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.3
@@ -237,7 +284,7 @@ def test_classifier_has_every_feature_with_support(spark):
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(900)], "doc_id long, toxic int")
     model = toxicity.fit(clashing(spark, texts), labels)
     trained = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 4 != 2]
-    counts = Counter(f for t in set(trained) for f in {f for w in toxicity.tokens_of(t.encode()) for f in toxicity.features_of(w)})
+    counts = Counter(f for t in set(trained) for f in toxicity_features(t))
     assert set(model.weights) == {f for f, n in counts.items() if n >= toxicity.SUPPORT} and len(model.weights) > 50
 
 
@@ -349,7 +396,7 @@ def test_pipeline_matches_plain_python(spark):
     model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
 
     def predicted(text):
-        found = {f for w in toxicity.tokens_of(text.encode() if text else None) for f in toxicity.features_of(w)}
+        found = toxicity_features(text)
         return 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in found)))) >= toxicity.THRESHOLD
 
     after = spark.createDataFrame([r for r in rows.values() if not predicted(r["text"])], docs.schema)
