@@ -295,20 +295,24 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, penalty: f
     count = len(rows)
     if count == 0:
         return np.zeros(size), -2.0
+    # A piece: its rows that have features, how many each has, where it begins, and the features.
     pieces, piece, held = [], [], 0
     for k, row in enumerate(rows):
-        piece.append((k, row))
-        held += len(row)
-        if held > 1_000_000 or k == count - 1:
-            doc = np.repeat(np.array([j for j, _ in piece], dtype=np.int32), [len(r) for _, r in piece])
-            pieces.append((doc, np.concatenate([r for _, r in piece])))
+        if len(row):
+            piece.append(k)
+            held += len(row)
+        if piece and (held > 1_000_000 or k == count - 1):
+            sizes = np.array([len(rows[j]) for j in piece])
+            pieces.append((np.array(piece), sizes, np.cumsum(sizes) - sizes, np.concatenate([rows[j] for j in piece])))
             piece, held = [], 0
     weight, bias = np.zeros(size), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        z = bias + sum(np.bincount(doc, weights=weight[at], minlength=count) for doc, at in pieces)
+        z = np.full(count, bias)
+        for row, _, begin, at in pieces:
+            z[row] += np.add.reduceat(weight[at], begin)
         off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        pull = sum(np.bincount(at, weights=off[doc], minlength=size) for doc, at in pieces)
+        pull = sum((np.bincount(at, weights=np.repeat(off[row], sizes), minlength=size) for row, sizes, _, at in pieces), np.zeros(size))
         slope = np.append(pull + penalty * weight, off.sum()) / count
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
