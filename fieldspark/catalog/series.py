@@ -44,7 +44,7 @@ def _cumulative_sql(source: str, value: str) -> str:
     f"""WITH {SERIES}, c AS ({_cumulative_sql("series", "epsilon")}) SELECT "case", time, cum AS cumulative FROM c""",
 )
 def cumtrapz(spark, sf_dir):
-    return sr.cumulative_trapezoid(fx.series(spark, sf_dir), ["case"], "time", "epsilon")
+    return sr.cumulative_trapezoid(fx.series(spark, sf_dir), ["case"], "time", "epsilon", ties=fx.TIES)
 
 
 # Values with a gap after every 40th event, and times of which some repeat.
@@ -273,7 +273,7 @@ RELATIVE_SQL = f"""{FRONT}, rel AS (SELECT "case", time, x_front,
 
 
 def _relative(spark, sf_dir):
-    return sr.relative_to_initial(fx.front(spark, sf_dir), ["case"], "time", "x_front", "x_front_minus_x0", "x0")
+    return sr.relative_to_initial(fx.front(spark, sf_dir), ["case"], "time", "x_front", "x_front_minus_x0", "x0", ties=fx.TIES)
 
 
 @register("relative_to_initial", "case", "time x_front x_front_minus_x0 x0", f"WITH {RELATIVE_SQL} SELECT * FROM rel")

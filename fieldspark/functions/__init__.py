@@ -5,6 +5,7 @@ from fieldspark.functions.numeric import (
     finite_or_null,
     guarded_ratio,
     half_even,
+    ieee_ratio,
     is_finite,
     lenient_double,
     log_ratio,
@@ -19,6 +20,7 @@ __all__ = [
     "finite_or_null",
     "guarded_ratio",
     "half_even",
+    "ieee_ratio",
     "is_finite",
     "lenient_double",
     "log_ratio",

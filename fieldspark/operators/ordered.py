@@ -35,13 +35,16 @@ class Tiles:
 
     @property
     def window(self) -> WindowSpec:
-        tile = () if self.single else ("_tile",)
-        return Window.partitionBy(*self.keys, *tile).orderBy(*self.order)
+        if self.single:
+            return Window.partitionBy(*self.keys).orderBy(*self.order)
+        # The numbers keep rows that are equal in ``order`` in one order, in a tile and in the halos beside it.
+        return Window.partitionBy(*self.keys, "_tile").orderBy("_rn")
 
     @property
     def reversed_window(self) -> WindowSpec:
-        tile = () if self.single else ("_tile",)
-        return Window.partitionBy(*self.keys, *tile).orderBy(*map(F.desc, self.order))
+        if self.single:
+            return Window.partitionBy(*self.keys).orderBy(*map(F.desc, self.order))
+        return Window.partitionBy(*self.keys, "_tile").orderBy(F.desc("_rn"))
 
     def with_columns(self, columns: dict[str, Column]) -> Tiles:
         return replace(self, rows=self.rows.withColumns(columns))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
-from operator import add
+from operator import add, truediv
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions import finite, strict
+from fieldspark.functions import finite, ieee_ratio, strict
 from fieldspark.operators.ordered import TILE_SIZE, Tiles, nearest_marked, running_sum, tile_rows
 from fieldspark.operators.stats import max_abs, mean_abs, rms, window_slope_columns
 from fieldspark.plans.scale import attach
@@ -65,25 +65,29 @@ def cumulative_trapezoid(
     tile_size: int = TILE_SIZE,
     gaps: str = "fail",
     segment: str = "segment",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Trapezoidal integral from the first row, from 0 or from the first value of ``initial``.
 
     An integral must not skip an interval. With ``gaps="fail"`` a missing or non-finite time or value or a repeated time
     fails the job. With ``gaps="restart"`` it starts again at 0 after each of these, and the column ``segment`` numbers the
-    stretches; ``initial`` then is not possible. Rows of equal time are ordered by their value.
+    stretches; ``initial`` then is not possible. Rows of equal time are ordered by their value. With ``ties``, columns that
+    order rows of equal time, repeated times are no gaps: there is no area between them.
     """
     if gaps == "restart":
         if initial is not None:
             raise ValueError("An integral that restarts has no initial value.")
+        if ties:
+            raise ValueError("An integral that restarts has gaps at repeated times.")
         tiles = add_segment_trapezoid(tile_rows(df, keys, [time, value], 1, tile_size), time, value, name, segment)
         return tiles.rows.select(*df.columns, name, segment)
     if gaps != "fail":
         raise ValueError(f"Unknown treatment of gaps {gaps!r}.")
-    tiles = tile_rows(strict_rows(df, keys, [time, value]), keys, [time], 1, tile_size)
-    tiles = add_cumulative_trapezoid(rising_times(tiles, time, value), time, value, name)
+    tiles = tile_rows(strict_rows(df, keys, [time, value]), keys, [time, *ties], 1, tile_size)
+    tiles = add_cumulative_trapezoid(rising_times(tiles, time, value, repeats=bool(ties)), time, value, name)
     rows = tiles.rows
     if initial is not None:
-        rows = with_first(rows, keys, time, {"_x0": initial}, tiles.single)
+        rows = with_first(rows, keys, time, {"_x0": initial}, tiles.single, ties)
         rows = rows.withColumn(name, F.col("_x0") + F.col(name))
     return rows.select(*df.columns, name)
 
@@ -95,12 +99,20 @@ def cumulative_sum(
     return tiles.result(*df.columns, name)
 
 
-def with_first(rows: DataFrame, keys: Sequence[str], time: str, firsts: dict[str, str], single: bool) -> DataFrame:
+def place(time: str, ties: Sequence[str] = ()) -> Column:
+    """What orders the rows of a key; NULL for rows without a time."""
+    return F.when(F.col(time).isNotNull(), F.struct(time, *ties)) if ties else F.col(time)
+
+
+def with_first(
+    rows: DataFrame, keys: Sequence[str], time: str, firsts: dict[str, str], single: bool, ties: Sequence[str] = ()
+) -> DataFrame:
     """Add the value each key has at its earliest time; rows without a time do not count."""
+    at = place(time, ties)
     if single:
         w = Window.partitionBy(*keys)
-        return rows.withColumns({n: F.min_by(c, time).over(w) for n, c in firsts.items()})
-    facts = rows.groupBy(*keys).agg(*(F.min_by(c, time).alias(n) for n, c in firsts.items()))
+        return rows.withColumns({n: F.min_by(c, at).over(w) for n, c in firsts.items()})
+    facts = rows.groupBy(*keys).agg(*(F.min_by(c, at).alias(n) for n, c in firsts.items()))
     return attach(rows, facts, keys)
 
 
@@ -112,9 +124,10 @@ def relative_to_initial(
     name: str,
     first_name: str | None = None,
     tile_size: int = TILE_SIZE,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Shift ``value`` so that it starts at zero; ``first_name`` also keeps the shift."""
-    facts = df.groupBy(*keys).agg(F.min_by(value, time).alias("_x0"))
+    facts = df.groupBy(*keys).agg(F.min_by(value, place(time, ties)).alias("_x0"))
     shifted = attach(df, facts, keys).withColumn(name, F.col(value) - F.col("_x0"))
     if first_name is None:
         return shifted.select(*df.columns, name)
@@ -124,13 +137,15 @@ def relative_to_initial(
 # --- derivatives ---------------------------------------------------------------
 
 
-def gradient_column(tiles: Tiles, time: str, value: str, edge_order: int) -> Column:
+def gradient_column(tiles: Tiles, time: str, value: str, edge_order: int, repeats: bool = False) -> Column:
     """Second-order non-uniform difference; needs a halo of ``edge_order`` rows.
 
     Ends use a one-sided difference over one step, or with ``edge_order=2`` and
     at least three rows the derivative of the parabola through three rows.
+    A repeated time fails the job, or with ``repeats`` gives the infinity or NaN of a division by zero.
     """
     w = tiles.window
+    ratio = ieee_ratio if repeats else truediv
     t, f = F.col(time), F.col(value)
 
     def shifted(offset: int) -> tuple[Column, Column]:
@@ -139,19 +154,19 @@ def gradient_column(tiles: Tiles, time: str, value: str, edge_order: int) -> Col
 
     (t_prev, f_prev), (t_next, f_next) = shifted(-1), shifted(1)
     back, ahead = t - t_prev, t_next - t
-    slope_back, slope_ahead = (f - f_prev) / back, (f_next - f) / ahead
+    slope_back, slope_ahead = ratio(f - f_prev, back), ratio(f_next - f, ahead)
     # Weighted mean of the two one-sided slopes: exact for parabolas.
-    interior = (slope_back * ahead + slope_ahead * back) / (back + ahead)
+    interior = ratio(slope_back * ahead + slope_ahead * back, back + ahead)
     first, last = slope_ahead, slope_back
     if edge_order == 2:
         (t2, f2), (t0, f0) = shifted(2), shifted(-2)
-        next_slope = (f2 - f_next) / (t2 - t_next)
-        prev_slope = (f_prev - f0) / (t_prev - t0)
+        next_slope = ratio(f2 - f_next, t2 - t_next)
+        prev_slope = ratio(f_prev - f0, t_prev - t0)
         long_ahead, long_back = t2 - t, t - t0
         first = F.when(
-            F.col("_n") >= 3, slope_ahead - ahead * (next_slope - slope_ahead) / long_ahead
+            F.col("_n") >= 3, slope_ahead - ratio(ahead * (next_slope - slope_ahead), long_ahead)
         ).otherwise(first)
-        last = F.when(F.col("_n") >= 3, slope_back + back * (slope_back - prev_slope) / long_back).otherwise(last)
+        last = F.when(F.col("_n") >= 3, slope_back + ratio(back * (slope_back - prev_slope), long_back)).otherwise(last)
     return F.when(F.col("_rn") == 1, first).when(F.col("_rn") == F.col("_n"), last).otherwise(interior)
 
 
@@ -163,9 +178,11 @@ def gradient(
     name: str = "gradient",
     edge_order: int = 1,
     tile_size: int = TILE_SIZE,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    tiles = tile_rows(df, keys, [time], edge_order, tile_size)
-    return tiles.with_columns({name: gradient_column(tiles, time, value, edge_order)}).result(*df.columns, name)
+    """Derivative in time; ``ties`` order rows of equal time, which fail the job without them."""
+    tiles = tile_rows(df, keys, [time, *ties], edge_order, tile_size)
+    return tiles.with_columns({name: gradient_column(tiles, time, value, edge_order, bool(ties))}).result(*df.columns, name)
 
 
 # --- smoothing -----------------------------------------------------------------
@@ -311,37 +328,42 @@ def front_kinematics(
     window: int = SMOOTHING_WINDOW,
     polyorder: int = SMOOTHING_POLYORDER,
     tile_size: int = TILE_SIZE,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Velocity, smoothed velocity, position rebuilt from it, and the rebuilding error.
 
-    A missing or non-finite time or position, a repeated time or a key of one row fails the job.
+    A missing or non-finite time or position, a repeated time or a key of one row fails the job. With ``ties``, columns
+    that order rows of equal time, a repeated time gives the infinities and NaN of its slope; they are returned too.
     """
     # One halo serves the whole chain: two rows for the end slopes, the smoothing
     # frame around them, and one row back for the integral.
     halo = 3 + smoothing_halo(method, window)
-    checked = strict_rows(df.select(*keys, time, position), keys, [time, position])
-    tiles = rising_times(tile_rows(checked, keys, [time], halo, tile_size), time, position, min_rows=2)
-    tiles = tiles.with_columns({"v_raw": gradient_column(tiles, time, position, 2)})
+    repeats = bool(ties)
+    checked = strict_rows(df.select(*keys, time, *ties, position), keys, [time, position])
+    tiles = rising_times(tile_rows(checked, keys, [time, *ties], halo, tile_size), time, position, 2, repeats)
+    tiles = tiles.with_columns({"v_raw": gradient_column(tiles, time, position, 2, repeats)})
     tiles = add_smooth(tiles, "v_raw", "v_smooth", method, window, polyorder)
     tiles = add_cumulative_trapezoid(tiles, time, "v_smooth", "_travel")
-    rows = with_first(tiles.rows, keys, time, {"_x0": position}, tiles.single)
+    rows = with_first(tiles.rows, keys, time, {"_x0": position}, tiles.single, ties)
     rows = rows.withColumn("x_reconstructed", F.col("_x0") + F.col("_travel"))
     rows = rows.withColumn("x_reconstruction_error", F.col("x_reconstructed") - F.col(position))
     return rows.select(
-        *keys, time, position, "v_raw", "v_smooth", "x_reconstructed", "x_reconstruction_error"
+        *keys, time, *ties, position, "v_raw", "v_smooth", "x_reconstructed", "x_reconstruction_error"
     )
 
 
-def kinematics_summary(kinematics: DataFrame, keys: Sequence[str] = ("case",), time: str = "time") -> DataFrame:
-    error = F.col("x_reconstruction_error")
+def kinematics_summary(
+    kinematics: DataFrame, keys: Sequence[str] = ("case",), time: str = "time", ties: Sequence[str] = ()
+) -> DataFrame:
+    error, at = F.col("x_reconstruction_error"), place(time, ties)
     _, raw_fit = window_slope_columns(time, "x_front")
     _, rebuilt_fit = window_slope_columns(time, "x_reconstructed")
     return kinematics.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_points"),
         F.min(time).alias("time_start"),
         F.max(time).alias("time_end"),
-        F.min_by("x_front", time).alias("x_start"),
-        F.max_by("x_front", time).alias("x_end"),
+        F.min_by("x_front", at).alias("x_start"),
+        F.max_by("x_front", at).alias("x_end"),
         F.min("v_raw").alias("v_raw_min"),
         F.max("v_raw").alias("v_raw_max"),
         F.min("v_smooth").alias("v_smooth_min"),
@@ -349,7 +371,7 @@ def kinematics_summary(kinematics: DataFrame, keys: Sequence[str] = ("case",), t
         mean_abs(error).alias("mean_abs_reconstruction_error"),
         max_abs(error).alias("max_abs_reconstruction_error"),
         rms(error).alias("rms_reconstruction_error"),
-        F.max_by(error, time).alias("final_reconstruction_error"),
+        F.max_by(error, at).alias("final_reconstruction_error"),
         raw_fit.alias("slumping_velocity_raw_position_fit"),
         rebuilt_fit.alias("slumping_velocity_reconstructed_position_fit"),
     )
@@ -361,19 +383,22 @@ def energy_diagnostics(
     time: str = "time",
     target: float = ENERGY_TARGET,
     tile_size: int = TILE_SIZE,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Budget gap, dissipated energy, closure, its residuals and the rate-of-change balance.
 
     A missing or non-finite value, a repeated time or a key of one row fails the job, because an integral must not skip
-    an interval.
+    an interval. With ``ties``, columns that order rows of equal time, a repeated time adds no area and gives the infinities
+    and NaN of its slope; they are returned too.
     """
-    source = [*keys, time, "E_k", "E_p", "E_total", "epsilon"]
+    repeats = bool(ties)
+    source = [*keys, time, *ties, "E_k", "E_p", "E_total", "epsilon"]
     checked = strict_rows(df.select(*source), keys, [time, "E_k", "E_p", "E_total", "epsilon"])
-    tiles = rising_times(tile_rows(checked, keys, [time], 1, tile_size), time, "E_total", min_rows=2)
-    tiles = tiles.with_columns({"dEtotal_dt": gradient_column(tiles, time, "E_total", 1)})
+    tiles = rising_times(tile_rows(checked, keys, [time, *ties], 1, tile_size), time, "E_total", 2, repeats)
+    tiles = tiles.with_columns({"dEtotal_dt": gradient_column(tiles, time, "E_total", 1, repeats)})
     tiles = add_cumulative_trapezoid(tiles, time, "epsilon", "cumulative_epsilon")
     # The integral starts at zero, so the first closure value is the first E_total.
-    rows = with_first(tiles.rows, keys, time, {"_closure0": "E_total"}, tiles.single)
+    rows = with_first(tiles.rows, keys, time, {"_closure0": "E_total"}, tiles.single, ties)
     closure = F.col("E_total") + F.col("cumulative_epsilon")
     return rows.select(
         *source,
@@ -393,7 +418,9 @@ def energy_summary(
     keys: Sequence[str] = ("case",),
     time: str = "time",
     target: float = ENERGY_TARGET,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
+    at = place(time, ties)
     residual = F.col("closure_residual_from_target")
     drift = F.col("closure_drift_from_initial")
     balance = F.col("differential_closure_residual")
@@ -401,19 +428,19 @@ def energy_summary(
         F.count(F.lit(1)).alias("n_points"),
         F.min(time).alias("time_start"),
         F.max(time).alias("time_end"),
-        F.min_by("E_total", time).alias("E_total_initial"),
-        F.max_by("E_total", time).alias("E_total_final"),
+        F.min_by("E_total", at).alias("E_total_initial"),
+        F.max_by("E_total", at).alias("E_total_final"),
         F.min("epsilon").alias("epsilon_min"),
         F.max("epsilon").alias("epsilon_max"),
-        F.max_by("cumulative_epsilon", time).alias("cumulative_epsilon_final"),
-        F.min_by("energy_closure", time).alias("energy_closure_initial"),
-        F.max_by("energy_closure", time).alias("energy_closure_final"),
+        F.max_by("cumulative_epsilon", at).alias("cumulative_epsilon_final"),
+        F.min_by("energy_closure", at).alias("energy_closure_initial"),
+        F.max_by("energy_closure", at).alias("energy_closure_final"),
         F.lit(float(target)).alias("target"),
         max_abs(residual).alias("max_abs_closure_residual_from_target"),
         mean_abs(residual).alias("mean_abs_closure_residual_from_target"),
         rms(residual).alias("rms_closure_residual_from_target"),
         max_abs(drift).alias("max_abs_closure_drift_from_initial"),
-        F.max_by(drift, time).alias("final_closure_drift_from_initial"),
+        F.max_by(drift, at).alias("final_closure_drift_from_initial"),
         max_abs(balance).alias("max_abs_differential_closure_residual"),
         rms(balance).alias("rms_differential_closure_residual"),
         max_abs(F.col("E_total_minus_Ek_Ep")).alias("max_abs_E_total_minus_Ek_Ep"),
@@ -465,10 +492,15 @@ def require_valid(df: DataFrame, keys: Sequence[str], time: str, values: Sequenc
     return df
 
 
-def rising_times(tiles: Tiles, time: str, value: str, min_rows: int = 1) -> Tiles:
-    """Fail inside the job, in ``value``, when a time repeats or a key has fewer than ``min_rows`` rows. Needs a halo of one row."""
-    later = F.coalesce(F.col(time) > F.lag(time).over(tiles.window), F.lit(True))
-    checked = strict(later, f"Repeated value in column {time}.", F.col(value))
+def rising_times(tiles: Tiles, time: str, value: str, min_rows: int = 1, repeats: bool = False) -> Tiles:
+    """Fail inside the job, in ``value``, when a time repeats or a key has fewer than ``min_rows`` rows. Needs a halo of one row.
+
+    With ``repeats`` only the rows are counted.
+    """
+    checked = F.col(value)
+    if not repeats:
+        later = F.coalesce(F.col(time) > F.lag(time).over(tiles.window), F.lit(True))
+        checked = strict(later, f"Repeated value in column {time}.", checked)
     if tiles.smallest_key < min_rows:
         checked = strict(F.col("_n") >= min_rows, f"A series has fewer than {min_rows} rows.", checked)
     return tiles.with_columns({value: checked})
