@@ -477,7 +477,7 @@ TILE = 256
 
 @register_like("cumtrapz_tiled", "cumtrapz")
 def cumtrapz_tiled(spark, sf_dir):
-    return sr.cumulative_trapezoid(fx.series(spark, sf_dir), ["case"], "time", "epsilon", tile_size=TILE)
+    return sr.cumulative_trapezoid(fx.series(spark, sf_dir), ["case"], "time", "epsilon", tile_size=TILE, ties=fx.TIES)
 
 
 @register_like("gradient_e2_tiled", "gradient_e2")

@@ -14,7 +14,7 @@ from fieldspark.operators import series
 from tests import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = ["cumtrapz"]
+QUERIES = "cumtrapz cumtrapz_tiled".split()
 
 
 @pytest.fixture(scope="module")
