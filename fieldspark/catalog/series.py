@@ -238,7 +238,7 @@ ENERGY_COLUMNS = (
 
 @register("energy_diagnostics", "case", ENERGY_COLUMNS, f"WITH {ENERGY_SQL} SELECT * FROM e")
 def energy_diagnostics(spark, sf_dir):
-    return sr.energy_diagnostics(fx.series(spark, sf_dir))
+    return sr.energy_diagnostics(fx.series(spark, sf_dir), ties=fx.TIES)
 
 
 @register(
