@@ -264,7 +264,7 @@ def energy_diagnostics(spark, sf_dir):
       max(abs("E_total_minus_Ek_Ep")) AS "max_abs_E_total_minus_Ek_Ep" FROM e GROUP BY 1""",
 )
 def energy_summary(spark, sf_dir):
-    return sr.energy_summary(sr.energy_diagnostics(fx.series(spark, sf_dir)))
+    return sr.energy_summary(sr.energy_diagnostics(fx.series(spark, sf_dir), ties=fx.TIES), ties=fx.TIES)
 
 
 RELATIVE_SQL = f"""{FRONT}, rel AS (SELECT "case", time, x_front,

@@ -14,7 +14,7 @@ from fieldspark.operators import series
 from tests import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = "cumtrapz cumtrapz_tiled energy_diagnostics".split()
+QUERIES = "cumtrapz cumtrapz_tiled energy_diagnostics energy_summary".split()
 
 
 @pytest.fixture(scope="module")
