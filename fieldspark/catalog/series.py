@@ -200,7 +200,7 @@ KINEMATICS_COLUMNS = "time x_front v_raw v_smooth x_reconstructed x_reconstructi
 
 @register("front_kinematics", "case", KINEMATICS_COLUMNS, f"WITH {KINEMATICS_SQL} SELECT * FROM kin")
 def front_kinematics(spark, sf_dir):
-    return sr.front_kinematics(fx.front(spark, sf_dir))
+    return sr.front_kinematics(fx.front(spark, sf_dir), ties=fx.TIES)
 
 
 @register(
