@@ -497,7 +497,7 @@ def savgol_tiled(spark, sf_dir):
 
 @register_like("front_kinematics_tiled", "front_kinematics")
 def front_kinematics_tiled(spark, sf_dir):
-    return sr.front_kinematics(fx.front(spark, sf_dir), tile_size=TILE)
+    return sr.front_kinematics(fx.front(spark, sf_dir), tile_size=TILE, ties=fx.TIES)
 
 
 @register_like("interp_at_curve_tiled", "interp_at_curve")
