@@ -90,7 +90,7 @@ def series_gaps_tiled(spark, sf_dir):
     f"""WITH {SERIES}, g AS ({_gradient_sql("series", "E_total", False)}) SELECT "case", time, g AS gradient FROM g""",
 )
 def gradient_e1(spark, sf_dir):
-    return sr.gradient(fx.series(spark, sf_dir), ["case"], "time", "E_total")
+    return sr.gradient(fx.series(spark, sf_dir), ["case"], "time", "E_total", ties=fx.TIES)
 
 
 @register(
