@@ -100,7 +100,7 @@ def gradient_e1(spark, sf_dir):
     f"""WITH {FRONT}, g AS ({_gradient_sql("front", "x_front", True)}) SELECT "case", time, g AS gradient FROM g""",
 )
 def gradient_e2(spark, sf_dir):
-    return sr.gradient(fx.front(spark, sf_dir), ["case"], "time", "x_front", edge_order=2)
+    return sr.gradient(fx.front(spark, sf_dir), ["case"], "time", "x_front", edge_order=2, ties=fx.TIES)
 
 
 @register(
