@@ -221,7 +221,7 @@ def front_kinematics(spark, sf_dir):
         AS slumping_velocity_reconstructed_position_fit FROM kin GROUP BY 1""",
 )
 def kinematics_summary(spark, sf_dir):
-    return sr.kinematics_summary(sr.front_kinematics(fx.front(spark, sf_dir)))
+    return sr.kinematics_summary(sr.front_kinematics(fx.front(spark, sf_dir), ties=fx.TIES), ties=fx.TIES)
 
 
 ENERGY_SQL = f"""{SERIES}, g AS ({_gradient_sql("series", "E_total", False)}), c AS ({_cumulative_sql("g", "epsilon")}),
