@@ -454,9 +454,9 @@ PROCESSED_SQL = _overlay_sql(
 )
 def overlay_summary_processed(spark, sf_dir):
     fronts = fx.front(spark, sf_dir)
-    rebuilt = sr.front_kinematics(fronts)
+    rebuilt = sr.front_kinematics(fronts, ties=fx.TIES)
     processed = sr.relative_to_initial(
-        rebuilt, ["case"], "time", "x_reconstructed", "x_processed", "processed_x0_shift"
+        rebuilt, ["case"], "time", "x_reconstructed", "x_processed", "processed_x0_shift", ties=fx.TIES
     )
     shifts = processed.select("case", "processed_x0_shift").distinct()
     comparison = cv.interpolate_at_curve(
