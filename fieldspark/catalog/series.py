@@ -482,7 +482,7 @@ def cumtrapz_tiled(spark, sf_dir):
 
 @register_like("gradient_e2_tiled", "gradient_e2")
 def gradient_e2_tiled(spark, sf_dir):
-    return sr.gradient(fx.front(spark, sf_dir), ["case"], "time", "x_front", edge_order=2, tile_size=TILE)
+    return sr.gradient(fx.front(spark, sf_dir), ["case"], "time", "x_front", edge_order=2, tile_size=TILE, ties=fx.TIES)
 
 
 @register_like("moving_average_tiled", "moving_average")

@@ -14,7 +14,7 @@ from fieldspark.operators import series
 from tests import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = "cumtrapz cumtrapz_tiled energy_diagnostics energy_summary front_kinematics front_kinematics_tiled gradient_e1 gradient_e2 kinematics_summary overlay_summary_processed".split()
+QUERIES = "cumtrapz cumtrapz_tiled energy_diagnostics energy_summary front_kinematics front_kinematics_tiled gradient_e1 gradient_e2 kinematics_summary overlay_summary_processed gradient_e2_tiled".split()
 
 
 @pytest.fixture(scope="module")
