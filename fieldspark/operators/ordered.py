@@ -21,6 +21,8 @@ from fieldspark.plans.scale import attach, spooled
 TILE_SIZE = 1_000_000
 # monotonically_increasing_id keeps the partition number above this many bits.
 ROW_BITS = 33
+# Rows that a range partition holds at least while rows are numbered: the size of the tiles does not decide the number of tasks.
+RANGE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -81,7 +83,7 @@ def tile_rows(
         return Tiles(rows, keys, order, True, smallest)
     if halo > tile_size:
         raise ValueError("A tile must hold at least as many rows as the halo.")
-    numbered = number_rows(df, keys, order, max(2, -(-total // tile_size)))
+    numbered = number_rows(df, keys, order, max(2, -(-total // max(tile_size, RANGE_ROWS))))
     pos, tile = (F.col("_rn") - 1) % tile_size, F.floor((F.col("_rn") - 1) / tile_size)
     last_tile = F.floor((F.col("_n") - 1) / tile_size)
     copies = F.array(
