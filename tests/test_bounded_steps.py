@@ -1,10 +1,11 @@
-"""Work that the size of a tile must not decide."""
+"""Work that the size of a tile or the order of a division must not decide."""
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
-from fieldspark.operators import ordered
+from fieldspark.operators import ordered, slicing
 
 
 @pytest.mark.parametrize("halo", [0, 2])
@@ -21,3 +22,11 @@ def test_small_tiles_do_not_make_many_tasks(spark, monkeypatch, halo):
     assert seen == [2]
     rows = tiles.core().rows.orderBy("k", "t").collect()
     assert [(r["k"], r["t"], r["_rn"], r["_n"], r["_tile"]) for r in rows] == [(k, 2 * i + k, i + 1, 500, i // 4) for k in (0, 1) for i in range(500)]
+
+
+def test_a_value_on_the_edge_of_a_bin_falls_as_in_the_sql(spark):
+    values = [0.0, 0.21, 0.42, 0.84, 1.05]
+    found = slicing.value_histogram(spark.createDataFrame([("a", v) for v in values], "k string, v double"), ["k"], "v", 10)
+    listed = ", ".join(f"({v}::DOUBLE)" for v in values)
+    want = duckdb.sql(f"SELECT CAST(least(floor(v / 1.05::DOUBLE * 10) + 1, 10) AS INTEGER) AS bin, count(*) FROM (VALUES {listed}) AS q(v) GROUP BY 1 ORDER BY 1")
+    assert [(r["bin"], r["point_count"]) for r in found.orderBy("bin").collect()] == want.fetchall()
