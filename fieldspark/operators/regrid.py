@@ -16,6 +16,7 @@ slight shear of the coordinates settles them the same way in every task.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -28,7 +29,7 @@ from fieldspark.functions import finite
 from fieldspark.operators import triangles as tri
 from fieldspark.operators.grid import DEDUP_DECIMALS, average_duplicates
 from fieldspark.operators.quadtree import Tree, build_tree, candidate_leaves, farthest_points, nearest_points
-from fieldspark.plans.scale import attach, durable, ship
+from fieldspark.plans.scale import attach, durable, ship, spooled
 
 NEAREST_LEAF = 256
 TILE_POINTS = 512
@@ -90,7 +91,8 @@ def regrid(
     groups = [list(fields)] if shared_support(points, fields) else [[f] for f in fields]
     results = []
     for group in groups:
-        merged = distinct_points(points, keys, group, deduplicate, decimals)
+        # Written once: the tree, its levels and every round of the search read the merged points, not the source.
+        merged = spooled(distinct_points(points, keys, group, deduplicate, decimals))
         if method == "nearest":
             results.append(_nearest(merged, nodes, keys, group, leaf_size))
         else:
@@ -264,6 +266,9 @@ def _linear(
     cloud = _sheared(points).select(*keys, "_X", "_Z", F.array(*fields).alias("_values"))
     nodes = _sheared(nodes).select(*keys, *NODE, "x", "z", "_X", "_Z")
     tree = build_tree(cloud, keys, "_X", "_Z", tile_points)
+    if tree.depth > 0:
+        # Tiles and every round of the search join the points by their leaf.
+        tree = replace(tree, points=spooled(tree.points))
     ends = durable(outermost(cloud, keys))
 
     own_tile = ["_lv", "_lx", "_lz"]

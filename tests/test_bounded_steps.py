@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from fieldspark.operators import ordered, slicing
+from fieldspark.operators import ordered, regrid, slicing
 
 
 @pytest.mark.parametrize("halo", [0, 2])
@@ -30,3 +31,20 @@ def test_a_value_on_the_edge_of_a_bin_falls_as_in_the_sql(spark):
     listed = ", ".join(f"({v}::DOUBLE)" for v in values)
     want = duckdb.sql(f"SELECT CAST(least(floor(v / 1.05::DOUBLE * 10) + 1, 10) AS INTEGER) AS bin, count(*) FROM (VALUES {listed}) AS q(v) GROUP BY 1 ORDER BY 1")
     assert [(r["bin"], r["point_count"]) for r in found.orderBy("bin").collect()] == want.fetchall()
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_regridding_reads_its_points_once(spark, method):
+    rows, seen = 400, spark.sparkContext.accumulator(0)
+
+    def read(value):
+        seen.add(1)
+        return value
+
+    points = spark.range(rows).selectExpr("'s' AS comparison_set", "'a' AS `case`", "id % 20 + id / 1000 AS x", "floor(id / 20) + id / 900 AS z")
+    points = points.withColumns({c: F.col(c).cast("double") for c in "xz"}).withColumn("C", F.udf(read, "double")(F.col("x")).cast("double"))
+    nodes = spark.createDataFrame([("s", i, j, 2.0 + i, 2.0 + j) for i in range(8) for j in range(8)], "comparison_set string, iz int, ix int, x double, z double")
+    out = regrid.regrid(points, nodes, ["C"], method=method, tile_points=32, leaf_size=32)
+    assert out.count() == 64
+    # One reading calls the function for the filter and for the mean.
+    assert seen.value <= 2 * rows
