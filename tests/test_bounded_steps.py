@@ -6,8 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from fieldspark.catalog import series  # noqa: F401  (registration)
+from fieldspark.catalog.registry import QUERIES
 from fieldspark.operators import ordered, regrid, slicing
 
+SF_DIR = "/root/testdata/sf0.01"
+
 
 @pytest.mark.parametrize("halo", [0, 2])
 def test_small_tiles_do_not_make_many_tasks(spark, monkeypatch, halo):
@@ -25,6 +29,19 @@ def test_small_tiles_do_not_make_many_tasks(spark, monkeypatch, halo):
     assert [(r["k"], r["t"], r["_rn"], r["_n"], r["_tile"]) for r in rows] == [(k, 2 * i + k, i + 1, 500, i // 4) for k in (0, 1) for i in range(500)]
 
 
+@pytest.mark.parametrize("query", ["series_gaps_tiled"])
+def test_tiled_queries_number_their_rows_in_few_partitions(spark, monkeypatch, query):
+    seen, number = [], ordered.number_rows
+
+    def counted(df, keys, order, parts):
+        seen.append(parts)
+        return number(df, keys, order, parts)
+
+    monkeypatch.setattr(ordered, "number_rows", counted)
+    QUERIES[query](spark, SF_DIR)
+    assert seen == [2]
+
+
 def test_a_value_on_the_edge_of_a_bin_falls_as_in_the_sql(spark):
     values = [0.0, 0.21, 0.42, 0.84, 1.05]
     found = slicing.value_histogram(spark.createDataFrame([("a", v) for v in values], "k string, v double"), ["k"], "v", 10)
