@@ -29,7 +29,7 @@ def test_small_tiles_do_not_make_many_tasks(spark, monkeypatch, halo):
     assert [(r["k"], r["t"], r["_rn"], r["_n"], r["_tile"]) for r in rows] == [(k, 2 * i + k, i + 1, 500, i // 4) for k in (0, 1) for i in range(500)]
 
 
-@pytest.mark.parametrize("query", ["series_gaps_tiled", "savgol_tiled"])
+@pytest.mark.parametrize("query", ["series_gaps_tiled", "savgol_tiled", "moving_average_tiled"])
 def test_tiled_queries_number_their_rows_in_few_partitions(spark, monkeypatch, query):
     seen, number = [], ordered.number_rows
 
