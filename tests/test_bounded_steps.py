@@ -42,6 +42,13 @@ def test_tiled_queries_number_their_rows_in_few_partitions(spark, monkeypatch, q
     assert seen == [2]
 
 
+@pytest.mark.parametrize("query", ["series_gaps_tiled"])
+def test_range_partitions_that_cut_tiles_give_the_same_rows(spark, monkeypatch, query):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 300)
+    tiled, plain = (QUERIES[name](spark, SF_DIR) for name in (query, query.removesuffix("_tiled")))
+    assert tiled.exceptAll(plain).isEmpty() and plain.exceptAll(tiled).isEmpty()
+
+
 def test_a_value_on_the_edge_of_a_bin_falls_as_in_the_sql(spark):
     values = [0.0, 0.21, 0.42, 0.84, 1.05]
     found = slicing.value_histogram(spark.createDataFrame([("a", v) for v in values], "k string, v double"), ["k"], "v", 10)
