@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 from fieldspark.functions import half_even
 from fieldspark.operators import compare, grid, slicing, views
 from fieldspark.operators.regrid import regrid
@@ -276,3 +277,12 @@ def test_summary_order(spark):
     df = spark.createDataFrame([(*r, "c") for r in rows], "target_time string, comparison_set string, field string, order string, case string")
     got = [(r["target_time"], r["field"], r["order"]) for r in rollup.sorted_summary(df).collect()]
     assert got == [("2", "concentration", "5"), ("2", "concentration", "9"), ("2", "pressure", "5"), ("x", "velocity", "5")]
+
+
+def test_front_position_reads_its_index_off_all_lines(spark, tmp_path):
+    columns = "l_linestatus string, l_returnflag string, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    lines = [("F", flag, number, x, 100.0 + x, 0.05, 0.02) for flag, last in (("A", 5), ("N", 2), ("R", 4)) for number, x in ((1, 10.0), (last, 20.0))]
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = registered.queries()["front_position"](spark, str(tmp_path)).collect()
+    assert {(r["case"], r["index"], r["x_front"]) for r in rows} == {("A", 5, 20.0), ("N", 2, 20.0), ("R", 4, 20.0)}
+    assert {r["threshold"] for r in rows} == {96.0}
