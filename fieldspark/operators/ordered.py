@@ -23,6 +23,8 @@ TILE_SIZE = 1_000_000
 ROW_BITS = 33
 # Rows that a range partition holds at least while rows are numbered: the size of the tiles does not decide the number of tasks.
 RANGE_ROWS = 100_000
+# A double up to 2^31 added to this number keeps its multiple of 2^-20 only.
+SPLIT_SHIFT = 1.5 * 2.0**32
 
 
 @dataclass(frozen=True)
@@ -128,20 +130,38 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts:
     )
 
 
+def split(value: Column) -> tuple[Column, Column]:
+    """``value`` as a multiple of 2^-20, whose sums have no rounding error below 2^33, and the small rest.
+
+    Values of 2^31 and more, infinities and NaN stay whole.
+    """
+    small = F.abs(value) < F.lit(2.0**31)
+    exact = F.when(small, (value + F.lit(SPLIT_SHIFT)) - F.lit(SPLIT_SHIFT)).otherwise(value)
+    return exact, F.when(small, value - exact).otherwise(0.0)
+
+
 def running_sum(tiles: Tiles, value: Column, name: str) -> Tiles:
-    """Cumulative sum of ``value`` in order, NULL counted as zero."""
-    core = tiles.core().with_columns({"_inc": F.coalesce(value, F.lit(0.0))})
+    """Cumulative sum of ``value`` in order, NULL counted as zero.
+
+    The exact parts and the rests are summed apart, so that rounding errors do not pile up along a long series.
+    """
+    exact, rest = split(F.coalesce(value, F.lit(0.0)))
+    core = tiles.core().with_columns({"_inc": exact, "_rest": rest})
     upto = core.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = core.with_columns({name: F.sum("_inc").over(upto)})
+    local = core.with_columns({"_inc": F.sum("_inc").over(upto), "_rest": F.sum("_rest").over(upto)})
     if tiles.single:
-        return replace(local, rows=local.rows.drop("_inc"))
-    totals = core.rows.groupBy(*core.keys, "_tile").agg(F.sum("_inc").alias("_total"))
+        return replace(local, rows=local.rows.withColumn(name, F.col("_inc") + F.col("_rest")).drop("_inc", "_rest"))
+    totals = core.rows.groupBy(*core.keys, "_tile").agg(F.sum("_inc").alias("_total"), F.sum("_rest").alias("_total_rest"))
     earlier = Window.partitionBy(*core.keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *core.keys, "_tile", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_offset")
+        *core.keys,
+        "_tile",
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_offset"),
+        F.coalesce(F.sum("_total_rest").over(earlier), F.lit(0.0)).alias("_offset_rest"),
     )
     rows = attach(local.rows, offsets, [*core.keys, "_tile"])
-    return replace(local, rows=rows.withColumn(name, F.col(name) + F.col("_offset")).drop("_inc", "_offset"))
+    total = (F.col("_inc") + F.col("_offset")) + (F.col("_rest") + F.col("_offset_rest"))
+    return replace(local, rows=rows.withColumn(name, total).drop("_inc", "_rest", "_offset", "_offset_rest"))
 
 
 def nearest_marked(tiles: Tiles, marked: Column, value: Column, before: str, after: str) -> Tiles:
