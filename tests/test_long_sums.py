@@ -29,7 +29,7 @@ def long_events(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["front_kinematics"])
+@pytest.mark.parametrize("name", ["front_kinematics", "front_kinematics_tiled"])
 def test_positions_of_a_long_series_are_those_of_the_sql(spark, long_events, name):
     got = registered.queries()[name](spark, long_events).orderBy("time", "x_front").select("x_front").toPandas()["x_front"]
     sql = f"SELECT x_front FROM ({registered.oracle_sql()[name]}) ORDER BY time, x_front"
