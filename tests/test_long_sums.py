@@ -38,6 +38,12 @@ def test_positions_of_a_long_series_are_those_of_the_sql(spark, long_events, nam
     assert (got == want).all()
 
 
+def test_the_last_position_of_a_long_series_is_that_of_the_sql(spark, long_events):
+    got = registered.queries()["kinematics_summary"](spark, long_events).first()
+    sql = f"SELECT x_start, x_end FROM ({registered.oracle_sql()['kinematics_summary']})"
+    assert (got["x_start"], got["x_end"]) == oracle.database(long_events).execute(sql).fetchone()
+
+
 VALUES = [0.1, -0.3, 2.0**31, -(2.0**31), 1e-9, None, 5e9, -5e9, 1e300, math.inf, 1.0, -math.inf, 1.0]
 
 
