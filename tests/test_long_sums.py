@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import os
+from fractions import Fraction
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
-from fieldspark.operators import ordered
+from fieldspark.operators import ordered, series
 from tests import oracle
 
 ROWS = 60_020
@@ -44,6 +45,16 @@ def test_the_last_position_of_a_long_series_is_that_of_the_sql(spark, long_event
     assert (got["x_start"], got["x_end"]) == oracle.database(long_events).execute(sql).fetchone()
 
 
+@pytest.mark.parametrize("size", [50_000, 1_000_000])
+def test_the_budget_of_a_long_series_is_that_of_exact_sums(spark, size):
+    rows = spark.range(200_000).select(
+        F.lit("a").alias("case"), F.col("id").cast("double").alias("time"), *(F.lit(v).alias(n) for n, v in (("E_k", 1.0), ("E_p", 2.0), ("E_total", 3.0), ("epsilon", 0.1)))
+    )
+    out = series.energy_diagnostics(rows, tile_size=size).select("time", "cumulative_epsilon").toPandas()
+    exact = (out["time"].map(int) * Fraction(0.1)).map(float)
+    assert ((out["cumulative_epsilon"] - exact).abs() <= exact.map(math.ulp)).all()
+
+
 VALUES = [0.1, -0.3, 2.0**31, -(2.0**31), 1e-9, None, 5e9, -5e9, 1e300, math.inf, 1.0, -math.inf, 1.0]
 
 
