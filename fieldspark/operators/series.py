@@ -32,7 +32,7 @@ def _trapezoid(tiles: Tiles, time: str, value: str) -> Column:
 def add_cumulative_trapezoid(tiles: Tiles, time: str, value: str, name: str) -> Tiles:
     """Needs a halo of one row and no missing values; the first row of each key gets 0."""
     stepped = tiles.with_columns({"_step": _trapezoid(tiles, time, value)})
-    summed = running_sum(stepped, F.col("_step"), name)
+    summed = running_sum(stepped, F.col("_step"), name, apart=True)
     return replace(summed, rows=summed.rows.drop("_step"))
 
 
